@@ -209,7 +209,8 @@ def pair_moments(df: DataFrame, columns: list[str]) -> DataFrame:
     those. Columns are shifted by their mean first, so large offsets do not cancel digits.
     """
     cols = [F.col(c).cast("double").alias(c) for c in columns]
-    means = df.select(*cols).agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in columns]).first()
+    centre = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c))  # noqa: E731  (exact for constants)
+    means = df.select(*cols).agg(*[F.coalesce(centre(c), F.lit(0.0)).alias(c) for c in columns]).first()
     shift = np.array([means[c] for c in columns])
     k = len(columns)
 
