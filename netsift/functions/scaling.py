@@ -248,5 +248,5 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
     vy = F.col("syy") - F.col("sy") * F.col("sy") / n
-    corr = F.when((n >= 2) & (vx > 1e-12 * F.abs(F.col("sxx"))) & (vy > 1e-12 * F.abs(F.col("syy"))), cov / F.sqrt(vx * vy))
-    return m.select("i", "j", "feature_1", "feature_2", F.greatest(F.least(corr, F.lit(1.0)), F.lit(-1.0)).alias("correlation"))
+    corr = F.when((n >= 2) & (vx > 1e-12 * F.abs(F.col("sxx"))) & (vy > 1e-12 * F.abs(F.col("syy"))), F.greatest(F.least(cov / F.sqrt(vx * vy), F.lit(1.0)), F.lit(-1.0)))
+    return m.select("i", "j", "feature_1", "feature_2", corr.alias("correlation"))
