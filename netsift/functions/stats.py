@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def ks_pvalue(d, n1, n2) -> Column:
@@ -31,7 +32,7 @@ def chi2_tail(x: float, dof: int) -> float:
     return min(1.0, total + sum(math.exp(t) for t in terms))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_pvalue(stat: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([chi2_tail(s, d) for s, d in zip(stat, dof)], dtype=float)
 
