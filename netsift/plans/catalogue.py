@@ -1,4 +1,4 @@
 """Imports every query module, so that the registry is complete."""
 
-from netsift.plans import cleaning, drift, evaluate, packets, profile, sampling  # noqa: F401
+from netsift.plans import cleaning, drift, evaluate, packets, prepare, profile, sampling  # noqa: F401
 from netsift.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netsift.functions.scaling import order_hash
+from netsift.operators import neighbours
 from netsift.operators import sampling as E
 from netsift.plans import views as V
 from netsift.plans.cleaning import CATS_SQL, clean_flows
@@ -112,3 +113,54 @@ SELECT cat, count(*) AS n, round(avg((SELECT sum(n) FROM cc) / ((SELECT count(*)
 def e12(spark, sf_dir):
     w = E.balanced_weights(targets(spark, sf_dir), "cat")
     return w.groupBy("cat").agg(F.count("*").alias("n"), F.round(F.avg("weight"), 6).alias("weight"))
+
+
+def points(spark, sf_dir):
+    """Labelled vectors, the minority classes thinned so that classes differ in size."""
+    e = V.table(spark, sf_dir, "embeddings")
+    return e.select(F.format_string("%08d", "vec_id").alias("id"), (F.col("label") % 3).cast("string").alias("cls"),
+                    F.col("embedding").cast("array<double>").alias("vec"))
+
+
+_POINTS = "pts AS (SELECT printf('%08d', vec_id) AS id, CAST(label % 3 AS VARCHAR) AS cls, embedding::DOUBLE[] AS vec FROM embeddings)"
+_NEAR = """nn AS (SELECT a.id, a.cls, b.id AS nid, b.cls AS ncls, sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: pow(z[1] - z[2], 2)))) AS d
+  FROM pts a JOIN pts b ON a.id <> b.id {cond}), tk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nid) AS rank FROM nn)"""
+
+
+@query("e9_class_neighbours", f"WITH {_POINTS}, {_NEAR.format(cond='AND a.cls = b.cls')} SELECT id, rank, nid AS neighbour, round(d, 6) AS distance FROM tk WHERE rank <= 5")
+def e9_neighbours(spark, sf_dir):
+    p = points(spark, sf_dir).select("id", F.col("cls").alias("scope"), "cls", "vec", F.lit(True).alias("q"), F.lit(True).alias("s"))
+    return neighbours.nearest(p, 5).select("id", F.col("rank").cast("long").alias("rank"), "neighbour", F.round("distance", 6).alias("distance"))
+
+
+@query("e9_smote", f"WITH {_POINTS}, c AS (SELECT cls, count(*) AS n FROM pts GROUP BY cls) SELECT cls, (SELECT max(n) FROM c) - n AS n FROM c WHERE n < (SELECT max(n) FROM c)")
+def e9(spark, sf_dir):
+    return neighbours.smote(points(spark, sf_dir)).groupBy("cls").agg(F.count("*").alias("n"))
+
+
+_DANGER = f"WITH {_POINTS}, {_NEAR.format(cond='')}, fr AS (SELECT id, cls, count(*) FILTER (ncls <> cls) AS f FROM tk WHERE rank <= 10 GROUP BY id, cls), small AS (SELECT cls FROM pts GROUP BY cls HAVING count(*) < (SELECT count(*) * 0.4 FROM pts)), dg AS (SELECT * FROM fr WHERE f >= 5 AND f < 10 AND cls IN (SELECT cls FROM small))"
+
+
+@query("e10_danger_rows", f"{_DANGER} SELECT id, cls, f AS foreign FROM dg")
+def e10_danger(spark, sf_dir):
+    p = points(spark, sf_dir)
+    n = p.count()
+    small = [r["cls"] for r in p.groupBy("cls").count().collect() if r["count"] < n * 0.4]
+    return neighbours.danger_rows(p, small).select("id", "cls", "foreign")
+
+
+@query("e10_borderline_smote", f"{_DANGER}, c AS (SELECT cls, count(*) AS n FROM pts GROUP BY cls) SELECT cls, CAST(floor((SELECT count(*) FROM pts) * 0.4) AS BIGINT) - n AS n FROM c WHERE cls IN (SELECT cls FROM dg)")
+def e10(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return neighbours.borderline_smote(p, int(p.count() * 0.4)).groupBy("cls").agg(F.count("*").alias("n"))
+
+
+@query("e11_adasyn_quota", f"""WITH {_POINTS}, {_NEAR.format(cond='')}, fr AS (SELECT id, cls, count(*) FILTER (ncls <> cls) / 5 AS ratio FROM tk WHERE rank <= 5 GROUP BY id, cls), c AS (SELECT cls, count(*) AS n FROM pts GROUP BY cls)
+SELECT id, cls, round(ratio, 6) AS ratio, CAST(round_even(ratio / sum(ratio) OVER (PARTITION BY cls) * ((SELECT max(n) FROM c) - n), 0) AS BIGINT) AS copies FROM fr JOIN c USING (cls) WHERE n < (SELECT max(n) FROM c)""")
+def e11_quota(spark, sf_dir):
+    return neighbours.adasyn_quota(points(spark, sf_dir)).select("id", "cls", F.round("ratio", 6).alias("ratio"), "copies")
+
+
+@query("e11_adasyn")
+def e11(spark, sf_dir):
+    return neighbours.adasyn(points(spark, sf_dir)).groupBy("cls").agg(F.count("*").alias("n"))
