@@ -250,3 +250,34 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     vy = F.col("syy") - F.col("sy") * F.col("sy") / n
     corr = F.when((n >= 2) & (vx > 1e-12 * F.abs(F.col("sxx"))) & (vy > 1e-12 * F.abs(F.col("syy"))), F.greatest(F.least(cov / F.sqrt(vx * vy), F.lit(1.0)), F.lit(-1.0)))
     return m.select("i", "j", "feature_1", "feature_2", corr.alias("correlation"))
+
+
+def lag_across(df: DataFrame, keys: list[str], segment: str, order: list[str], value: str, out: str) -> DataFrame:
+    """Previous row's `value` along a key that is cut into segments (see carry_forward)."""
+    inside = Window.partitionBy(*keys, segment).orderBy(*order)
+    last = df.groupBy(*keys, segment).agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy(segment)
+    carried = last.withColumn("_carry", F.lag("_last").over(before)).drop("_last")
+    return (
+        df.withColumn("_first", F.row_number().over(inside) == 1).withColumn("_lag", F.lag(value).over(inside))
+        .join(carried, [*keys, segment], "left")
+        .withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")))
+        .drop("_first", "_lag", "_carry")
+    )
+
+
+def trailing_count(df: DataFrame, keys: list[str], ts: str, width_us: int, flag: Column | None = None, out: str = "trailing",
+                   chunk_us: int | None = None) -> DataFrame:
+    """Rows of the same key (those with `flag`) in (t - width, t], the row itself included.
+
+    Time is cut into chunks of at least the window; rows near a chunk's end are copied into the next
+    chunk, so each chunk is counted on its own.
+    """
+    chunk = max(int(chunk_us or 0), int(width_us))
+    one = F.lit(1) if flag is None else F.when(flag, 1).otherwise(0)
+    tagged = df.withColumn("_one", one).withColumn("_chunk", F.floor(F.col(ts) / F.lit(chunk)).cast("long"))
+    near_end = F.col(ts) > (F.col("_chunk") + 1) * chunk - width_us
+    copies = tagged.withColumn("_own", F.explode(F.when(near_end, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    copies = copies.withColumn("_chunk", F.when(F.col("_own"), F.col("_chunk")).otherwise(F.col("_chunk") + 1))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(ts).rangeBetween(-(int(width_us) - 1), 0)
+    return copies.withColumn(out, F.sum("_one").over(w)).where("_own").drop("_one", "_own", "_chunk")
