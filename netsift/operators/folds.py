@@ -7,7 +7,7 @@ read as a sorted stream of batches and keeps only the small state, never its row
 
 from __future__ import annotations
 
-from collections import deque
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -29,13 +29,11 @@ class SlidingLimit:
         return []
 
     def step(self, state: list, ts: int) -> tuple[list, bool]:
-        recent = deque(state)
-        while recent and recent[0] <= ts - self.window_us:
-            recent.popleft()
-        accepted = len(recent) < self.limit
+        del state[:bisect_right(state, ts - self.window_us)]
+        accepted = len(state) < self.limit
         if accepted:
-            recent.append(ts)
-        return list(recent), accepted
+            state.append(ts)
+        return state, accepted
 
 
 class Breaker:
@@ -75,34 +73,27 @@ class Breaker:
         return [OPEN if trip else name, failures, ts, probes]
 
 
-def _stream_fold(df: DataFrame, keys: list[str], order: list[str], schema: str, start: Callable, advance: Callable) -> DataFrame:
-    """Runs `advance(state, row_tuple) -> (state, outputs)` along each key's sorted rows, batch by batch.
+def _stream_fold(df: DataFrame, keys: list[str], order: list[str], needs: list[str], extra: str, start: Callable, advance: Callable) -> DataFrame:
+    """Runs `advance(state, *needs) -> (state, output tuple)` along each key's sorted rows, batch by batch.
 
     Rows of a key are together and sorted inside a partition; the state is carried from one Arrow batch
-    to the next, so memory does not grow with the key.
+    to the next, so memory does not grow with the key. `extra` names the output columns as DDL.
     """
-    columns = df.columns
+    names = [part.split()[0] for part in extra.split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for pdf in frames:
             outputs = []
-            for row in pdf.itertuples(index=False, name=None):
-                rec = dict(zip(columns, row))
-                key = tuple(rec[k] for k in keys)
+            for key, args in zip(zip(*[pdf[k] for k in keys]), zip(*[pdf[c].tolist() for c in needs])):
                 if key != current:
                     current, state = key, start()
-                state, out = advance(state, rec)
+                state, out = advance(state, *args)
                 outputs.append(out)
-            extra = pd.DataFrame(outputs, index=pdf.index)
-            yield pd.concat([pdf, extra], axis=1)
+            yield pdf.assign(**{n: [o[i] for o in outputs] for i, n in enumerate(names)})
 
     placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return placed.mapInPandas(run, schema)
-
-
-def _schema(df: DataFrame, extra: str) -> str:
-    return ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", " + extra
+    return placed.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", " + extra)
 
 
 def rate_limit(df: DataFrame, key: str, ts: str, order: list[str], limit: int = 100, window_us: int = 60_000_000,
@@ -130,11 +121,11 @@ def rate_limit(df: DataFrame, key: str, ts: str, order: list[str], limit: int =
         tagged.where(F.col("_warm_piece").isNotNull() & tail).select(*df.columns, F.col("_warm_piece").alias("_piece"), F.lit(True).alias("_warm")))
     rule = SlidingLimit(limit, window_us)
 
-    def advance(state, rec):
-        state, ok = rule.step(state, rec[ts])
-        return state, {out: ok}
+    def advance(state, at):
+        state, ok = rule.step(state, at)
+        return state, (ok,)
 
-    folded = _stream_fold(part, [key, "_piece"], [ts, *order], _schema(part, f"{out} boolean"), rule.start, advance)
+    folded = _stream_fold(part, [key, "_piece"], [ts, *order], [ts], f"{out} boolean", rule.start, advance)
     calm = tagged.where(F.col("_piece").isNull()).select(*df.columns, F.lit(True).alias(out))
     return calm.unionByName(folded.where(~F.col("_warm")).select(*df.columns, out))
 
@@ -173,11 +164,11 @@ def service_health(df: DataFrame, key: str, ts: str, order: list[str], success:
         key, "_chunk", F.coalesce(F.sum("_cut").over(before), F.lit(0)).alias("_piece"))
     part = tagged.join(pieces, [key, "_chunk"]).drop("_chunk")
 
-    def advance(state, rec):
-        state, (seen, executed) = rule.step(state, rec[ts], bool(rec[success]))
-        return state, {"state": seen, "executed": executed, "state_after": state[0]}
+    def advance(state, at, ok):
+        state, (seen, executed) = rule.step(state, at, bool(ok))
+        return state, (seen, executed, state[0])
 
-    out = _stream_fold(part, [key, "_piece"], [ts, *order], _schema(part, "state string, executed boolean, state_after string"), rule.start, advance)
+    out = _stream_fold(part, [key, "_piece"], [ts, *order], [ts, success], "state string, executed boolean, state_after string", rule.start, advance)
     return out.drop("_piece")
 
 

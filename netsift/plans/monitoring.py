@@ -95,7 +95,8 @@ def j5(spark, sf_dir):
     return breaker(spark, sf_dir).select("request_id", "state", "executed", "state_after")
 
 
-@query("j5_request_gate")
+@query("j5_request_gate", f"""WITH RECURSIVE {_LIMIT_SQL}, passed AS (SELECT * FROM lim WHERE allowed), {_cb_sql('passed')}
+SELECT request_id, allowed, seen AS state, coalesce(executed, false) AS executed FROM lim LEFT JOIN (SELECT request_id, seen, executed FROM cb WHERE n > 0) USING (request_id)""")
 def j5_gate(spark, sf_dir):
     return breaker(spark, sf_dir, gate=True).select("request_id", "allowed", "state", "executed")
 

@@ -21,11 +21,11 @@ class DomainFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
 
 
 class NumericGuard(StateModel):
-    """Every feature as a finite double, anything else 0. State: passthrough column names."""
+    """The listed features as finite doubles, anything else 0; other columns are left alone."""
 
     def _transform(self, df):
-        keep = self.fitted["passthrough"] if self.isSet(self.state) else []
-        return df.select(*[F.col(f"`{c}`") if c in keep else to_number(F.col(f"`{c}`"), 0).alias(c) for c in df.columns])
+        features = set(self.fitted["features"])
+        return df.select(*[to_number(F.col(f"`{c}`"), 0).alias(c) if c in features else F.col(f"`{c}`") for c in df.columns])
 
 
 class DropColumns(Estimator):
