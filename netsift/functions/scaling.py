@@ -134,6 +134,29 @@ def bucket_index(value: Column, bounds: list[float]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b < value))
 
 
+def sorted_position(arr: Column, value: Column, bits: int, inclusive: bool = False) -> Column:
+    """How many entries of a sorted array lie below `value` (`inclusive`: at or below), by binary search.
+
+    The array must be padded to exactly 2^bits - 1 entries, see `padded`.
+    """
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(bits))])
+
+    def halve(acc: Column, step: Column) -> Column:
+        entry = F.get(arr, acc + step - 1)
+        return acc + F.when(entry <= value if inclusive else entry < value, step).otherwise(0)
+
+    return F.aggregate(steps, F.lit(0), halve)
+
+
+def padded(values: list, bits: int, top) -> list:
+    """Sorted distinct values filled up to 2^bits - 1 entries with `top`, which no value reaches."""
+    out = sorted(set(values))
+    size = (1 << bits) - 1
+    if len(out) > size:
+        raise ValueError(f"{len(out)} values do not fit in {size} places")
+    return out + [top] * (size - len(out))
+
+
 def quantiles(df: DataFrame, columns: list[str], probs: list[float], *, exact: bool = True,
               hash_limit: int = 1_000_000, side_bins: int = 512) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of several columns, NULLs ignored; one small list per column.
@@ -148,8 +171,11 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float], *, exact: b
     if not exact:
         row = df.agg(*[F.percentile_approx(c, list(probs), 10_000).alias(c) for c in columns]).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
-    sizes = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in columns]).first()
-    narrow = [c for c in columns if sizes[c] <= hash_limit]
+    if df.limit(hash_limit + 1).count() <= hash_limit:
+        narrow = list(columns)
+    else:
+        sizes = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in columns]).first()
+        narrow = [c for c in columns if sizes[c] <= hash_limit]
     result: dict[str, list[float | None]] = {}
     if narrow:
         arr = F.array(*[F.lit(float(p)) for p in probs])

@@ -1,8 +1,8 @@
 """Distribution drift between a baseline and a live batch.
 
-All numeric features go through one long table of distinct values with their counts on both sides.
-Running counts over it (cut into value ranges, so a feature is spread over tasks) give the KS
-statistic, exact quantiles and histograms; only per-feature numbers reach the driver.
+All numeric features go through one long table of distinct values with their counts on both sides,
+written once. Running counts over it (cut into value ranges, so a feature is spread over tasks) give the
+KS statistic and exact quantiles, a grouped sum the histograms; only per-feature numbers reach the driver.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from netsift import schema as S
 from netsift.functions.cleaning import norm_text, normalise_names, to_number
-from netsift.functions.scaling import running_sums
+from netsift.functions.scaling import padded, running_sums, sorted_position
 from netsift.functions.stats import array_quantile, chi2_pvalue, ks_pvalue
 from netsift.session import materialize
 
@@ -56,103 +56,110 @@ def _sides(base: DataFrame, live: DataFrame, columns: list[str], number: bool) -
 
 @dataclass
 class ValueTable:
-    """Distinct values per feature with counts and running counts, and the moments of each side."""
-
-    table: DataFrame  # feature, x, n_base, n_live, c_base, c_live
-    moments: dict     # feature -> Row(n_base, n_live, mean_base, mean_live, std_base, lo, hi)
-    uniques: dict     # feature -> (pooled, baseline, live) distinct counts
-
-
-def value_table(base: DataFrame, live: DataFrame, features: list[str], segments: int = 64) -> ValueTable:
-    both = _sides(base, live, features, number=True)
-    at = lambda c, side: F.when(F.col("side") == side, F.col(c))
-    cuts = [i / segments for i in range(1, segments)]
-    row = both.agg(*[
-        F.struct(
-            F.count(at(c, 0)).alias("n_base"), F.count(at(c, 1)).alias("n_live"), F.avg(at(c, 0)).alias("mean_base"),
-            F.avg(at(c, 1)).alias("mean_live"), F.stddev_pop(at(c, 0)).alias("std_base"), F.min(c).alias("lo"), F.max(c).alias("hi"),
-            F.percentile_approx(c, cuts, 1_000).alias("cuts")).alias(f"m{i}")
-        for i, c in enumerate(features)]).first()
-    moments = {c: row[f"m{i}"] for i, c in enumerate(features)}
-    long = both.unpivot(["side"], features, "feature", "x").where("x is not null")
+    """Distinct values per feature with their counts on both sides, and what one pass over them yields."""
+
+    table: DataFrame  # feature, x, n_base, n_live
+    stats: dict       # feature -> dict(n_base, n_live, unique, unique_base, unique_live, lo, hi, mean_*, std_base, ks)
+    at_rank: dict     # (feature, "pooled" | "base", 0-based rank) -> value
+
+
+EMPTY = {"n_base": 0, "n_live": 0, "unique": 0, "unique_base": 0, "unique_live": 0, "lo": None, "hi": None,
+         "mean_base": None, "mean_live": None, "std_base": None, "ks": 0.0}
+
+
+def _rank_pairs(n: int, probs) -> set[int]:
+    return {r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))} if n else set()
+
+
+def _bin_probs(unique: int, max_bins: int = MAX_BINS) -> list[float]:
+    """Quantiles bin_edges can ask for: quartiles and the steps of the quantile bins."""
+    steps = {i / max_bins for i in range(max_bins + 1)}
+    if 2 < unique < max_bins:
+        steps |= {i / unique for i in range(unique + 1)}
+    return sorted({0.25, 0.75, *steps})
+
+
+def value_table(base: DataFrame, live: DataFrame, features: list[str], deciles: int = 10) -> ValueTable:
+    """Counts every distinct value once (the only pass over the rows), then reads KS statistics,
+    moments and exact quantiles off the counted values."""
+    spark = base.sparkSession
+    long = _sides(base, live, features, number=True).unpivot(["side"], features, "feature", "x").where("x is not null")
     counts = long.groupBy("feature", "x").agg(F.count_if(F.col("side") == 0).alias("n_base"), F.count_if(F.col("side") == 1).alias("n_live"))
-    edges = F.create_map(*[v for c in features for v in (
-        F.lit(c), F.array(*[F.lit(float(e)) for e in sorted(set(moments[c]["cuts"] or []))]).cast("array<double>"))])
-    seg = F.size(F.filter(F.element_at(edges, F.col("feature")), lambda b: b < F.col("x")))
-    cum = running_sums(counts.withColumn("seg", seg), ["feature"], "seg", ["x"], {"c_base": "n_base", "c_live": "n_live"}).drop("seg")
-    table = materialize(cum, "drift-values")
-    found = table.groupBy("feature").agg(F.count("*").alias("u"), F.count_if(F.col("n_base") > 0).alias("b"), F.count_if(F.col("n_live") > 0).alias("l"))
-    uniques = {c: (0, 0, 0) for c in features}
-    uniques.update({r["feature"]: (r["u"], r["b"], r["l"]) for r in found.collect()})
-    return ValueTable(table, moments, uniques)
+    table = materialize(counts, "drift-values")
+    x, nb, nl = F.col("x"), F.col("n_base"), F.col("n_live")
+    rows = table.groupBy("feature").agg(
+        F.sum(nb).alias("n_base"), F.sum(nl).alias("n_live"), F.count("*").alias("unique"), F.count_if(nb > 0).alias("unique_base"),
+        F.count_if(nl > 0).alias("unique_live"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.try_divide(F.sum(x * nb), F.sum(nb)).alias("mean_base"),
+        F.try_divide(F.sum(x * nl), F.sum(nl)).alias("mean_live"), F.percentile_approx(x, [i / 64 for i in range(1, 64)], 1_000).alias("cuts")).collect()
+    stats = {c: dict(EMPTY) for c in features}
+    stats.update({r["feature"]: {**EMPTY, **{k: r[k] for k in r.asDict() if k not in ("feature", "cuts")}} for r in rows})
+    far, last = float("inf"), 2**62
+    side = spark.createDataFrame([(
+        r["feature"], float(r["n_base"]), float(r["n_live"]), r["mean_base"], padded(r["cuts"], 6, far),
+        padded(_rank_pairs(r["n_base"] + r["n_live"], _bin_probs(r["unique"])), 7, last),
+        padded(_rank_pairs(r["n_base"], [i / deciles for i in range(deciles + 1)]), 7, last)) for r in rows],
+        "feature string, nb double, nl double, centre double, cuts array<double>, pooled array<long>, base array<long>")
+    tagged = table.join(F.broadcast(side), "feature")
+    cum = running_sums(tagged.withColumn("seg", sorted_position(F.col("cuts"), x, 6)), ["feature"], "seg", ["x"], {"cb": "n_base", "cl": "n_live"})
+    gap = F.abs(F.try_divide(F.col("cb"), F.col("nb")) - F.try_divide(F.col("cl"), F.col("nl")))
+
+    def covered(of: str, upto: Column, size: Column) -> Column:
+        """The wanted ranks a value covers; almost always none, which the binary search tells."""
+        first = F.get(of, sorted_position(F.col(of), upto - size, 7))
+        found = F.transform(F.filter(of, lambda r: (r >= upto - size) & (r < upto)), lambda r: F.struct(F.lit(of).alias("of"), r.alias("r"), x.alias("x")))
+        return F.when(first < upto, found)
+
+    none = F.array().cast("array<struct<of:string,r:bigint,x:double>>")
+    pooled, own = covered("pooled", F.col("cb") + F.col("cl"), nb + nl), covered("base", F.col("cb"), nb)
+    cum = cum.withColumn("_p", pooled).withColumn("_b", own)
+    hits = F.when(F.col("_p").isNotNull() | F.col("_b").isNotNull(), F.concat(F.coalesce("_p", none), F.coalesce("_b", none)))
+    read = cum.groupBy("feature").agg(  # the lists hold one entry per wanted rank, a few dozen per feature
+        F.max(gap).alias("ks"), F.sum(nb * (x - F.col("centre")) * (x - F.col("centre"))).alias("sq"),
+        F.flatten(F.collect_list(hits)).alias("hits")).collect()
+    at = {}
+    for r in read:
+        s = stats[r["feature"]]
+        s["ks"] = r["ks"] if r["ks"] is not None else 0.0
+        s["std_base"] = (r["sq"] / s["n_base"]) ** 0.5 if s["n_base"] else None
+        at.update({(r["feature"], h["of"], h["r"]): h["x"] for h in r["hits"]})
+    return ValueTable(table, stats, at)
 
 
 def ks_statistics(v: ValueTable) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic and asymptotic p-value; an empty side gives (0, 1)."""
     spark = v.table.sparkSession
-    sizes = spark.createDataFrame([(c, float(m["n_base"]), float(m["n_live"])) for c, m in v.moments.items()], "feature string, nb double, nl double")
-    gap = F.abs(F.try_divide(F.col("c_base"), F.col("nb")) - F.try_divide(F.col("c_live"), F.col("nl")))
-    stat = v.table.join(F.broadcast(sizes), "feature").groupBy("feature").agg(F.max(gap).alias("ks_stat"))
-    out = sizes.join(stat, "feature", "left").withColumn("ks_stat", F.coalesce("ks_stat", F.lit(0.0)))
+    out = spark.createDataFrame([(c, float(m["ks"]), float(m["n_base"]), float(m["n_live"])) for c, m in v.stats.items()], "feature string, ks_stat double, nb double, nl double")
     p = F.when((F.col("nb") > 0) & (F.col("nl") > 0), ks_pvalue(F.col("ks_stat"), F.col("nb"), F.col("nl"))).otherwise(1.0)
     return out.select("feature", "ks_stat", p.alias("ks_pvalue"))
 
 
-def _value_at(v: ValueTable, wanted: list[tuple[str, int]], base_only: bool = False) -> dict[tuple[str, int], float]:
-    """The values at 0-based ranks of the pooled (or baseline) sample, read off the running counts."""
-    if not wanted:
-        return {}
-    spark = v.table.sparkSession
-    ranks = spark.createDataFrame(sorted(set(wanted)), "feature string, r long")
-    n = F.col("n_base") if base_only else F.col("n_base") + F.col("n_live")
-    c = F.col("c_base") if base_only else F.col("c_base") + F.col("c_live")
-    hit = v.table.select("feature", "x", c.alias("c"), n.alias("n")).where("n > 0").join(F.broadcast(ranks), "feature").where("r >= c - n and r < c")
-    return {(r["feature"], r["r"]): r["x"] for r in hit.select("feature", "r", "x").collect()}
-
-
-def _quantile_lists(v: ValueTable, probs: list[float], base_only: bool = False) -> dict[str, list[float]]:
-    size = {c: m["n_base"] if base_only else m["n_base"] + m["n_live"] for c, m in v.moments.items()}
-    wanted = [(c, r) for c, n in size.items() if n for p in probs for r in {math.floor(p * (n - 1)), math.ceil(p * (n - 1))}]
-    at = _value_at(v, wanted, base_only)
-    out = {}
-    for c, n in size.items():
-        if n:
-            qs = []
-            for p in probs:
-                pos = p * (n - 1)
-                a, b = at[(c, math.floor(pos))], at[(c, math.ceil(pos))]
-                qs.append(a + (b - a) * (pos - math.floor(pos)))
-            out[c] = qs
-    return out
+def _quantile(v: ValueTable, feature: str, of: str, p: float) -> float:
+    n = v.stats[feature]["n_base"] + (v.stats[feature]["n_live"] if of == "pooled" else 0)
+    pos = p * (n - 1)
+    a, b = v.at_rank[(feature, of, math.floor(pos))], v.at_rank[(feature, of, math.ceil(pos))]
+    return a + (b - a) * (pos - math.floor(pos))
 
 
 def bin_edges(v: ValueTable, max_bins: int = MAX_BINS) -> dict[str, list[float]]:
     """Histogram edges per feature on the pooled values: one bin for up to two values, else
     Freedman-Diaconis bins, else distinct quantiles when those are too few or too many."""
-    steps = {k: [i / k for i in range(k + 1)] for k in range(1, max_bins + 1)}
-    needed = {0.25, 0.75, *steps[max_bins]}
-    for c, (u, _, _) in v.uniques.items():
-        if 2 < u < max_bins:
-            needed |= set(steps[u])
-    probs = sorted(needed)
-    q = _quantile_lists(v, probs)
     out = {}
-    for c, m in v.moments.items():
-        if c not in q:
+    for c, m in v.stats.items():
+        lo, hi, unique, n = m["lo"], m["hi"], m["unique"], m["n_base"] + m["n_live"]
+        if unique == 0:
             out[c] = [0.0, 1.0]
             continue
-        lo, hi, unique, n = m["lo"], m["hi"], v.uniques[c][0], m["n_base"] + m["n_live"]
         if unique <= 2:
             out[c] = [lo - 0.5, hi + 0.5]
             continue
-        by = dict(zip(probs, q[c]))
-        width = 2.0 * (by[0.75] - by[0.25]) * n ** (-1.0 / 3.0)
+        at = lambda p, c=c: _quantile(v, c, "pooled", p)
+        width = 2.0 * (at(0.75) - at(0.25)) * n ** (-1.0 / 3.0)
         bins = math.ceil((hi - lo) / width) if width > 0 else 1
         if 2 <= bins <= max_bins:
             out[c] = [lo + i * ((hi - lo) / bins) for i in range(bins)] + [hi]
             continue
         k = min(max_bins, unique) if bins < 2 else max_bins
-        distinct = sorted({by[p] for p in steps[k]})
+        distinct = sorted({at(i / k) for i in range(k + 1)})
         out[c] = distinct if len(distinct) >= 2 else [lo - 0.5, hi + 0.5]
     return out
 
@@ -164,8 +171,9 @@ def _edge_column(edges: dict[str, list[float]]) -> Column:
 def histogram_distributions(v: ValueTable, edges: dict[str, list[float]]) -> DataFrame:
     """Share of each side per (feature, bin): bins closed on the left, the last one on both ends."""
     spark = v.table.sparkSession
-    at = F.size(F.filter(F.col("edges"), lambda b: b <= F.col("x"))) - 1
-    binned = v.table.withColumn("edges", _edge_column(edges)).withColumn("bin", F.least(at, F.size("edges") - 2))
+    side = spark.createDataFrame([(c, padded(e, 5, float("inf")), len(e)) for c, e in edges.items()], "feature string, edges array<double>, k int")
+    at = sorted_position(F.col("edges"), F.col("x"), 5, inclusive=True) - 1
+    binned = v.table.join(F.broadcast(side), "feature").withColumn("bin", F.least(at, F.col("k") - 2))
     counts = binned.groupBy("feature", "bin").agg(F.sum("n_base").alias("n_base"), F.sum("n_live").alias("n_live"))
     grid = spark.createDataFrame([(c, i, e[i], e[i + 1]) for c, e in edges.items() for i in range(len(e) - 1)],
                                  "feature string, bin int, left_edge double, right_edge double")
@@ -196,7 +204,7 @@ def divergences(dist: DataFrame) -> DataFrame:
 
 def mean_shifts(v: ValueTable) -> DataFrame:
     spark = v.table.sparkSession
-    rows = [(c, m["mean_base"], m["mean_live"], m["std_base"]) for c, m in v.moments.items()]
+    rows = [(c, m["mean_base"], m["mean_live"], m["std_base"]) for c, m in v.stats.items()]
     t = spark.createDataFrame(rows, "feature string, baseline_mean double, live_mean double, std_base double")
     shift = F.when(F.col("std_base") <= 1e-9, 0.0).otherwise(
         F.least(F.abs(F.col("live_mean") - F.col("baseline_mean")) / (F.col("std_base") + 1e-9), F.lit(3.0)) / 3.0)
@@ -208,7 +216,7 @@ def numeric_results(base: DataFrame, live: DataFrame, features: list[str]) -> Da
     v = value_table(base, live, features)
     spark = v.table.sparkSession
     unique = spark.createDataFrame(
-        [(c, v.uniques[c][1], v.uniques[c][2], bool(m["n_base"] and m["n_live"])) for c, m in v.moments.items()],
+        [(c, m["unique_base"], m["unique_live"], bool(m["n_base"] and m["n_live"])) for c, m in v.stats.items()],
         "feature string, baseline_unique long, live_unique long, filled boolean")
     r = (
         unique.join(ks_statistics(v), "feature").join(divergences(histogram_distributions(v, bin_edges(v))), "feature")
@@ -232,12 +240,11 @@ def _clip(c: Column) -> Column:
 
 def psi_deciles(base: DataFrame, live: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
     """PSI on the baseline's own quantile bins (open left, first closed); live values outside are left out."""
-    v = value_table(base, live, features)
-    q = _quantile_lists(v, [i / bins for i in range(bins + 1)], base_only=True)
-    edges = {c: sorted(set(e)) for c, e in q.items()}
-    usable = {c: e for c, e in edges.items() if len(e) >= 2 and v.uniques[c][1] > 1 and v.uniques[c][2] > 0}
+    v = value_table(base, live, features, deciles=bins)
+    edges = {c: sorted({_quantile(v, c, "base", i / bins) for i in range(bins + 1)}) for c, m in v.stats.items() if m["n_base"]}
+    usable = {c: e for c, e in edges.items() if len(e) >= 2 and v.stats[c]["unique_base"] > 1 and v.stats[c]["n_live"] > 0}
     spark = v.table.sparkSession
-    fixed = [(c, 1.0 if v.uniques[c][1] == 1 and v.uniques[c][2] > 1 else 0.0) for c in features if c not in usable]
+    fixed = [(c, 1.0 if v.stats[c]["unique_base"] == 1 and v.stats[c]["unique_live"] > 1 else 0.0) for c in features if c not in usable]
     done = spark.createDataFrame(fixed, "feature string, psi double")
     if not usable:
         return done

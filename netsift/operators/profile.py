@@ -55,11 +55,16 @@ def top_missing(df: DataFrame, n: int = 30) -> DataFrame:
 
 def constant_columns(df: DataFrame) -> DataFrame:
     """Columns with at most one value, NULL counting as a value. Min and max decide; no distinct needed."""
+    return column_facts(df).where("constant").select("column_name")
+
+
+def column_facts(df: DataFrame) -> DataFrame:
+    """Missing ratio and constancy of every column from one scan."""
     stats = _long(df, df.columns, {
-        "n": lambda c: F.count(F.lit(1)), "present": lambda c: F.count(c),
-        "same": lambda c: F.coalesce(F.min(c) == F.max(c), F.lit(False))})
-    one_value = F.col("same") & (F.col("present") == F.col("n"))
-    return stats.where((F.col("present") == 0) | one_value).select("column_name")
+        "missing_ratio": lambda c: F.coalesce(F.avg(F.col(c).isNull().cast("int")), F.lit(0.0)), "n": lambda c: F.count(F.lit(1)),
+        "present": lambda c: F.count(c), "same": lambda c: F.coalesce(F.min(c) == F.max(c), F.lit(False))})
+    constant = (F.col("present") == 0) | (F.col("same") & (F.col("present") == F.col("n")))
+    return stats.select("column_name", "missing_ratio", constant.alias("constant"))
 
 
 def binary_columns(df: DataFrame) -> DataFrame:
@@ -101,29 +106,32 @@ def correlated_columns(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("feature_1", "feature_2")).alias("column_name")).distinct()
 
 
-def bin_expr(value: Column, edges: list[float]) -> Column:
-    """Number of `edges` at or below the value, as plain comparisons."""
-    out = F.lit(0)
-    for e in edges:
-        out = out + (value >= F.lit(float(e))).cast("int")
-    return out
+def bin_expr(value: str, edges: list[float]) -> Column:
+    """Number of `edges` at or below a SQL expression, as plain comparisons."""
+    return F.expr(" + ".join(f"int({value} >= double('{float(e)!r}'))" for e in edges) or "0")
+
+
+def information_probs(bins: int = 16) -> list[float]:
+    return sorted({i / bins for i in range(bins + 1)} | {0.5})
 
 
-def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int = 16, exact: bool = True) -> DataFrame:
+def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int = 16, exact: bool = True,
+                       known: dict[str, list[float]] | None = None) -> DataFrame:
     """Plug-in mutual information (nats) of every numeric column with a class.
 
     NULLs become the column median; columns are cut at their quantiles; only (column, bin, class) counts
-    are shuffled, whatever the number of rows.
+    are shuffled, whatever the number of rows. `known` holds the quantiles at information_probs(bins)
+    when the caller has them.
     """
     probs = [i / bins for i in range(bins + 1)]
-    q = quantiles(df, columns, sorted(set(probs) | {0.5}), exact=exact)
-    order = sorted(set(probs) | {0.5})
+    order = information_probs(bins)
+    q = known or quantiles(df, columns, order, exact=exact)
     base = df.where(F.col(label).isNotNull())
     binned = []
     for c in columns:
         median = q[c][order.index(0.5)]
         inner = sorted({q[c][order.index(p)] for p in probs[1:-1]} - {None})
-        value = F.coalesce(F.col(c).cast("double"), F.lit(median if median is not None else 0.0))
+        value = f"coalesce(double(`{c}`), double('{float(median or 0.0)!r}'))"
         binned.append(bin_expr(value, inner).alias(c))
     long = base.select(F.col(label).alias("_class"), *binned).unpivot(["_class"], columns, "feature", "bin")
     cell = long.groupBy("feature", "bin", "_class").agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from netsift.functions.cleaning import to_number
 from netsift.functions.scaling import correlations, quantiles
 from netsift.operators.packets import domain_features
-from netsift.operators.profile import constant_columns, missing_over, mutual_information, numeric_columns, text_columns
+from netsift.operators.profile import column_facts, information_probs, mutual_information, numeric_columns, text_columns
 from netsift.prepare.base import StateModel, feature_columns
 
 
@@ -37,8 +37,9 @@ class DropColumns(Estimator):
 
     def _fit(self, df):
         x = df.select(*feature_columns(df, self.passthrough))
-        missing = sorted(r["column_name"] for r in missing_over(x, self.missing_threshold).collect())
-        constant = sorted(r["column_name"] for r in constant_columns(x).collect())
+        facts = column_facts(x).collect()
+        missing = sorted(r["column_name"] for r in facts if r["missing_ratio"] > self.missing_threshold)
+        constant = sorted(r["column_name"] for r in facts if r["constant"])
         drops = sorted({"srcip", "dstip", *self.drop, *missing, *constant} - set(self.passthrough))
         return DropColumnsModel(missing=missing, constant=constant, drop=drops)
 
@@ -115,11 +116,16 @@ class FeatureSelector(Estimator):
             pairs = sorted((r["j"], r["i"], r["feature_1"], r["feature_2"]) for r in high.collect())
             var = x.agg(*[F.var_samp(F.col(c).cast("double")).alias(c) for c in numeric]).first().asDict()
             gone = correlated_to_remove([(a, b) for _, _, a, b in pairs], {c: v or 0.0 for c, v in var.items()}, set(self.protected))
+        # one quantile pass serves the information bins and the caps
+        info, ends = information_probs(), [self.lower_pct / 100.0, self.upper_pct / 100.0]
+        probs = sorted({*info, *ends}) if self.label else ends
+        q = quantiles(x, numeric, probs, exact=self.exact)
+        pick = lambda wanted: {c: [v[probs.index(p)] for p in wanted] for c, v in q.items()}
         scores = {}
         if self.label and numeric:
-            scores = {r["feature"]: r["mi"] for r in mutual_information(x, numeric, "_y", exact=self.exact).collect()}
+            scores = {r["feature"]: r["mi"] for r in mutual_information(x, numeric, "_y", known=pick(info)).collect()}
         low = sorted(c for c, s in scores.items() if s < self.mi_threshold and c not in self.protected)
-        caps = quantiles(x, numeric, [self.lower_pct / 100.0, self.upper_pct / 100.0], exact=self.exact)
+        caps = pick(ends)
         return FeatureSelectorModel(drop=[c for c in self.drop if c in df.columns], correlated=gone, low_mi=low, scores=scores,
                                     caps={c: q for c, q in caps.items() if q[0] is not None}, mi_threshold=self.mi_threshold)
 
