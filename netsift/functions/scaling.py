@@ -158,73 +158,146 @@ def padded(values: list, bits: int, top) -> list:
 
 
 def quantiles(df: DataFrame, columns: list[str], probs: list[float], *, exact: bool = True,
-              hash_limit: int = 1_000_000, side_bins: int = 512) -> dict[str, list[float | None]]:
+              hash_limit: int = 100_000, leaf: int = 2_000) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of several columns, NULLs ignored; one small list per column.
 
-    `percentile` keeps every distinct value of a column in one buffer, so it is used only for columns
-    whose distinct count is known to be small. Other columns are narrowed by counting: each round one
-    scan splits the interval that holds a wanted rank into `side_bins` parts until the part is small
-    enough to read exactly. `exact=False` uses the bounded sketch instead.
+    `percentile` keeps every distinct value of a column in one buffer, so it serves only tables of at most
+    `hash_limit` rows. Beyond that the wanted ranks are bracketed by the bounded sketch and pinned down by
+    counting, all columns in the same scans (see _quantiles_by_counting). `exact=False` is the sketch alone.
     """
     if not columns:
         return {}
+    x = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
     if not exact:
-        row = df.agg(*[F.percentile_approx(c, list(probs), 10_000).alias(c) for c in columns]).first()
+        row = x.agg(*[F.percentile_approx(f"`{c}`", list(probs), 10_000).alias(c) for c in columns]).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
-    if df.limit(hash_limit + 1).count() <= hash_limit:
-        narrow = list(columns)
-    else:
-        sizes = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in columns]).first()
-        narrow = [c for c in columns if sizes[c] <= hash_limit]
-    result: dict[str, list[float | None]] = {}
-    if narrow:
+    if hash_limit > 0 and df.limit(hash_limit + 1).count() <= hash_limit:
         arr = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), arr).alias(c) for c in narrow]).first()
-        for c in narrow:
-            result[c] = list(row[c]) if row[c] is not None else [None] * len(probs)
+        row = x.agg(*[F.percentile(f"`{c}`", arr).alias(c) for c in columns]).first()
+        return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
+    return _quantiles_by_counting(x, columns, probs, leaf)
+
+
+def _located(x: DataFrame, parts: dict[str, list[dict]], inside_only: bool = False) -> DataFrame:
+    """(feature, pos, x, n): `pos` is how many ends of the column's disjoint, sorted intervals lie behind x,
+    odd inside interval (pos + 1) / 2.
+
+    Tasks search the ends with numpy over Arrow batches. Without `inside_only` they hand on one count per
+    (feature, pos) and x is NULL; with it, the few rows that lie inside an interval.
+    """
+    names = list(parts)
+    lows = [np.array([q["lo"] for q in parts[c]]) for c in names]
+    highs = [np.array([q["hi"] for q in parts[c]]) for c in names]
+
+    def locate(batches):
+        totals = [np.zeros(2 * len(lo) + 1, dtype=np.int64) for lo in lows]
+        for batch in batches:
+            out = []
+            for i, column in enumerate(batch.columns):
+                v = column.drop_null().to_numpy(zero_copy_only=False).astype(float)
+                pos = np.searchsorted(lows[i], v, side="right") + np.searchsorted(highs[i], v, side="left")
+                if inside_only:
+                    hit = pos % 2 == 1
+                    out.append((np.full(hit.sum(), i), pos[hit], v[hit]))
+                else:
+                    totals[i] += np.bincount(pos, minlength=len(totals[i]))
+            if inside_only:
+                f, pos, v = (np.concatenate(part) for part in zip(*out))
+                yield _batch(f, pos, v, np.ones(len(v), dtype=np.int64))
+        if not inside_only:
+            f = np.concatenate([np.full(len(t), i) for i, t in enumerate(totals)])
+            pos = np.concatenate([np.arange(len(t)) for t in totals])
+            yield _batch(f, pos, np.full(len(f), np.nan), np.concatenate(totals))
+
+    def _batch(f, pos, v, n):
+        return pa.RecordBatch.from_arrays([pa.array([names[k] for k in f], pa.string()), pa.array(pos, pa.int32()), pa.array(v, pa.float64()), pa.array(n, pa.int64())],
+                                          names=["feature", "pos", "x", "n"])
+
+    found = x.select(*[f"`{c}`" for c in names]).mapInArrow(locate, "feature string, pos int, x double, n long")
+    return found.where("n > 0")
+
+
+def _quantiles_by_counting(x: DataFrame, columns: list[str], probs: list[float], leaf: int = 2_000, split: int = 256) -> dict[str, list[float | None]]:
+    """Exact order statistics of many columns in a few scans with tiny shuffles.
+
+    The sketch's guaranteed rank error gives an interval around every wanted rank. One scan counts the rows
+    below and inside the intervals; intervals that are still large are split evenly by further scans; what
+    is left is at most `leaf` rows (or one value) per interval, which are read.
+    """
+    acc = 10_000
+    grid = {p: (max(p - 2.0 / acc, 0.0), min(p + 2.0 / acc, 1.0)) for p in probs}
+    points = sorted({e for pair in grid.values() for e in pair})
+    row = x.agg(*[F.struct(F.count(f"`{c}`").alias("n"), F.min(f"`{c}`").alias("lo"), F.max(f"`{c}`").alias("hi"),
+                           F.percentile_approx(f"`{c}`", points, acc).alias("q")).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    sizes, parts, ranks, found = {}, {}, {}, {}
+    for i, c in enumerate(columns):
+        s = row[f"s{i}"]
+        sizes[c] = n = s["n"]
+        if n == 0:
+            continue
+        at = dict(zip(points, s["q"]))
+        ranks[c] = sorted({r for p in probs for r in (int(np.floor(p * (n - 1))), int(np.ceil(p * (n - 1))))})
+        spans = sorted((s["lo"] if a == 0.0 else at[a], s["hi"] if b == 1.0 else at[b]) for a, b in grid.values())
+        merged = [list(spans[0])]
+        for lo, hi in spans[1:]:
+            if lo <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], hi)
+            else:
+                merged.append([lo, hi])
+        parts[c] = [{"lo": lo, "hi": hi} for lo, hi in merged]
+    if parts:
+        counted = _located(x, parts).groupBy("feature", "pos").agg(F.sum("n").alias("n")).collect()
+        for c, ps in parts.items():
+            mine = {r["pos"]: r["n"] for r in counted if r["feature"] == c}
+            for k, part in enumerate(ps, 1):
+                part["before"], part["n"] = sum(n for q, n in mine.items() if q < 2 * k - 1), mine.get(2 * k - 1, 0)
+
+    def keep(part, c):
+        part["want"] = [r for r in ranks[c] if part["before"] <= r < part["before"] + part["n"]]
+        if part["want"] and part["lo"] == part["hi"]:
+            found.update({(c, r): part["lo"] for r in part["want"]})
+            return False
+        return bool(part["want"])
+
+    parts = {c: [q for q in ps if keep(q, c)] for c, ps in parts.items()}
+    parts = {c: ps for c, ps in parts.items() if ps}
+    while any(q["n"] > leaf for ps in parts.values() for q in ps):
+        big = {c: [q for q in ps if q["n"] > leaf] for c, ps in parts.items()}
+        big = {c: ps for c, ps in big.items() if ps}
+        ends = x.sparkSession.createDataFrame([(c, 2 * k - 1, float(q["lo"]), float(q["hi"])) for c, ps in big.items() for k, q in enumerate(ps, 1)], "feature string, pos int, lo double, hi double")
+        spot = _located(x, big, inside_only=True).select("feature", "pos", "x").join(F.broadcast(ends), ["feature", "pos"])
+        b = F.least(F.floor((spot["x"] - spot["lo"]) / (spot["hi"] - spot["lo"]) * split), F.lit(split - 1))
+        bins = spot.groupBy("feature", "pos", b.alias("b")).agg(F.count("*").alias("n"), F.min(F.col("x")).alias("lo"), F.max(F.col("x")).alias("hi")).collect()
+        for c, ps in big.items():
+            fresh = [q for q in parts[c] if q["n"] <= leaf]
+            for k, part in enumerate(ps, 1):
+                before = part["before"]
+                for r in sorted((r for r in bins if r["feature"] == c and r["pos"] == 2 * k - 1), key=lambda r: r["b"]):
+                    sub = {"lo": r["lo"], "hi": r["hi"], "before": before, "n": r["n"]}
+                    before += r["n"]
+                    if keep(sub, c):
+                        fresh.append(sub)
+            parts[c] = sorted(fresh, key=lambda q: q["lo"])
+        parts = {c: ps for c, ps in parts.items() if ps}
+    if parts:
+        values = _located(x, parts, inside_only=True).groupBy("feature", "pos", "x").agg(F.sum("n").alias("n")).collect()
+        cum: dict[tuple, int] = {}
+        for r in sorted(values, key=lambda r: (r["feature"], r["pos"], r["x"])):
+            part = parts[r["feature"]][(r["pos"] - 1) // 2]
+            done = cum.get((r["feature"], r["pos"]), part["before"])
+            found.update({(r["feature"], w): r["x"] for w in part["want"] if done <= w < done + r["n"]})
+            cum[(r["feature"], r["pos"])] = done + r["n"]
+    out = {}
     for c in columns:
-        if c not in result:
-            result[c] = _quantiles_by_counting(df.select(F.col(c).cast("double").alias("x")).where("x is not null"),
-                                               probs, hash_limit, side_bins)
-    return result
-
-
-def _quantiles_by_counting(values: DataFrame, probs: list[float], limit: int, side_bins: int) -> list[float | None]:
-    n, lo, hi = values.agg(F.count("x"), F.min("x"), F.max("x")).first()
-    if n == 0:
-        return [None] * len(probs)
-    ranks = sorted({r for p in probs for r in (int(np.floor(p * (n - 1))), int(np.ceil(p * (n - 1))))})
-    found: dict[int, float] = {}
-    # (low edge, high edge, rows before the part, rows in the part, wanted ranks); parts are [low, high]
-    open_parts = [(lo, hi, 0, n, ranks)]
-    while open_parts:
-        part_lo, part_hi, before, size, wanted = open_parts.pop()
-        inside = values.where((F.col("x") >= F.lit(part_lo)) & (F.col("x") <= F.lit(part_hi)))
-        width = (part_hi - part_lo) / side_bins
-        if size <= limit or width <= 0 or part_lo + width == part_lo:
-            counted = inside.groupBy("x").count().orderBy("x").limit(limit + 1).collect()
-            cum = before
-            pending = list(wanted)
-            for value, count in counted:
-                cum += count
-                while pending and pending[0] < cum:
-                    found[pending.pop(0)] = value
+        n = sizes[c]
+        if n == 0:
+            out[c] = [None] * len(probs)
             continue
-        part = F.least(F.floor((F.col("x") - F.lit(part_lo)) / F.lit(width)), F.lit(side_bins - 1))
-        bins = inside.groupBy(part.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-        cum = before
-        for row in sorted(bins, key=lambda r: r["b"]):
-            here = [r for r in wanted if cum <= r < cum + row["n"]]
-            if here and row["lo"] == row["hi"]:
-                found.update({r: row["lo"] for r in here})
-            elif here:
-                open_parts.append((row["lo"], row["hi"], cum, row["n"], here))
-            cum += row["n"]
-    out = []
-    for p in probs:
-        pos = p * (n - 1)
-        a, b = found[int(np.floor(pos))], found[int(np.ceil(pos))]
-        out.append(a + (pos - np.floor(pos)) * (b - a))
+        out[c] = []
+        for p in probs:
+            pos = p * (n - 1)
+            a, b = found[(c, int(np.floor(pos)))], found[(c, int(np.ceil(pos)))]
+            out[c].append(a + (pos - np.floor(pos)) * (b - a))
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netsift import schema as S
 from netsift.functions.cleaning import to_number
 from netsift.functions.scaling import carry_forward
+from netsift.session import materialize
 
 FLOW_KEY = ["lo_ip", "lo_port", "hi_ip", "hi_port", "proto"]
 ORDER = ["ts", "seq_no"]
@@ -209,8 +210,10 @@ def connection_counts(flows: DataFrame, features: dict[str, list[str]] | None =
     """Number of flows sharing each key, for eight keys.
 
     Counts are pre-aggregated and joined back rather than taken over a window: a hot address then
-    costs one counted row, and the join can be broadcast or split by the engine.
+    costs one counted row, and the join can be broadcast or split by the engine. The flows are written
+    once, because every count reads them again.
     """
+    flows = materialize(flows, "flows")
     out = flows
     for name, keys in (features or CONNECTION_COUNTS).items():
         counts = flows.groupBy(*keys).agg(F.count("*").alias(name))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsift.functions.scaling import correlations, hash_rank, order_hash, quantiles
@@ -106,9 +108,30 @@ def correlated_columns(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("feature_1", "feature_2")).alias("column_name")).distinct()
 
 
-def bin_expr(value: str, edges: list[float]) -> Column:
-    """Number of `edges` at or below a SQL expression, as plain comparisons."""
-    return F.expr(" + ".join(f"int({value} >= double('{float(e)!r}'))" for e in edges) or "0")
+def binned_counts(df: DataFrame, columns: list[str], label: str, edges: dict[str, list[float]], fill: dict[str, float]) -> DataFrame:
+    """(feature, bin, class, n): rows per bin (edges at or below the value) and class, gaps filled.
+
+    Tasks bin whole Arrow batches with numpy and hand on their counts only.
+    """
+    cuts = [np.array(edges[c], dtype=float) for c in columns]
+    fills = [float(fill[c]) for c in columns]
+
+    def count(frames):
+        totals = {}
+        for pdf in frames:
+            codes, names = pd.factorize(pdf["_class"])
+            for i, c in enumerate(columns):
+                v = pdf[c].to_numpy(dtype=float)
+                at = np.searchsorted(cuts[i], np.where(np.isnan(v), fills[i], v), side="right")
+                cells = np.bincount(at * len(names) + codes, minlength=(len(cuts[i]) + 1) * len(names))
+                for cell in np.flatnonzero(cells):
+                    key = (c, int(cell // len(names)), names[cell % len(names)])
+                    totals[key] = totals.get(key, 0) + int(cells[cell])
+        if totals:
+            yield pd.DataFrame([(*k, n) for k, n in totals.items()], columns=["feature", "bin", "class", "n"])
+
+    x = df.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("_class"), *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    return x.mapInPandas(count, "feature string, bin int, class string, n long").groupBy("feature", "bin", "class").agg(F.sum("n").alias("n"))
 
 
 def information_probs(bins: int = 16) -> list[float]:
@@ -126,19 +149,13 @@ def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int
     probs = [i / bins for i in range(bins + 1)]
     order = information_probs(bins)
     q = known or quantiles(df, columns, order, exact=exact)
-    base = df.where(F.col(label).isNotNull())
-    binned = []
-    for c in columns:
-        median = q[c][order.index(0.5)]
-        inner = sorted({q[c][order.index(p)] for p in probs[1:-1]} - {None})
-        value = f"coalesce(double(`{c}`), double('{float(median or 0.0)!r}'))"
-        binned.append(bin_expr(value, inner).alias(c))
-    long = base.select(F.col(label).alias("_class"), *binned).unpivot(["_class"], columns, "feature", "bin")
-    cell = long.groupBy("feature", "bin", "_class").agg(F.count("*").alias("n"))
+    inner = {c: sorted({q[c][order.index(p)] for p in probs[1:-1]} - {None}) for c in columns}
+    medians = {c: q[c][order.index(0.5)] or 0.0 for c in columns}
+    cell = binned_counts(df, columns, label, inner, medians)
     by = Window.partitionBy
     p = F.col("n") / F.sum("n").over(by("feature"))
     pb = F.sum("n").over(by("feature", "bin")) / F.sum("n").over(by("feature"))
-    pc = F.sum("n").over(by("feature", "_class")) / F.sum("n").over(by("feature"))
+    pc = F.sum("n").over(by("feature", "class")) / F.sum("n").over(by("feature"))
     terms = cell.select("feature", (p * F.log(p / (pb * pc))).alias("t"))
     return terms.groupBy("feature").agg(F.greatest(F.sum("t"), F.lit(0.0)).alias("mi"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from netsift.operators import profile as D
 from netsift.plans import views as V
 from netsift.plans.cleaning import CATS_SQL, clean_flows
-from netsift.plans.profile import _MI_COLS, _union, mi_sql
+from netsift.plans.profile import _MI_COLS, _union, information, mi_sql
 from netsift.plans.registry import query
 from netsift.prepare import (
     CategoricalEncoder, DropColumns, FeatureSelector, FlowPreparation, NumericScaler, PreparationConfig, TargetEncoder, ValueImputer, compare_strategies,
@@ -58,7 +58,7 @@ def f3(spark, sf_dir):
 
 @query("f4_low_information_removal", f"WITH {_G}, {mi_sql('gappy', _MI_COLS, 'label')} SELECT feature FROM mi WHERE mi < 0.0005 AND feature <> 'sbytes'")
 def f4(spark, sf_dir):
-    return D.low_information(D.mutual_information(V.gappy_flows(spark, sf_dir), _MI_COLS, "label"), 0.0005, ["sbytes"]).select("feature")
+    return D.low_information(information(spark, sf_dir), 0.0005, ["sbytes"]).select("feature")
 
 
 @query("f5_percentile_caps", f"""WITH {V.FLOWS_SQL}, b AS (SELECT quantile_cont(sbytes, 0.01) AS s0, quantile_cont(sbytes, 0.99) AS s1, quantile_cont(dload, 0.01) AS d0, quantile_cont(dload, 0.99) AS d1 FROM flows)
@@ -70,7 +70,7 @@ def f5(spark, sf_dir):
 
 @query("f6_information_report", f"WITH {_G}, {mi_sql('gappy', _MI_COLS, 'label')} SELECT CAST(row_number() OVER (ORDER BY mi DESC, feature) AS INTEGER) AS rank, feature, round(mi, 6) AS mi_score, mi < 0.0005 AS will_remove FROM mi")
 def f6(spark, sf_dir):
-    mi = D.mutual_information(V.gappy_flows(spark, sf_dir), _MI_COLS, "label")
+    mi = information(spark, sf_dir)
     return _r(D.information_report(mi, 0.0005))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from netsift.operators import profile as D
 from netsift.plans import views as V
 from netsift.plans.registry import query
+from netsift.session import materialize
 
 _COLS = [c for c in V.FLOW_TYPES if c != "flow_id"]
 _G = V.GAPPY_SQL
@@ -96,9 +97,15 @@ mi_p AS (SELECT *, n / sum(n) OVER (PARTITION BY feature) AS p, sum(n) OVER (PAR
 mi AS (SELECT feature, greatest(sum(p * ln(p / (pb * pc))), 0) AS mi FROM mi_p GROUP BY feature)"""
 
 
+def information(spark, sf_dir):
+    """Scores of the gappy flows; the joined view is written once because several scans read it."""
+    x = materialize(V.gappy_flows(spark, sf_dir).select("label", *_MI_COLS), "information")
+    return D.mutual_information(x, _MI_COLS, "label")
+
+
 @query("d9_mutual_information", f"WITH {_G}, {mi_sql('gappy', _MI_COLS, 'label')} SELECT feature, round(mi, 6) AS mi, CAST(mi < 0.0005 AS INTEGER) AS low FROM mi")
 def d9(spark, sf_dir):
-    mi = D.mutual_information(V.gappy_flows(spark, sf_dir), _MI_COLS, "label")
+    mi = information(spark, sf_dir)
     return mi.select("feature", F.round("mi", 6).alias("mi"), (F.col("mi") < 0.0005).cast("int").alias("low"))
 
 
@@ -137,7 +144,7 @@ def d14(spark, sf_dir):
 
 @query("d15_top_information", f"WITH {_G}, {mi_sql('gappy', _MI_COLS, 'label')} SELECT feature, round(mi, 6) AS mi FROM mi ORDER BY mi DESC LIMIT 5")
 def d15(spark, sf_dir):
-    return D.top_information(D.mutual_information(V.gappy_flows(spark, sf_dir), _MI_COLS, "label"), 5).withColumn("mi", F.round("mi", 6))
+    return D.top_information(information(spark, sf_dir), 5).withColumn("mi", F.round("mi", 6))
 
 
 @query("d15_class_counts", f"WITH {V.FLOWS_SQL} SELECT label, count(*) AS n FROM flows GROUP BY label ORDER BY label")

@@ -127,12 +127,17 @@ def test_power_scaling_finds_the_likeliest_exponent(spark):
     assert abs(table["PowerTransformer"]["skewness"]) < abs(table["Original"]["skewness"]) and table["PowerTransformer"]["std"] == pytest.approx(1, abs=1e-3)
 
 
-def test_quantiles_by_counting_agree(spark):
+@pytest.mark.parametrize("leaf", [1, 40, 5_000])
+def test_quantiles_by_counting_agree(spark, leaf):
     rng = np.random.default_rng(3)
-    x = np.round(rng.gamma(2.0, 50.0, 3000), 2)
-    df = spark.createDataFrame([(float(v),) for v in x], "x double")
-    probs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
-    assert X._quantiles_by_counting(df, probs, 40, 16) == pytest.approx(list(np.quantile(x, probs)))
+    p = pd.DataFrame({"a": np.round(rng.gamma(2.0, 50.0, 3000), 2), "b": rng.integers(0, 4, 3000).astype(float), "c": 7.0, "d": np.exp(rng.normal(size=3000) * 8)})
+    p.loc[::9, "a"] = np.nan
+    df = spark.createDataFrame(p.astype(object).where(p.notna(), None), "a double, b double, c double, d double").withColumn("e", F.lit(None).cast("double"))
+    probs = [0.0, 0.01, 0.25, 0.5, 0.51, 0.99, 1.0]
+    got = X.quantiles(df, ["a", "b", "c", "d", "e"], probs, hash_limit=0, leaf=leaf)
+    for c in "abcd":
+        assert got[c] == pytest.approx(list(np.quantile(p[c].dropna(), probs)))
+    assert got["e"] == [None] * len(probs)
 
 
 def test_correlation_with_gaps(spark):
