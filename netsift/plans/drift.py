@@ -13,8 +13,14 @@ FEATURES = ["sbytes", "dbytes", "sttl", "dttl", "sload", "spkts", "swin", "tcprt
 CATS = ["proto", "state", "service"]
 
 _STEPS = {k: "[" + ", ".join(repr(i / k) for i in range(k + 1)) + "]" for k in range(3, 16)}
-NUM_SQL = V.SIDES_SQL + ", long AS (" + " UNION ALL ".join(
-    f"SELECT {i} AS side, '{c}' AS feature, CAST({c} AS DOUBLE) AS x FROM {s}" for c in FEATURES for i, s in enumerate(("baseline", "live"))) + """),
+
+
+def _long_sql(features) -> str:
+    return ", long AS (" + " UNION ALL ".join(
+        f"SELECT {i} AS side, '{c}' AS feature, CAST({c} AS DOUBLE) AS x FROM {s}" for c in features for i, s in enumerate(("baseline", "live"))) + ")"
+
+
+_NUM_BODY = """,
 vc AS (SELECT feature, x, count(*) FILTER (side = 0) AS nb, count(*) FILTER (side = 1) AS nl FROM long GROUP BY ALL),
 ks AS (SELECT feature, max(abs(cb / tb - cl / tl)) AS ks, any_value(tb) AS tb, any_value(tl) AS tl FROM (SELECT feature, sum(nb) OVER w AS cb, sum(nl) OVER w AS cl,
    sum(nb) OVER (PARTITION BY feature) AS tb, sum(nl) OVER (PARTITION BY feature) AS tl FROM vc WINDOW w AS (PARTITION BY feature ORDER BY x)) GROUP BY feature),
@@ -34,6 +40,7 @@ dv AS (SELECT feature, sum(CASE WHEN p > 0 THEN 0.5 * p * log2(p / ((p + q) / 2)
 num AS (SELECT feature, ks, pvalue, js, psi, mb, ml, CASE WHEN sb <= 1e-9 THEN 0 ELSE least(abs(ml - mb) / (sb + 1e-9), 3.0) / 3.0 END AS shift
    FROM kp JOIN dv USING (feature) JOIN ed USING (feature)),
 numr AS (SELECT *, least(greatest(0.35 * ks + 0.25 * least(abs(psi) / 0.25, 1) + 0.25 * js + 0.15 * shift, 0), 1) AS score FROM num)"""
+NUM_SQL = V.SIDES_SQL + _long_sql(FEATURES) + _NUM_BODY
 
 CAT_SQL = V.SIDES_SQL + ", clong AS (" + " UNION ALL ".join(
     f"SELECT {i} AS side, '{c}' AS feature, lower(trim({c})) AS category FROM {s}" for c in CATS for i, s in enumerate(("baseline", "live"))) + """),
@@ -44,6 +51,25 @@ sh AS (SELECT *, nb / sum(nb) OVER (PARTITION BY feature) AS p, nl / sum(nl) OVE
 ch AS (SELECT feature, sum(pow(nb - (nb + nl) * tb / (tb + tl), 2) / ((nb + nl) * tb / (tb + tl)) + pow(nl - (nb + nl) * tl / (tb + tl), 2) / ((nb + nl) * tl / (tb + tl))) AS chi2, count(*) - 1 AS dof,
    sum(CASE WHEN p > 0 THEN 0.5 * p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN 0.5 * q * log2(q / ((p + q) / 2)) ELSE 0 END) AS js FROM sh GROUP BY feature)"""
 
+# The tail of the chi-square distribution by Simpson integration over u = sqrt(t), independent of the closed form.
+_CUT = """, pv AS (SELECT feature, chi2, dof, js, CASE WHEN dof < 1 OR chi2 <= 0 THEN 1 ELSE least(1, list_sum(list_transform(range(0, 2001), lambda k:
+  (CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * 2 * pow(sqrt(chi2) + k * 0.007, dof - 1) * exp(-pow(sqrt(chi2) + k * 0.007, 2) / 2) / (pow(2, dof / 2.0) * gamma(dof / 2.0)))) * 0.007 / 3) END AS p FROM ch),
+catr AS (SELECT pv.feature, least(greatest(0.45 * js + 0.35 * (1 - p) + 0.2 * unseen_rate, 0), 1) AS score, js, CASE WHEN dof < 1 THEN 0 ELSE chi2 END AS chi2, p, unseen_rate,
+  u.baseline_unique, u.live_unique FROM pv JOIN un USING (feature) JOIN (SELECT feature, count(*) FILTER (nb > 0) AS baseline_unique, count(*) FILTER (nl > 0) AS live_unique FROM cc GROUP BY feature) u USING (feature))"""
+_ALL = [c for c in V.NUMERIC]
+_CAT_BODY = CAT_SQL[len(V.SIDES_SQL):] + _CUT
+_RESULT_SQL = V.SIDES_SQL + _long_sql(_ALL) + _NUM_BODY + _CAT_BODY + """, res AS (
+  SELECT feature, 'numeric' AS feature_type, score AS drift_score, ks AS ks_stat, pvalue AS ks_pvalue, js AS js_divergence, 0.0 AS chi2_stat, 1.0 AS chi2_pvalue, psi, 0.0 AS unseen_rate,
+    mb AS baseline_mean, ml AS live_mean, baseline_unique, live_unique FROM numr JOIN (SELECT feature, count(*) FILTER (nb > 0) AS baseline_unique, count(*) FILTER (nl > 0) AS live_unique FROM vc GROUP BY feature) USING (feature)
+  UNION ALL SELECT unnest(['srcip', 'dstip']), 'numeric', 0, 0, 1, 0, 0, 1, 0, 0, NULL, NULL, 0, 0
+  UNION ALL SELECT feature, 'categorical', score, 0, 1, js, chi2, p, 0, unseen_rate, NULL, NULL, baseline_unique, live_unique FROM catr)"""
+_RES_COLS = "feature, feature_type, round(drift_score, 6) AS drift_score, round(ks_stat, 6) AS ks_stat, round(ks_pvalue, 6) AS ks_pvalue, round(js_divergence, 6) AS js_divergence, round(chi2_stat, 4) AS chi2_stat, round(chi2_pvalue, 6) AS chi2_pvalue, round(psi, 6) AS psi, round(unseen_rate, 6) AS unseen_rate, round(baseline_mean, 2) AS baseline_mean, round(live_mean, 2) AS live_mean, baseline_unique, live_unique"
+
+
+def _res(df):
+    digits = {"chi2_stat": 4, "baseline_mean": 2, "live_mean": 2}
+    return df.drop("note").select(*[F.round(c, digits.get(c, 6)).alias(c) if t == "double" else F.col(c) for c, t in df.drop("note").dtypes])
+
 
 def _num(spark, sf_dir):
     return V.baseline(spark, sf_dir).select(*FEATURES), V.live(spark, sf_dir).select(*FEATURES)
@@ -151,16 +177,16 @@ def i14(spark, sf_dir):
     return _r(I.numeric_results(*_num(spark, sf_dir), FEATURES).select("feature", "drift_score", "baseline_unique", "live_unique"))
 
 
-@query("i15_categorical_score")
+@query("i15_categorical_score", f"WITH {CAT_SQL}{_CUT} SELECT feature, round(score, 6) AS drift_score, round(js, 6) AS js_divergence, round(chi2, 4) AS chi2_stat, round(p, 6) AS chi2_pvalue, round(unseen_rate, 6) AS unseen_rate, baseline_unique, live_unique FROM catr")
 def i15(spark, sf_dir):
     b, l = (I.prepare(f(spark, sf_dir).select(*CATS)) for f in (V.baseline, V.live))
-    return _r(I.categorical_results(b, l, CATS).drop("note"))
+    return _res(I.categorical_results(b, l, CATS)).select("feature", "drift_score", "js_divergence", "chi2_stat", "chi2_pvalue", "unseen_rate", "baseline_unique", "live_unique")
 
 
-@query("i16_all_feature_comparison")
+@query("i16_all_feature_comparison", f"WITH {_RESULT_SQL} SELECT {_RES_COLS} FROM res")
 def i16(spark, sf_dir):
     drop = ["flow_id", "attack_cat", "label"]
-    return _r(I.compare_features(V.baseline(spark, sf_dir).drop(*drop), V.live(spark, sf_dir).drop(*drop)))
+    return _res(I.compare_features(V.baseline(spark, sf_dir).drop(*drop), V.live(spark, sf_dir).drop(*drop)))
 
 
 @query("i17_all_numeric_comparison", f"WITH {NUM_SQL} SELECT feature, round(score, 6) AS drift_score, round(ks, 6) AS ks_stat, round(js, 6) AS js_divergence FROM numr")
@@ -286,10 +312,11 @@ def i27(spark, sf_dir):
     return I.assess(I.compare_features(base.drop(*drop), live.drop(*drop)), batch_size=live.count(), timestamp="2024-01-31T00:00:00+00:00")
 
 
-@query("i29_drift_report")
+@query("i29_drift_report", f"""WITH {_RESULT_SQL} SELECT {_RES_COLS}, 1.0 AS importance, round(drift_score, 6) AS risk_score, CASE WHEN drift_score >= 0.6 THEN 'severe' WHEN drift_score >= 0.4 THEN 'moderate' WHEN drift_score >= 0.2 THEN 'low' ELSE 'stable' END AS severity,
+  drift_score >= 0.6 AS alert, CASE WHEN drift_score >= 0.6 THEN 3 WHEN drift_score >= 0.4 THEN 2 WHEN drift_score >= 0.2 THEN 1 ELSE 0 END AS severity_rank, CASE WHEN drift_score >= 0.2 THEN 'drift' ELSE 'stable' END AS status FROM res""")
 def i29(spark, sf_dir):
     drop = ["flow_id", "attack_cat", "label"]
-    return _r(I.report(V.baseline(spark, sf_dir).drop(*drop), V.live(spark, sf_dir).drop(*drop)))
+    return _res(I.report(V.baseline(spark, sf_dir).drop(*drop), V.live(spark, sf_dir).drop(*drop)))
 
 
 @query("i30_risk_ranking", f"{_RISK_SQL} SELECT feature, severity, round(risk, 6) AS risk_score, row_number() OVER (ORDER BY risk DESC, feature) AS position FROM sv ORDER BY risk DESC LIMIT 12")
