@@ -505,7 +505,8 @@ def assess(results: DataFrame, *, batch_size: int, importances: DataFrame | None
     trail_schema = "array<struct<timestamp:string,overall_score:double,severity:string,trend:string>>"
     trail = F.array(*[F.struct(F.lit(h["timestamp"]).alias("timestamp"), F.lit(h["overall_score"]).cast("double").alias("overall_score"),
                                F.lit(h["overall_severity"]).alias("severity"), F.lit(h["trend"]).alias("trend")) for h in past[-10:]]).cast(trail_schema)
-    doc = doc.join(F.broadcast(best), F.lit(True))
+    one = F.lit(1).alias("_one")  # both sides are a single row
+    doc = doc.select("*", one).join(best.select("*", one), "_one")
     doc = doc.select(
         now.alias("timestamp"), F.lit(int(batch_size)).cast("long").alias("batch_size"), "feature_count", "drift_count", "severe_count",
         "drift_fraction", "severe_fraction", "overall_score", "overall_severity", "alert", "alert_level", "alert_reason", "thresholds",

@@ -114,5 +114,6 @@ def metrics_document(df: DataFrame, model: str, names: list[str], y: str = "y",
         quality_tag("f1").alias("quality")).alias("e"))
     entries = rows.agg(F.array_sort(F.collect_list("e")).alias("per_class_metrics"))
     overall = averages(df, y, yhat).select(F.struct("*").alias("overall_metrics"))
-    return overall.join(F.broadcast(entries), F.lit(True)).select(
+    one = F.lit(1).alias("_one")  # both sides are a single row
+    return overall.select("*", one).join(entries.select("*", one), "_one").select(
         F.lit(model).alias("model_name"), "overall_metrics", F.array(*[F.lit(n) for n in names]).alias("class_labels"), "per_class_metrics")

@@ -18,8 +18,10 @@ def percentile_by_index(df: DataFrame, value: str, percents: list[float], by: li
     keys = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
     cum = running_sums(counts.withColumn("seg", bucket_index(F.col(value), sorted(set(cuts)))), keys, "seg", [value], {"c": "n"})
-    total = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
-    placed = cum.join(F.broadcast(total), keys) if keys else cum.join(F.broadcast(total), F.lit(True))
+    if keys:
+        placed = cum.join(counts.groupBy(*keys).agg(F.sum("n").alias("total")), keys)
+    else:
+        placed = cum.withColumn("total", F.lit(counts.agg(F.sum("n")).first()[0] or 0))
     n = F.col("total")
     out = []
     for p in percents:
@@ -37,16 +39,14 @@ def metrics(df: DataFrame, now_us: int, retention_s: float = 300.0, start_us: in
     pass e.g. status < 500 to count server errors.
     """
     ok = F.lit(True) if success is None else success
-    recent = df.where(F.col("ts_us") > now_us - int(retention_s * 1e6))
-    totals = df.agg(F.count("*").alias("total_requests"), F.count_if(ok).alias("successful_requests"), F.count_if(~ok).alias("failed_requests"), F.min("ts_us").alias("_first"))
-    elapsed = (F.lit(now_us) - (F.lit(start_us) if start_us is not None else F.col("_first"))) / 1e6
-    lat = recent.agg(F.coalesce(F.avg("latency_ms"), F.lit(0.0)).alias("avg_latency_ms"))
-    pct = percentile_by_index(recent, "latency_ms", [95, 99]).select(F.col("p95").alias("p95_latency_ms"), F.col("p99").alias("p99_latency_ms"))
-    one = totals.join(F.broadcast(lat), F.lit(True)).join(F.broadcast(pct), F.lit(True), "left")
-    return one.select(
-        "total_requests", "successful_requests", "failed_requests", "avg_latency_ms", F.coalesce("p95_latency_ms", F.lit(0.0)).alias("p95_latency_ms"),
-        F.coalesce("p99_latency_ms", F.lit(0.0)).alias("p99_latency_ms"),
-        F.when(elapsed > 0, F.col("total_requests") / elapsed).otherwise(0.0).alias("requests_per_second"), F.lit(rate_limited).alias("rate_limited_requests"))
+    is_recent = F.col("ts_us") > now_us - int(retention_s * 1e6)
+    p = percentile_by_index(df.where(is_recent), "latency_ms", [95, 99]).first()  # two numbers
+    elapsed = (F.lit(now_us) - (F.lit(start_us) if start_us is not None else F.min("ts_us"))) / 1e6
+    return df.agg(
+        F.count("*").alias("total_requests"), F.count_if(ok).alias("successful_requests"), F.count_if(~ok).alias("failed_requests"),
+        F.coalesce(F.avg(F.when(is_recent, F.col("latency_ms"))), F.lit(0.0)).alias("avg_latency_ms"), F.lit(float(p["p95"] or 0.0)).alias("p95_latency_ms"),
+        F.lit(float(p["p99"] or 0.0)).alias("p99_latency_ms"), F.when(elapsed > 0, F.count("*") / elapsed).otherwise(0.0).alias("requests_per_second"),
+        F.lit(rate_limited).alias("rate_limited_requests"))
 
 
 def windowed_metrics(df: DataFrame, seconds: int = 300, success: Column | None = None) -> DataFrame:
