@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsift.functions.scaling import trailing_count
+from netsift.session import materialize
 
 CLOSED, OPEN, HALF_OPEN = "closed", "open", "half_open"
 
@@ -105,7 +106,8 @@ def rate_limit(df: DataFrame, key: str, ts: str, order: list[str], limit: int =
     of the window before them; a run of such chunks is one independent piece.
     """
     chunk = max(int(chunk_us or 10 * window_us), window_us)
-    counted = trailing_count(df, [key], ts, window_us, out="_c", chunk_us=chunk).withColumn("_chunk", F.floor(F.col(ts) / F.lit(chunk)).cast("long"))
+    own_chunk = F.floor(F.col(ts) / F.lit(chunk)).cast("long")
+    counted = trailing_count(df, [key], ts, window_us, out="_c", chunk_us=chunk).withColumn("_chunk", own_chunk)
     chunks = counted.groupBy(key, "_chunk").agg(F.max(F.col("_c") > limit).alias("_hot"))
     w = Window.partitionBy(key).orderBy("_chunk")
     gap = F.coalesce(F.col("_chunk") - F.lag("_chunk").over(w) > 1, F.lit(True))
@@ -113,9 +115,10 @@ def rate_limit(df: DataFrame, key: str, ts: str, order: list[str], limit: int =
         chunks.where("_hot").withColumn("_new", gap)
         .select(key, "_chunk", F.sum(F.col("_new").cast("int")).over(w).alias("_piece"), "_new")
     )
+    hot = materialize(hot, "hot-chunks")  # one row per hot chunk, read several times below
     # the chunk before a piece is calm: the tail of it is the piece's known starting state
     warm = hot.where("_new").select(key, (F.col("_chunk") - 1).alias("_chunk"), F.col("_piece").alias("_warm_piece"))
-    tagged = counted.drop("_c").join(hot.drop("_new"), [key, "_chunk"], "left").join(warm, [key, "_chunk"], "left")
+    tagged = df.withColumn("_chunk", own_chunk).join(hot.drop("_new"), [key, "_chunk"], "left").join(warm, [key, "_chunk"], "left")
     tail = F.col(ts) > (F.col("_chunk") + 1) * chunk - window_us
     part = tagged.where(F.col("_piece").isNotNull()).select(*df.columns, "_piece", F.lit(False).alias("_warm")).unionByName(
         tagged.where(F.col("_warm_piece").isNotNull() & tail).select(*df.columns, F.col("_warm_piece").alias("_piece"), F.lit(True).alias("_warm")))
