@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,17 +31,35 @@ def build_session(app: str = "netsift", master: str | None = None, **conf: str)
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written intermediates.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset (tests, a laptop) a local
-    folder is created and recorded, so later calls reuse it.
+    The cluster names it in spark.checkpoint.dir; without it, a run on several machines is refused. Only with a
+    local master (tests, a laptop) a local folder is created and recorded, so later calls reuse it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="netsift-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
     return root
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package once per application, so that tasks find it wherever they were started."""
+    context = spark.sparkContext
+    home = os.path.dirname(os.path.abspath(__file__))
+    if getattr(context, "_netsift_shipped", None) == home:
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="netsift-code-"), "netsift.zip")  # served by the driver to the end
+    with zipfile.ZipFile(archive, "w") as out:
+        for path, _, names in os.walk(home):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(path, name)
+                out.write(full, os.path.relpath(full, os.path.dirname(home)))
+    context.addPyFile(archive)
+    context._netsift_shipped = home
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path nobody used before, inside the shared folder."""
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
