@@ -28,19 +28,17 @@ def power_of_two(n: float) -> int:
     return 1 << max(0, math.ceil(math.log2(max(1.0, n))))
 
 
-def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], spread: int, name: str = "rank") -> DataFrame:
-    """`df` with a gapless rank from 0 inside each group of `keys`, however large a group is.
+def rank_in_groups(df: DataFrame, key: str, order: list[str], spread: Column, name: str = "rank") -> DataFrame:
+    """`df` with a gapless rank from 0 inside each group of `key`, however large a group is.
 
-    A group is dealt over `spread` hash buckets of its `order` columns. A bucket is numbered by a window of its
-    own, and the counts of the buckets before it (a table of groups x spread rows) are added. The rank is any
-    fixed numbering, not the order of the `order` columns; rows that agree in all of them are interchangeable.
+    A group is dealt over `spread` (one number per group) hash buckets of the `order` columns. A window numbers
+    the rows of a bucket, and the counts of the buckets before it are added. The rank is a fixed numbering, not the
+    order of the `order` columns; rows that agree in all of them are interchangeable.
     """
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(spread)).cast("int"))
-    sizes = dealt.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    return (dealt.withColumn("_in", F.row_number().over(within) - 1)
-            .join(sizes, [*keys, "_bucket"])
-            .withColumn(name, (F.col("_base") + F.col("_in")).cast("long"))
-            .drop("_bucket", "_in", "_base"))
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), spread).cast("int"))
+    sizes = dealt.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(key, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(key, "_bucket").orderBy(*order)
+    return (dealt.withColumn("_in", F.row_number().over(within) - 1).join(sizes, [key, "_bucket"])
+            .withColumn(name, (F.col("_base") + F.col("_in")).cast("long")).drop("_bucket", "_in", "_base"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsift.llm import bpe, exact_dedup, sharding, simhash, topk
+from netsift.llm import bpe, exact_dedup, packing, sharding, simhash, topk
 from netsift.llm.common import LOWER, UPPER, table
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")  # the folder of the public vocabulary files
@@ -64,3 +64,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_bpe")
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+@query("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", capacity=1024)
