@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsift.llm import bpe, exact_dedup, packing, sharding, simhash, topk
+from netsift.llm import bpe, exact_dedup, packing, sharding, simhash, topk, warc
 from netsift.llm.common import LOWER, UPPER, table
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")  # the folder of the public vocabulary files
@@ -69,3 +69,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_packing")
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", capacity=1024)
+
+
+@query("op7_warc", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+    g AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least FROM p)
+    SELECT page_id, strlen(html) AS payload_bytes,
+           list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               ((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
+           CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> least THEN least END AS refers_to
+    FROM g""")
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"), least_bytes=0).drop("url")
