@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsift.llm import bpe, exact_dedup, packing, sharding, simhash, topk, warc
+from netsift.llm import bpe, exact_dedup, line_dedup, packing, sharding, simhash, topk, warc
 from netsift.llm.common import LOWER, UPPER, table
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")  # the folder of the public vocabulary files
@@ -82,3 +82,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM g""")
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"), least_bytes=0).drop("url")
+
+
+@query("op10_line_dedup")
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes_before"))
+    left = line_dedup.without_repeats(docs)
+    return left.withColumn("bytes_after", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
