@@ -43,11 +43,17 @@ def trained(rows: DataFrame, fit: Callable[[np.ndarray, list[str]], dict[str, np
             labels += batch.column(0).to_pylist()
             texts += batch.column(1).to_pylist()
         order = sorted(range(len(texts)), key=lambda i: (texts[i], labels[i]))  # the same model however the rows came
-        out = io.BytesIO()
-        np.savez(out, **fit(np.array([labels[i] for i in order], np.int64), [texts[i] for i in order]))
-        yield pa.record_batch([pa.array([out.getvalue()], pa.binary())], names=["model"])
+        model = packed(fit(np.array([labels[i] for i in order], np.int64), [texts[i] for i in order]))
+        yield pa.record_batch([pa.array([model], pa.binary())], names=["model"])
 
-    return bytes(rows.repartition(1).mapInArrow(run, "model binary").first()[0])
+    found = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return bytes(found[0]) if found else packed(fit(np.zeros(0, np.int64), []))  # no rows, no task
+
+
+def packed(model: dict[str, np.ndarray]) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **model)
+    return out.getvalue()
 
 
 def unpacked(model: bytes) -> dict[str, np.ndarray]:

@@ -106,11 +106,20 @@ def write_archive(records: Iterator[tuple], sink) -> tuple[int, int]:
     held, samples, size, count, written = [], [], 0, 0, 0
     compressor = None
 
-    def start() -> int:
+    def put(data: bytes) -> None:
+        nonlocal written
+        sink.write(data)
+        written += len(data)
+
+    def start() -> None:
         nonlocal compressor
         dictionary = train(samples)
         compressor = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_checksum=True)
-        return sink.write(dictionary_frame(dictionary)) if dictionary else 0
+        if dictionary:
+            put(dictionary_frame(dictionary))
+        for data in held:
+            put(compressor.compress(data))
+        held.clear()
 
     for record in records:
         data = record_bytes(*record)
@@ -122,14 +131,11 @@ def write_archive(records: Iterator[tuple], sink) -> tuple[int, int]:
             size += len(data)
             if size < SAMPLE_BYTES and len(held) < SAMPLE_RECORDS:
                 continue
-            written += start()
-            written += sum(sink.write(compressor.compress(d)) for d in held)
-            held = []
+            start()
         else:
-            written += sink.write(compressor.compress(data))
+            put(compressor.compress(data))
     if compressor is None:
-        written += start()
-        written += sum(sink.write(compressor.compress(d)) for d in held)
+        start()
     return count, written
 
 
@@ -197,7 +203,7 @@ def write(records: DataFrame, folder: str) -> DataFrame:
         name = f"{folder}/part-{context.partitionId():06d}-{context.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.zst"
         fs, path = _filesystem(name)
         fs.create_dir(os.path.dirname(path), recursive=True)
-        with fs.open_output_stream(path) as sink:
+        with fs.open_output_stream(path, compression=None) as sink:
             count, written = write_archive((r for some in ((first,), records_) for r in some), sink)
         yield pa.record_batch([pa.array([name]), pa.array([count]), pa.array([written])], schema=_MANIFEST)
 
@@ -211,7 +217,7 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 fs, path = _filesystem(name)
-                with fs.open_input_stream(path) as source:
+                with fs.open_input_stream(path, compression=None) as source:
                     held: list[dict] = []
                     for record in read_archive(source):
                         if not payloads:
