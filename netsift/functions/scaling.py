@@ -21,19 +21,9 @@ def order_hash(*cols, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(c).cast("string") if isinstance(c, str) else c for c in cols], F.lit(str(seed))))
 
 
-def small_table(df: DataFrame, max_rows: int = 100_000) -> tuple[DataFrame, bool]:
-    """Return (table, fits). If `df` has at most `max_rows` rows it is returned as a local, computed
-    table that is safe to broadcast; otherwise `df` itself comes back, to be joined by shuffle."""
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
-        return df, False
-    return df.sparkSession.createDataFrame(head, schema=df.schema), True
-
-
-def lookup(big: DataFrame, small: DataFrame, on, how: str = "left", max_rows: int = 100_000) -> DataFrame:
-    """Join a side table: broadcast when its counted size is under `max_rows`, shuffle join beyond."""
-    table, fits = small_table(small, max_rows)
-    return big.join(F.broadcast(table) if fits else table, on, how)
+def lookup(big: DataFrame, small: DataFrame, on, how: str = "left") -> DataFrame:
+    """Join a side table. How it travels is left to the optimizer, which knows its size in bytes."""
+    return big.join(small, on, how)
 
 
 def hash_rank(df: DataFrame, hash_col: str, groups: list[str] = (), out: str = "rank",
@@ -157,78 +147,86 @@ def padded(values: list, bits: int, top) -> list:
     return out + [top] * (size - len(out))
 
 
-def quantiles(df: DataFrame, columns: list[str], probs: list[float], *, exact: bool = True,
-              hash_limit: int = 100_000, leaf: int = 2_000) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles of several columns, NULLs ignored; one small list per column.
+def quantiles(df: DataFrame, columns: list[str], probs: list[float], *, exact: bool = True) -> dict[str, list[float | None]]:
+    """Linear-interpolated quantiles of several columns, NULL and NaN ignored; one small list per column.
 
-    `percentile` keeps every distinct value of a column in one buffer, so it serves only tables of at most
-    `hash_limit` rows. Beyond that the wanted ranks are bracketed by the bounded sketch and pinned down by
-    counting, all columns in the same scans (see _quantiles_by_counting). `exact=False` is the sketch alone.
+    The wanted ranks are bracketed by the bounded sketch and pinned down by counting, all columns in the same scans
+    (see _quantiles_by_counting), whatever the size of the table. Infinities are values. `exact=False` is the sketch.
     """
     if not columns:
         return {}
-    x = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    number = lambda c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
+    x = df.select(*[number(c).alias(c) for c in columns])
     if not exact:
         row = x.agg(*[F.percentile_approx(f"`{c}`", list(probs), 10_000).alias(c) for c in columns]).first()
         return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
-    if hash_limit > 0 and df.limit(hash_limit + 1).count() <= hash_limit:
-        arr = F.array(*[F.lit(float(p)) for p in probs])
-        row = x.agg(*[F.percentile(f"`{c}`", arr).alias(c) for c in columns]).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
-    return _quantiles_by_counting(x, columns, probs, leaf)
+    return _quantiles_by_counting(x, columns, probs)
+
+
+_LEAST = -(1 << 63)
+
 
+def ordinals(values: np.ndarray) -> np.ndarray:
+    """Doubles as 64-bit integers of the same order, infinities included; both zeros are 0."""
+    bits = np.ascontiguousarray(values, dtype=np.float64).view(np.int64)
+    return np.where(bits >= 0, bits, np.int64(_LEAST) - bits)
 
-def _located(x: DataFrame, parts: dict[str, list[dict]], inside_only: bool = False) -> DataFrame:
-    """(feature, pos, x, n): `pos` is how many ends of the column's disjoint, sorted intervals lie behind x,
-    odd inside interval (pos + 1) / 2.
 
-    Tasks search the ends with numpy over Arrow batches. Without `inside_only` they hand on one count per
-    (feature, pos) and x is NULL; with it, the few rows that lie inside an interval.
+def from_ordinal(number: int) -> float:
+    return float(np.array([number if number >= 0 else _LEAST - number], dtype=np.int64).view(np.float64)[0])
+
+
+def _located(x: DataFrame, parts: dict[str, list[dict]], split: int) -> DataFrame:
+    """(feature, pos, b, n, lo, hi): rows by where they lie to a column's disjoint, sorted intervals of ordinals.
+
+    `pos` is how many ends lie behind a row, odd inside interval (pos + 1) / 2; `b` is which of `split` equal parts of
+    that interval it is in. A task hands on one row for each (feature, pos, b), with the least and largest ordinal.
     """
     names = list(parts)
-    lows = [np.array([q["lo"] for q in parts[c]]) for c in names]
-    highs = [np.array([q["hi"] for q in parts[c]]) for c in names]
+    lows = [np.array([q["lo"] for q in parts[c]], dtype=np.int64) for c in names]
+    highs = [np.array([q["hi"] for q in parts[c]], dtype=np.int64) for c in names]
+    widths = [np.array([(q["hi"] - q["lo"]) // split + 1 for q in parts[c]], dtype=np.uint64) for c in names]
 
     def locate(batches):
-        totals = [np.zeros(2 * len(lo) + 1, dtype=np.int64) for lo in lows]
+        found: dict[tuple[int, int, int], list[int]] = {}
         for batch in batches:
-            out = []
             for i, column in enumerate(batch.columns):
-                v = column.drop_null().to_numpy(zero_copy_only=False).astype(float)
+                v = ordinals(column.drop_null().to_numpy(zero_copy_only=False))
                 pos = np.searchsorted(lows[i], v, side="right") + np.searchsorted(highs[i], v, side="left")
-                if inside_only:
-                    hit = pos % 2 == 1
-                    out.append((np.full(hit.sum(), i), pos[hit], v[hit]))
-                else:
-                    totals[i] += np.bincount(pos, minlength=len(totals[i]))
-            if inside_only:
-                f, pos, v = (np.concatenate(part) for part in zip(*out))
-                yield _batch(f, pos, v, np.ones(len(v), dtype=np.int64))
-        if not inside_only:
-            f = np.concatenate([np.full(len(t), i) for i, t in enumerate(totals)])
-            pos = np.concatenate([np.arange(len(t)) for t in totals])
-            yield _batch(f, pos, np.full(len(f), np.nan), np.concatenate(totals))
-
-    def _batch(f, pos, v, n):
-        return pa.RecordBatch.from_arrays([pa.array([names[k] for k in f], pa.string()), pa.array(pos, pa.int32()), pa.array(v, pa.float64()), pa.array(n, pa.int64())],
-                                          names=["feature", "pos", "x", "n"])
-
-    found = x.select(*[f"`{c}`" for c in names]).mapInArrow(locate, "feature string, pos int, x double, n long")
-    return found.where("n > 0")
-
-
-def _quantiles_by_counting(x: DataFrame, columns: list[str], probs: list[float], leaf: int = 2_000, split: int = 256) -> dict[str, list[float | None]]:
+                inside = pos % 2 == 1
+                at = np.where(inside, pos // 2, 0)
+                part = np.zeros(len(v), np.int64)
+                # differences of 64-bit integers fit into unsigned ones
+                part[inside] = ((v[inside].view(np.uint64) - lows[i][at[inside]].view(np.uint64)) // widths[i][at[inside]]).astype(np.int64)
+                cell, own, n = np.unique(pos * split + part, return_inverse=True, return_counts=True)
+                lo, hi = np.full(len(cell), np.iinfo(np.int64).max), np.full(len(cell), _LEAST)
+                np.minimum.at(lo, own, v)
+                np.maximum.at(hi, own, v)
+                for c, k, a, b in zip(cell.tolist(), n.tolist(), lo.tolist(), hi.tolist()):
+                    old = found.get((i, *divmod(c, split)))
+                    found[(i, *divmod(c, split))] = [k, a, b] if old is None else [old[0] + k, min(old[1], a), max(old[2], b)]
+        rows = [(names[i], pos, b, *v) for (i, pos, b), v in found.items()]
+        columns_ = list(zip(*rows)) if rows else [[]] * 6
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns_, kinds)], names=["feature", "pos", "b", "n", "lo", "hi"])
+
+    located = x.select(*[f"`{c}`" for c in names]).mapInArrow(locate, "feature string, pos int, b int, n long, lo long, hi long")
+    return located.groupBy("feature", "pos", "b").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def _quantiles_by_counting(x: DataFrame, columns: list[str], probs: list[float], split: int = 1024) -> dict[str, list[float | None]]:
     """Exact order statistics of many columns in a few scans with tiny shuffles.
 
-    The sketch's guaranteed rank error gives an interval around every wanted rank. One scan counts the rows
-    below and inside the intervals; intervals that are still large are split evenly by further scans; what
-    is left is at most `leaf` rows (or one value) per interval, which are read.
-    """
+    The sketch's guaranteed rank error gives an interval around every wanted rank. A scan counts the rows below and
+    inside the intervals and in `split` parts of each; the parts with a wanted rank, shrunk to the values they hold,
+    are the next intervals, until each is one value. Intervals are of ordinals, so a scan makes every interval at
+    least `split` times narrower, at most seven scans are needed, and infinities are no special case.    """
     acc = 10_000
     grid = {p: (max(p - 2.0 / acc, 0.0), min(p + 2.0 / acc, 1.0)) for p in probs}
     points = sorted({e for pair in grid.values() for e in pair})
     row = x.agg(*[F.struct(F.count(f"`{c}`").alias("n"), F.min(f"`{c}`").alias("lo"), F.max(f"`{c}`").alias("hi"),
                            F.percentile_approx(f"`{c}`", points, acc).alias("q")).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    order = lambda value: int(ordinals(np.array([value]))[0])
     sizes, parts, ranks, found = {}, {}, {}, {}
     for i, c in enumerate(columns):
         s = row[f"s{i}"]
@@ -237,7 +235,7 @@ def _quantiles_by_counting(x: DataFrame, columns: list[str], probs: list[float],
             continue
         at = dict(zip(points, s["q"]))
         ranks[c] = sorted({r for p in probs for r in (int(np.floor(p * (n - 1))), int(np.ceil(p * (n - 1))))})
-        spans = sorted((s["lo"] if a == 0.0 else at[a], s["hi"] if b == 1.0 else at[b]) for a, b in grid.values())
+        spans = sorted((order(s["lo"] if a == 0.0 else at[a]), order(s["hi"] if b == 1.0 else at[b])) for a, b in grid.values())
         merged = [list(spans[0])]
         for lo, hi in spans[1:]:
             if lo <= merged[-1][1]:
@@ -245,48 +243,21 @@ def _quantiles_by_counting(x: DataFrame, columns: list[str], probs: list[float],
             else:
                 merged.append([lo, hi])
         parts[c] = [{"lo": lo, "hi": hi} for lo, hi in merged]
-    if parts:
-        counted = _located(x, parts).groupBy("feature", "pos").agg(F.sum("n").alias("n")).collect()
+    while parts:
+        counted: dict[str, list] = {}
+        for r in _located(x, parts, split).collect():  # split rows at most for each interval
+            counted.setdefault(r["feature"], []).append(r)
+        following: dict[str, list[dict]] = {}
         for c, ps in parts.items():
-            mine = {r["pos"]: r["n"] for r in counted if r["feature"] == c}
-            for k, part in enumerate(ps, 1):
-                part["before"], part["n"] = sum(n for q, n in mine.items() if q < 2 * k - 1), mine.get(2 * k - 1, 0)
-
-    def keep(part, c):
-        part["want"] = [r for r in ranks[c] if part["before"] <= r < part["before"] + part["n"]]
-        if part["want"] and part["lo"] == part["hi"]:
-            found.update({(c, r): part["lo"] for r in part["want"]})
-            return False
-        return bool(part["want"])
-
-    parts = {c: [q for q in ps if keep(q, c)] for c, ps in parts.items()}
-    parts = {c: ps for c, ps in parts.items() if ps}
-    while any(q["n"] > leaf for ps in parts.values() for q in ps):
-        big = {c: [q for q in ps if q["n"] > leaf] for c, ps in parts.items()}
-        big = {c: ps for c, ps in big.items() if ps}
-        ends = x.sparkSession.createDataFrame([(c, 2 * k - 1, float(q["lo"]), float(q["hi"])) for c, ps in big.items() for k, q in enumerate(ps, 1)], "feature string, pos int, lo double, hi double")
-        spot = _located(x, big, inside_only=True).select("feature", "pos", "x").join(F.broadcast(ends), ["feature", "pos"])
-        b = F.least(F.floor((spot["x"] - spot["lo"]) / (spot["hi"] - spot["lo"]) * split), F.lit(split - 1))
-        bins = spot.groupBy("feature", "pos", b.alias("b")).agg(F.count("*").alias("n"), F.min(F.col("x")).alias("lo"), F.max(F.col("x")).alias("hi")).collect()
-        for c, ps in big.items():
-            fresh = [q for q in parts[c] if q["n"] <= leaf]
-            for k, part in enumerate(ps, 1):
-                before = part["before"]
-                for r in sorted((r for r in bins if r["feature"] == c and r["pos"] == 2 * k - 1), key=lambda r: r["b"]):
-                    sub = {"lo": r["lo"], "hi": r["hi"], "before": before, "n": r["n"]}
-                    before += r["n"]
-                    if keep(sub, c):
-                        fresh.append(sub)
-            parts[c] = sorted(fresh, key=lambda q: q["lo"])
-        parts = {c: ps for c, ps in parts.items() if ps}
-    if parts:
-        values = _located(x, parts, inside_only=True).groupBy("feature", "pos", "x").agg(F.sum("n").alias("n")).collect()
-        cum: dict[tuple, int] = {}
-        for r in sorted(values, key=lambda r: (r["feature"], r["pos"], r["x"])):
-            part = parts[r["feature"]][(r["pos"] - 1) // 2]
-            done = cum.get((r["feature"], r["pos"]), part["before"])
-            found.update({(r["feature"], w): r["x"] for w in part["want"] if done <= w < done + r["n"]})
-            cum[(r["feature"], r["pos"])] = done + r["n"]
+            below = 0  # a wanted rank beside the intervals is followed in the same way
+            for r in sorted(counted[c], key=lambda r: (r["pos"], r["b"])):
+                want = [k for k in ranks[c] if below <= k < below + r["n"] and (c, k) not in found]
+                if r["lo"] == r["hi"]:
+                    found.update({(c, k): from_ordinal(r["lo"]) for k in want})
+                elif want:
+                    following.setdefault(c, []).append({"lo": r["lo"], "hi": r["hi"]})
+                below += r["n"]
+        parts = following
     out = {}
     for c in columns:
         n = sizes[c]
@@ -297,7 +268,7 @@ def _quantiles_by_counting(x: DataFrame, columns: list[str], probs: list[float],
         for p in probs:
             pos = p * (n - 1)
             a, b = found[(c, int(np.floor(pos)))], found[(c, int(np.ceil(pos)))]
-            out[c].append(a + (pos - np.floor(pos)) * (b - a))
+            out[c].append(a if a == b else a + (pos - np.floor(pos)) * (b - a))
     return out
 
 
@@ -365,18 +336,32 @@ def lag_across(df: DataFrame, keys: list[str], segment: str, order: list[str], v
     )
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equally named keys, NULL matching NULL; the keys come from the left side."""
+    named = right.select(*[F.col(f"`{c}`").alias(f"_r_{c}") if c in keys else F.col(f"`{c}`") for c in right.columns])
+    match = [left[f"`{k}`"].eqNullSafe(named[f"`_r_{k}`"]) for k in keys]
+    return left.join(named, match, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def trailing_count(df: DataFrame, keys: list[str], ts: str, width_us: int, flag: Column | None = None, out: str = "trailing",
                    chunk_us: int | None = None) -> DataFrame:
     """Rows of the same key (those with `flag`) in (t - width, t], the row itself included.
 
-    Time is cut into chunks of at least the window; rows near a chunk's end are copied into the next
-    chunk, so each chunk is counted on its own.
+    The count is the difference of two running totals, up to t and up to t - width. Both come from one pass over the
+    distinct times of a key and these times less the width, cut into segments of `chunk_us` (an eighth of the window
+    unless given), so the work is linear and a hot key is spread over its segments. NULL is a key like any other.
     """
-    chunk = max(int(chunk_us or 0), int(width_us))
+    segment = max(1, int(chunk_us or 0) or int(width_us) // 8)
     one = F.lit(1) if flag is None else F.when(flag, 1).otherwise(0)
-    tagged = df.withColumn("_one", one).withColumn("_chunk", F.floor(F.col(ts) / F.lit(chunk)).cast("long"))
-    near_end = F.col(ts) > (F.col("_chunk") + 1) * chunk - width_us
-    copies = tagged.withColumn("_own", F.explode(F.when(near_end, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
-    copies = copies.withColumn("_chunk", F.when(F.col("_own"), F.col("_chunk")).otherwise(F.col("_chunk") + 1))
-    w = Window.partitionBy(*keys, "_chunk").orderBy(ts).rangeBetween(-(int(width_us) - 1), 0)
-    return copies.withColumn(out, F.sum("_one").over(w)).where("_own").drop("_one", "_own", "_chunk")
+    times = df.groupBy(*keys, F.col(ts).alias("_t")).agg(F.sum(one).cast("long").alias("_n"))
+    points = times.select(*keys, F.explode(F.array(
+        F.struct(F.col("_t").alias("_at"), F.col("_t").alias("_for"), F.col("_n").alias("_add"), F.lit(True).alias("_upper")),
+        F.struct((F.col("_t") - int(width_us)).alias("_at"), F.col("_t").alias("_for"), F.lit(0).cast("long").alias("_add"), F.lit(False).alias("_upper")),
+    )).alias("_p")).select(*keys, "_p.*").withColumn("_seg", F.floor(F.col("_at") / F.lit(segment)).cast("long"))
+    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = points.groupBy(*keys, "_seg").agg(F.sum("_add").alias("_n")).select(*keys, "_seg", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_below"))
+    upto = Window.partitionBy(*keys, "_seg").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    running = null_safe_join(points.withColumn("_local", F.sum("_add").over(upto)), offsets, [*keys, "_seg"])
+    total = F.col("_local") + F.col("_below")
+    counts = running.groupBy(*keys, F.col("_for").alias(ts)).agg(F.sum(F.when(F.col("_upper"), total).otherwise(-total)).alias(out))
+    return null_safe_join(df, counts, [*keys, ts])

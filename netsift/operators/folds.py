@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netsift.functions.scaling import trailing_count
+from netsift.functions.scaling import null_safe_join, trailing_count
 from netsift.session import materialize
 
 CLOSED, OPEN, HALF_OPEN = "closed", "open", "half_open"
@@ -87,6 +87,7 @@ def _stream_fold(df: DataFrame, keys: list[str], order: list[str], needs: list[s
         for pdf in frames:
             outputs = []
             for key, args in zip(zip(*[pdf[k] for k in keys]), zip(*[pdf[c].tolist() for c in needs])):
+                key = tuple(None if k is None or k != k else k for k in key)  # pandas writes a missing number as NaN
                 if key != current:
                     current, state = key, start()
                 state, out = advance(state, *args)
@@ -107,7 +108,7 @@ def rate_limit(df: DataFrame, key: str, ts: str, order: list[str], limit: int =
     """
     chunk = max(int(chunk_us or 10 * window_us), window_us)
     own_chunk = F.floor(F.col(ts) / F.lit(chunk)).cast("long")
-    counted = trailing_count(df, [key], ts, window_us, out="_c", chunk_us=chunk).withColumn("_chunk", own_chunk)
+    counted = trailing_count(df, [key], ts, window_us, out="_c").withColumn("_chunk", own_chunk)
     chunks = counted.groupBy(key, "_chunk").agg(F.max(F.col("_c") > limit).alias("_hot"))
     w = Window.partitionBy(key).orderBy("_chunk")
     gap = F.coalesce(F.col("_chunk") - F.lag("_chunk").over(w) > 1, F.lit(True))
@@ -118,7 +119,7 @@ def rate_limit(df: DataFrame, key: str, ts: str, order: list[str], limit: int =
     hot = materialize(hot, "hot-chunks")  # one row per hot chunk, read several times below
     # the chunk before a piece is calm: the tail of it is the piece's known starting state
     warm = hot.where("_new").select(key, (F.col("_chunk") - 1).alias("_chunk"), F.col("_piece").alias("_warm_piece"))
-    tagged = df.withColumn("_chunk", own_chunk).join(hot.drop("_new"), [key, "_chunk"], "left").join(warm, [key, "_chunk"], "left")
+    tagged = null_safe_join(null_safe_join(df.withColumn("_chunk", own_chunk), hot.drop("_new"), [key, "_chunk"], "left"), warm, [key, "_chunk"], "left")
     tail = F.col(ts) > (F.col("_chunk") + 1) * chunk - window_us
     part = tagged.where(F.col("_piece").isNotNull()).select(*df.columns, "_piece", F.lit(False).alias("_warm")).unionByName(
         tagged.where(F.col("_warm_piece").isNotNull() & tail).select(*df.columns, F.col("_warm_piece").alias("_piece"), F.lit(True).alias("_warm")))
@@ -142,9 +143,9 @@ def denied_total(decided: DataFrame) -> DataFrame:
     return decided.agg(F.count_if(~F.col("allowed")).alias("denied"))
 
 
-def remaining_quota(decided: DataFrame, key: str, ts: str, limit: int, window_us: int, chunk_us: int | None = None) -> DataFrame:
+def remaining_quota(decided: DataFrame, key: str, ts: str, limit: int, window_us: int) -> DataFrame:
     """Quota left right after each event: the limit minus accepted events in the window."""
-    c = trailing_count(decided, [key], ts, window_us, F.col("allowed"), "_used", chunk_us or 10 * window_us)
+    c = trailing_count(decided, [key], ts, window_us, F.col("allowed"), "_used")
     return c.withColumn("remaining", F.greatest(F.lit(limit) - F.col("_used"), F.lit(0)).cast("int")).drop("_used")
 
 
@@ -165,7 +166,7 @@ def service_health(df: DataFrame, key: str, ts: str, order: list[str], success:
     before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     pieces = settled.withColumn("_cut", (F.col("_calm") & (F.col("_late") >= need)).cast("int")).select(
         key, "_chunk", F.coalesce(F.sum("_cut").over(before), F.lit(0)).alias("_piece"))
-    part = tagged.join(pieces, [key, "_chunk"]).drop("_chunk")
+    part = null_safe_join(tagged, pieces, [key, "_chunk"]).drop("_chunk")
 
     def advance(state, at, ok):
         state, (seen, executed) = rule.step(state, at, bool(ok))

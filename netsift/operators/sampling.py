@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from netsift import schema as S
 from netsift.functions.cleaning import is_attack, is_normal, sizing_category
-from netsift.functions.scaling import hash_rank, lookup, order_hash, small_table
+from netsift.session import materialize
+from netsift.functions.scaling import hash_rank, lookup, order_hash
 
 
 def with_hash(df: DataFrame, key: list[str], seed: int = 42, out: str = "order_hash") -> DataFrame:
@@ -78,7 +79,7 @@ def _allocate(counts: DataFrame, col: str, total: int, draws: int, out: str, siz
 
 def stratified_split(df: DataFrame, col: str, key: list[str], test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds `split` (train / test): ceil(fraction * n) test rows, shared over classes by largest remainder."""
-    counts, _ = small_table(df.groupBy(col).agg(F.count("*").alias("n")))
+    counts = materialize(df.groupBy(col).agg(F.count("*").alias("n")), "class-counts")
     n = counts.agg(F.sum("n")).first()[0] or 0
     quota = _allocate(counts, col, max(n, 1), n - math.ceil(test_fraction * n), "_train")
     ranked = hash_rank(with_hash(df, key, seed, "_h"), "_h", [col], "_r")
@@ -94,7 +95,7 @@ def three_way_split(df: DataFrame, col: str, key: list[str], seed: int = 42) ->
     a pool of a single row is dropped."""
     sizes = df.groupBy(col).agg(F.count("*").alias("_size"))
     pooled = lookup(df, sizes, [col]).withColumn("_strat", F.when(F.col("_size") < 3, "RARE").otherwise(F.col(col))).drop("_size")
-    counts, _ = small_table(pooled.groupBy("_strat").agg(F.count("*").alias("n")))
+    counts = materialize(pooled.groupBy("_strat").agg(F.count("*").alias("n")), "class-counts")
     counts = counts.where(~((F.col("_strat") == "RARE") & (F.col("n") < 2)))
     n = counts.agg(F.sum("n")).first()[0] or 0
     n_tmp = math.ceil(0.6 * n)

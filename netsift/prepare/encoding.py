@@ -6,51 +6,38 @@ from pyspark.ml import Estimator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netsift.functions.scaling import ordered_rank, small_table
+from netsift.functions.scaling import ordered_rank
 from netsift.operators.profile import cardinalities, text_columns
 from netsift.prepare.base import StateModel
 from netsift.session import scratch_path
 
-MAP_LIMIT = 256          # mappings up to this size become an expression
-INLINE_LIMIT = 10_000    # up to this size they travel with the model and are broadcast; beyond, they are a table
-ONEHOT_LIMIT = 2_000     # a table of more indicator columns than this is not something Spark can plan
-
 
 def _text(c: str):
     return F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("nan"))
 
 
 def _store(mapping: DataFrame, name: str) -> dict:
-    """Keep a (category, value) mapping inline when it is small, as a written table otherwise."""
-    table, fits = small_table(mapping, INLINE_LIMIT)
-    if fits:
-        return {"inline": {r["category"]: r["value"] for r in table.collect()}, "size": table.count()}
+    """Keep a (category, value) mapping as a written table, whatever its size."""
     path = scratch_path(mapping.sparkSession, f"encoding-{name}")
     mapping.write.parquet(path)
     return {"table": path, "size": mapping.sparkSession.read.parquet(path).count()}
 
 
 def _apply(df: DataFrame, c: str, stored: dict, default) -> DataFrame:
-    """Replace column `c` by its mapped value, `default` for unseen categories."""
-    inline = stored.get("inline")
-    if inline is not None and len(inline) <= MAP_LIMIT:
-        value = F.element_at(F.create_map(*[F.lit(x) for kv in inline.items() for x in kv]), _text(c)) if inline else F.lit(None)
-        return df.withColumn(c, F.coalesce(value, F.lit(default)))
-    spark = df.sparkSession
-    if inline is not None:
-        kind = "long" if all(isinstance(v, int) for v in inline.values()) else "double"
-        side = F.broadcast(spark.createDataFrame(list(inline.items()), f"_k string, _v {kind}"))
-    else:
-        side = spark.read.parquet(stored["table"]).select(F.col("category").alias("_k"), F.col("value").alias("_v"))
+    """Replace column `c` by its mapped value, `default` for unseen categories. The optimizer knows the table's size."""
+    side = df.sparkSession.read.parquet(stored["table"]).select(F.col("category").alias("_k"), F.col("value").alias("_v"))
     order = df.columns
     joined = df.withColumn("_c", _text(c)).join(side, F.col("_c") == F.col("_k"), "left")
     return joined.withColumn(c, F.coalesce("_v", F.lit(default))).select(*[f"`{x}`" for x in order])
 
 
-def target_means(df: DataFrame, c: str, y: str, smoothing: float = 1.0, min_samples: int = 1) -> tuple[float, DataFrame]:
-    """(global mean, (category, value)): category means pulled to the global mean by w = n / (n + smoothing)."""
+def target_means(df: DataFrame, c: str, y: str, smoothing: float = 1.0, min_samples: int = 1, missing: bool = False) -> tuple[float, DataFrame]:
+    """(global mean, (category, value)): category means pulled to the global mean by w = n / (n + smoothing).
+
+    With `missing`, NULL is the category "nan" with a mean of its own; else it gets the global mean.
+    """
     mean = df.agg(F.avg(F.col(y).cast("double"))).first()[0] or 0.0
-    g = df.where(F.col(f"`{c}`").isNotNull()).groupBy(_text(c).alias("category")).agg(F.avg(F.col(y).cast("double")).alias("m"), F.count(y).alias("n"))
+    g = (df if missing else df.where(F.col(f"`{c}`").isNotNull())).groupBy(_text(c).alias("category")).agg(F.avg(F.col(y).cast("double")).alias("m"), F.count(y).alias("n"))
     w = F.col("n") / (F.col("n") + F.lit(float(smoothing)))
     return mean, g.select("category", F.when(F.col("n") >= min_samples, w * F.col("m") + (1 - w) * F.lit(mean)).otherwise(F.lit(mean)).alias("value"))
 
@@ -72,26 +59,24 @@ class TargetEncoderModel(StateModel):
 
 
 def label_codes(df: DataFrame, c: str) -> DataFrame:
-    """(category, value): codes 0.. in text order. Beyond the inline limit the order comes from ranges."""
+    """(category, value): codes 0.. in text order."""
     found = df.select(_text(c).alias("category")).distinct()
-    small, fits = small_table(found, INLINE_LIMIT)
-    if fits:
-        names = sorted(r["category"] for r in small.collect())
-        return df.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "category string, value long")
     return ordered_rank(found, ["category"], "value").withColumn("value", F.col("value") - 1)
 
 
 class CategoricalEncoder(Estimator):
     """Strategies: label, onehot, target, hybrid. Hybrid sends listed columns to their list's encoding
-    and the rest to target encoding above `threshold` distinct values, else to one-hot."""
+    and the rest to target encoding above `threshold` distinct values, else to one-hot. `max_onehot` refuses
+    more indicator columns than that; by default there is no bound."""
 
     def __init__(self, strategy: str = "hybrid", columns: list[str] | None = None, target: str | None = None, target_columns: list[str] = (),
-                 onehot_columns: list[str] = (), threshold: int = 10, passthrough: list[str] = ()):
+                 onehot_columns: list[str] = (), threshold: int = 10, passthrough: list[str] = (), max_onehot: int | None = None):
         super().__init__()
         if strategy not in ("label", "onehot", "target", "hybrid"):
             raise ValueError(f"unknown encoding strategy: {strategy}")
         self.strategy, self.columns, self.target = strategy, columns, target
         self.target_columns, self.onehot_columns, self.threshold, self.passthrough = list(target_columns), list(onehot_columns), threshold, list(passthrough)
+        self.max_onehot = max_onehot
 
     def _fit(self, df):
         skip = {*self.passthrough, self.target}
@@ -114,15 +99,15 @@ class CategoricalEncoder(Estimator):
                 (target if explicit_target or auto_target else onehot).append(c)
         maps = {}
         for c in target:
-            mean, mapping = target_means(df, c, self.target)
+            mean, mapping = target_means(df, c, self.target, missing=True)
             maps[c] = {"mean": mean, "mapping": _store(mapping, c)}
         codes = {c: _store(label_codes(df, c), c) for c in label}
         values = {}
         if onehot:
             long = df.select(*[_text(c).alias(c) for c in onehot]).unpivot([], onehot, "c", "v").distinct()
-            head = long.limit(ONEHOT_LIMIT + 1).collect()
-            if len(head) > ONEHOT_LIMIT:
-                raise ValueError(f"one-hot encoding of {onehot} needs more than {ONEHOT_LIMIT} columns: use target encoding")
+            head = (long if self.max_onehot is None else long.limit(self.max_onehot + 1)).collect()  # each is a column to be
+            if self.max_onehot is not None and len(head) > self.max_onehot:
+                raise ValueError(f"one-hot encoding of {onehot} needs more than {self.max_onehot} columns: use target encoding")
             values = {c: sorted(r["v"] for r in head if r["c"] == c) for c in onehot}
         return CategoricalEncoderModel(target=maps, label=codes, onehot=values)
 

@@ -81,17 +81,21 @@ def test_target_encoding(spark):
     assert got == pytest.approx({"a": 0.875, "b": 0.1666667, "c": 0.25, "z": 0.5})
 
 
-def test_big_encoding_map_is_joined(spark, monkeypatch):
+def test_label_codes_and_onehot_bound(spark):
     from netsift.prepare import encoding
 
     df = spark.range(60).select(F.concat(F.lit("k"), F.col("id") % 20).alias("c"), (F.col("id") % 3).alias("y"))
-    plain = [r[0] for r in TargetEncoder("c", "y").fit(df).transform(df).orderBy("c").select("c").collect()]
-    monkeypatch.setattr(encoding, "MAP_LIMIT", 2)
-    assert [r[0] for r in TargetEncoder("c", "y").fit(df).transform(df).orderBy("c").select("c").collect()] == pytest.approx(plain)
-    monkeypatch.setattr(encoding, "INLINE_LIMIT", 5)
-    assert [r[0] for r in TargetEncoder("c", "y").fit(df).transform(df).orderBy("c").select("c").collect()] == pytest.approx(plain)
     codes = encoding.label_codes(df, "c").orderBy("category").collect()
     assert [r["value"] for r in codes] == list(range(20))
+    assert len(CategoricalEncoder("onehot", ["c"]).fit(df).transform(df).columns) == 20
+    with pytest.raises(ValueError):
+        CategoricalEncoder("onehot", ["c"], max_onehot=19).fit(df)
+
+
+def test_null_is_a_category_of_the_categorical_encoder(spark):
+    df = spark.createDataFrame([("a", 0.0), ("a", 0.0), (None, 4.0), (None, 4.0)], "c string, y double")
+    got = {r["y"]: r["c"] for r in CategoricalEncoder("target", ["c"], "y").fit(df).transform(df).collect()}
+    assert got == pytest.approx({0.0: (2 * 0 + 2) / 3, 4.0: (2 * 4 + 2) / 3})
 
 
 def test_encoder_rules(spark):
@@ -127,19 +131,65 @@ def test_power_scaling_finds_the_likeliest_exponent(spark):
     assert abs(table["PowerTransformer"]["skewness"]) < abs(table["Original"]["skewness"]) and table["PowerTransformer"]["std"] == pytest.approx(1, abs=1e-3)
 
 
-@pytest.mark.parametrize("leaf", [1, 40, 5_000])
-def test_quantiles_by_counting_agree(spark, leaf):
+def test_quantiles_by_counting_agree(spark):
     rng = np.random.default_rng(3)
     p = pd.DataFrame({"a": np.round(rng.gamma(2.0, 50.0, 3000), 2), "b": rng.integers(0, 4, 3000).astype(float), "c": 7.0, "d": np.exp(rng.normal(size=3000) * 8)})
     p.loc[::9, "a"] = np.nan
     df = spark.createDataFrame(p.astype(object).where(p.notna(), None), "a double, b double, c double, d double").withColumn("e", F.lit(None).cast("double"))
     probs = [0.0, 0.01, 0.25, 0.5, 0.51, 0.99, 1.0]
-    got = X.quantiles(df, ["a", "b", "c", "d", "e"], probs, hash_limit=0, leaf=leaf)
+    got = X.quantiles(df, ["a", "b", "c", "d", "e"], probs)
     for c in "abcd":
         assert got[c] == pytest.approx(list(np.quantile(p[c].dropna(), probs)))
     assert got["e"] == [None] * len(probs)
 
 
+def test_quantiles_with_infinities_and_nan(spark):
+    inf = float("inf")
+    values = [float(i) for i in range(3000)] + [inf] * 1000 + [-inf] * 400 + [float("nan")] * 77 + [1.7e308, -1.7e308]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "a double")
+    clean = sorted(v for v in values if v == v)
+    got = X.quantiles(df, ["a"], [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0])["a"]
+    for p, g in zip([0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0], got):
+        at = p * (len(clean) - 1)
+        lo, hi = clean[math.floor(at)], clean[math.ceil(at)]
+        assert g == (lo if lo == hi else pytest.approx(lo + (at - math.floor(at)) * (hi - lo)))
+    assert X.quantiles(df.limit(0), ["a"], [0.5])["a"] == [None]
+    one = X.quantiles(spark.createDataFrame([(-0.0,)], "a double"), ["a"], [0.0, 1.0])["a"]
+    assert one == [0.0, 0.0]
+
+
+def test_trailing_count_of_one_client_and_null_keys(spark):
+    df = spark.range(40_000).selectExpr("if(id % 2 = 0, 'hot', null) as k", "id * 10 as t", "id % 3 = 0 as ok")
+    got = X.trailing_count(df, ["k"], "t", 1000, F.col("ok")).toPandas()
+    assert len(got) == 40_000
+    for _, r in got.iloc[::997].iterrows():
+        i = r["t"] // 10
+        assert r["trailing"] == sum(1 for j in range(max(0, i - 99), i + 1) if (j - i) % 2 == 0 and j % 3 == 0)
+
+
+def test_rate_limit_and_health_keep_null_keys(spark):
+    from netsift.operators.folds import rate_limit, service_health
+
+    rows = [(i, k, i * 1_000_000) for i in range(6) for k in ("a", None)]
+    df = spark.createDataFrame(rows, "n long, client string, ts long")
+    got = rate_limit(df, "client", "ts", ["n"], limit=2, window_us=60_000_000).where("allowed").groupBy("client").count().collect()
+    assert {r["client"]: r["count"] for r in got} == {"a": 2, None: 2}
+    calls = spark.createDataFrame([(i, k, i * 1000, i % 2 == 0) for i in range(6) for k in (1, None)], "n long, service int, ts long, ok boolean")
+    health = service_health(calls, "service", "ts", ["n"], "ok", threshold=3).orderBy("n").collect()
+    assert len(health) == 12
+    assert [r["state_after"] for r in health if r["service"] is None] == [r["state_after"] for r in health if r["service"] == 1]
+
+
+def test_scratch_folder_must_be_shared_on_a_cluster():
+    from types import SimpleNamespace
+
+    from netsift.session import scratch_root
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        scratch_root(session)
+
+
 def test_correlation_with_gaps(spark):
     rng = np.random.default_rng(5)
     p = pd.DataFrame({"a": rng.normal(size=300)})
