@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,19 +71,26 @@ def scenario_table(spark) -> DataFrame:
     return spark.createDataFrame(S.SCENARIOS, "scenario_key string, label string, source_domain string, description string, hint string, duration int")
 
 
-def tag_scenarios(flows: DataFrame, triggers: DataFrame, durations: dict[str, int], ts: str = "ts_us", segment_us: int = 3_600_000_000) -> DataFrame:
+def tag_scenarios(flows: DataFrame, triggers: DataFrame, durations: dict[str, int], ts: str = "ts_us", bucket_us: int = 900_000_000) -> DataFrame:
     """Adds `scenario_key` of the scenario active at each flow: the latest trigger at or before it, while
     its duration (seconds) lasts. A "normal" trigger clears.
 
-    An as-of join on time alone: the latest trigger is carried along time segments.
+    A trigger is active over an interval that ends with its duration or before the next trigger. Intervals are
+    entered under the time buckets they touch, and flows look in their bucket; flows are neither sorted nor shuffled
+    by time alone.
     """
-    marks = triggers.select(F.col("ts_us").alias("_t"), F.lit(0).alias("_kind"), F.col("trigger_id").alias("_n"), F.struct("ts_us", "scenario_key").alias("_trigger"), F.lit(None).cast(flows.schema).alias("_row"))
-    rows = flows.select(F.col(ts).alias("_t"), F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_n"), F.lit(None).cast(marks.schema["_trigger"].dataType).alias("_trigger"), F.struct(*flows.columns).alias("_row"))
-    line = marks.unionByName(rows).withColumn("_seg", F.floor(F.col("_t") / F.lit(segment_us)))
-    done = carry_forward(line, [], "_seg", ["_t", "_kind", "_n"], F.col("_trigger"), "_active").where("_kind = 1")
-    length = F.element_at(F.create_map(*[x for k, s in durations.items() for x in (F.lit(k), F.lit(int(s) * 1_000_000))]), F.col("_active.scenario_key"))
-    live = F.col("_t") <= F.col("_active.ts_us") + length
-    return done.select("_row.*", F.when(live, F.col("_active.scenario_key")).alias("scenario_key"))
+    length = F.element_at(F.create_map(*[x for k, s in durations.items() for x in (F.lit(k), F.lit(int(s) * 1_000_000))]), F.col("scenario_key"))
+    # the next trigger is the previous one on the reversed line, which is cut into days
+    back = triggers.select("ts_us", "scenario_key", (-F.col("ts_us")).alias("_back"), (-F.col("trigger_id")).alias("_id"), F.floor(-F.col("ts_us") / F.lit(86_400_000_000)).alias("_seg"))
+    back = lag_across(back, [], "_seg", ["_back", "_id"], "ts_us", "_next")
+    following = F.col("_next")
+    spans = (back.select(F.col("ts_us").alias("_from"), "scenario_key", F.least(F.col("ts_us") + length, F.coalesce(following - 1, F.col("ts_us") + length)).alias("_to"))
+             .where((F.col("_to") >= F.col("_from")) & F.col("scenario_key").isin(list(durations))))
+    bucket = lambda t: F.floor(t / F.lit(bucket_us)).cast("long")
+    entered = spans.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_from")), bucket(F.col("_to")))))
+    rows = flows.withColumn("_at", bucket(F.col(ts)))
+    inside = (F.col("_at") == F.col("_bucket")) & (F.col(ts) >= F.col("_from")) & (F.col(ts) <= F.col("_to"))
+    return rows.join(entered, inside, "left").select(*flows.columns, "scenario_key")
 
 
 def enrich_scenarios(flows: DataFrame) -> DataFrame:
@@ -94,8 +103,16 @@ def latest(flows: DataFrame, n: int = 50, ts: str = "ts_us", tie: str = "flow_no
     return flows.orderBy(F.desc(ts), F.desc(tie)).limit(max(1, min(int(n), 200))).orderBy(ts, tie)
 
 
-def since(flows: DataFrame, cursor, ts: str = "ts_us") -> DataFrame:
-    return flows.where(F.col(ts) > cursor)
+def since(flows: DataFrame, ts: str, cursor_us: int) -> DataFrame:
+    """Rows later than the cursor. `ts` is a stored time or number of microseconds, which is compared with a constant
+    of its own type, so that the scan can skip what is older."""
+    kind = flows.schema[ts].dataType.simpleString()
+    moment = datetime(1970, 1, 1) + timedelta(microseconds=cursor_us)
+    if kind == "timestamp_ntz":
+        return flows.where(F.col(ts) > F.lit(moment).cast("timestamp_ntz"))
+    if kind == "timestamp":
+        return flows.where(F.col(ts) > F.lit(moment.replace(tzinfo=timezone.utc)))
+    return flows.where(F.col(ts) > cursor_us)
 
 
 def class_counts(flows: DataFrame, col: str = "prediction") -> DataFrame:

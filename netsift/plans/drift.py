@@ -9,7 +9,7 @@ from netsift.operators import drift as I
 from netsift.plans import views as V
 from netsift.plans.registry import query
 
-FEATURES = ["sbytes", "dbytes", "sttl", "dttl", "sload", "spkts", "swin", "tcprtt", "stime", "ct_dst_ltm"]
+FEATURES = V.NUMERIC
 CATS = ["proto", "state", "service"]
 
 _STEPS = {k: "[" + ", ".join(repr(i / k) for i in range(k + 1)) + "]" for k in range(3, 16)}

@@ -151,7 +151,7 @@ def j9(spark, sf_dir):
 
 _MATCH = "CASE WHEN {0} IN ('m.ththth.example.net') THEN 'dos' WHEN {0} = 'example.com' OR ends_with({0}, '.example.com') THEN 'exploits' WHEN {0} = 'example.net' OR ends_with({0}, '.example.net') THEN 'recon' WHEN {0} = 'example.org' OR ends_with({0}, '.example.org') THEN 'generic' END"
 _D = V.DNS_SQL + ", m AS (SELECT *, " + _MATCH.format("qname") + " AS scenario FROM dns)"
-POLL_US = 5 * DAY_US
+POLL_US = 6 * HOUR_US
 
 
 @query("j10_watch_list_match", f"WITH {_D} SELECT qname, scenario, count(*) AS n FROM m GROUP BY 1, 2")
@@ -193,7 +193,7 @@ tag AS (SELECT request_id, ts_us, CASE WHEN ts_us <= t0 + CASE k WHEN 'exploits'
 
 
 def tagged(spark, sf_dir):
-    return A.tag_scenarios(V.requests(spark, sf_dir), V.triggers(spark, sf_dir), DURATIONS, segment_us=DAY_US)
+    return A.tag_scenarios(V.requests(spark, sf_dir), V.triggers(spark, sf_dir), DURATIONS)
 
 
 @query("j14_scenario_window_tag", f"WITH {_TAG} SELECT request_id, scenario_key FROM tag")
@@ -206,8 +206,8 @@ def j15(spark, sf_dir):
     return A.enrich_scenarios(tagged(spark, sf_dir)).groupBy("scenario_key", "label", "duration").agg(F.count("*").alias("n"))
 
 
-def feed(spark, sf_dir):
-    r = V.requests(spark, sf_dir)
+def feed(spark, sf_dir, since_us: int | None = None):
+    r = V.requests(spark, sf_dir, since_us)
     return r.select(F.col("request_id").alias("flow_no"), "ts_us", F.when(F.col("status") == 200, "Normal").when(F.col("latency_ms") > 40, "DoS").otherwise("Exploits").alias("prediction"))
 
 
@@ -221,12 +221,13 @@ def j16(spark, sf_dir):
 
 @query("j17_cursor_read", f"WITH {_FEED} SELECT * FROM feed WHERE ts_us > epoch_us(TIMESTAMP '2024-01-16')")
 def j17(spark, sf_dir):
-    return A.since(feed(spark, sf_dir), 1_705_363_200_000_000)
+    return feed(spark, sf_dir, since_us=1_705_363_200_000_000)
 
 
-@query("j18_feed_stats", f"WITH {_FEED} SELECT count(*) AS total_flows, count(*) FILTER (prediction = 'Normal') AS normal_flows, count(*) FILTER (prediction <> 'Normal') AS attack_flows, round(100.0 * count(*) FILTER (prediction <> 'Normal') / count(*), 2) AS attack_rate_pct FROM feed")
+@query("j18_feed_stats", f"""WITH {_FEED} SELECT count(*) AS total_flows, count(*) FILTER (prediction = 'Normal') AS normal_flows, count(*) FILTER (prediction <> 'Normal') AS attack_flows, round(100.0 * count(*) FILTER (prediction <> 'Normal') / count(*), 2) AS attack_rate_pct,
+  (SELECT '{{' || string_agg('"' || prediction || '":' || n, ',' ORDER BY prediction) || '}}' FROM (SELECT prediction, count(*) AS n FROM feed GROUP BY prediction)) AS class_counts FROM feed""")
 def j18(spark, sf_dir):
-    return A.feed_stats(feed(spark, sf_dir)).drop("class_counts")
+    return A.feed_stats(feed(spark, sf_dir)).withColumn("class_counts", F.to_json("class_counts"))
 
 
 @query("j18_class_counts", f"WITH {_FEED} SELECT prediction, count(*) AS n FROM feed GROUP BY prediction")

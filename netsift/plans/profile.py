@@ -82,7 +82,7 @@ def d8(spark, sf_dir):
     return D.correlated_columns(D.high_correlations(V.gappy_flows(spark, sf_dir), _N, 0.5))
 
 
-_MI_COLS = ["sbytes", "dbytes", "sttl", "dload", "spkts", "dpkts", "swin", "tcprtt", "ct_srv_src", "ltime"]
+_MI_COLS = V.NUMERIC
 
 
 def mi_sql(source: str, cols, label: str, bins: int = 16) -> str:
@@ -132,19 +132,19 @@ def d13(spark, sf_dir):
     return D.top_missing(gappy(spark, sf_dir)).withColumn("missing_ratio", F.round("missing_ratio", 6))
 
 
-_TOPVAR = ["stime", "ltime", "dbytes", "sbytes", "dload", "sload", "smeansz"]
+_TOPVAR = _N
 
 
 @query("d14_correlation_matrix", f"WITH {_G}, pc AS (SELECT " + ", ".join(f'corr({a}, {b}) AS "{a}|{b}"' for a in _TOPVAR for b in _TOPVAR)
        + " FROM gappy) SELECT feature_1, feature_2, round(c, 5) AS correlation FROM ("
        + " UNION ALL ".join(f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, \"{a}|{b}\" AS c FROM pc" for a in _TOPVAR for b in _TOPVAR) + ")")
 def d14(spark, sf_dir):
-    return D.correlation_matrix(V.gappy_flows(spark, sf_dir), _N, 7).withColumn("correlation", F.round("correlation", 5))
+    return D.correlation_matrix(V.gappy_flows(spark, sf_dir), _N).withColumn("correlation", F.round("correlation", 5))
 
 
-@query("d15_top_information", f"WITH {_G}, {mi_sql('gappy', _MI_COLS, 'label')} SELECT feature, round(mi, 6) AS mi FROM mi ORDER BY mi DESC LIMIT 5")
+@query("d15_top_information", f"WITH {_G}, {mi_sql('gappy', _MI_COLS, 'label')} SELECT feature, round(mi, 6) AS mi FROM mi ORDER BY mi DESC, feature LIMIT 30")
 def d15(spark, sf_dir):
-    return D.top_information(information(spark, sf_dir), 5).withColumn("mi", F.round("mi", 6))
+    return D.top_information(information(spark, sf_dir)).withColumn("mi", F.round("mi", 6))
 
 
 @query("d15_class_counts", f"WITH {V.FLOWS_SQL} SELECT label, count(*) AS n FROM flows GROUP BY label ORDER BY label")
@@ -152,7 +152,7 @@ def d15_counts(spark, sf_dir):
     return D.class_counts(V.flows(spark, sf_dir), "label")
 
 
-_HIST = ["sbytes", "dbytes", "dload", "sload"]
+_HIST = ["sbytes", "dbytes", "dload", "sload", "sttl", "spkts", "dpkts", "smeansz"]
 
 
 @query("d16_histograms", f"WITH {_G}, b AS (SELECT " + ", ".join(f"CAST(min({c}) AS DOUBLE) AS {c}_lo, CAST(max({c}) AS DOUBLE) AS {c}_hi" for c in _HIST) + " FROM gappy), h AS ("
@@ -160,5 +160,5 @@ _HIST = ["sbytes", "dbytes", "dload", "sload"]
        + "), g AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST(i AS INTEGER) AS bin, round({c}_lo + i * (({c}_hi - {c}_lo) / 50), 3) AS left_edge FROM b, range(50) t(i)" for c in _HIST)
        + ") SELECT g.feature, g.bin, left_edge, coalesce(n, 0) AS n FROM g LEFT JOIN (SELECT feature, bin, count(*) AS n FROM h GROUP BY ALL) k ON g.feature = k.feature AND g.bin = k.bin")
 def d16(spark, sf_dir):
-    h = D.histograms(V.gappy_flows(spark, sf_dir), [*_HIST, "sttl", "spkts", "dur"], 4)
+    h = D.histograms(V.gappy_flows(spark, sf_dir), _HIST)
     return h.select("feature", "bin", F.round("left_edge", 3).alias("left_edge"), "n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netsift.operators.alerts import since
 from netsift.functions.cleaning import epoch_micros
 
 
@@ -156,9 +157,11 @@ PACKETS_SQL = """packets AS (
   FROM events)"""
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per event; `ts_us` is the event time in microseconds."""
+def requests(spark: SparkSession, sf_dir: str, since_us: int | None = None) -> DataFrame:
+    """One request per event; `ts_us` is the event time in microseconds. With `since_us`, only later ones are read."""
     e = table(spark, sf_dir, "events")
+    if since_us is not None:
+        e = since(e, "ts", since_us)
     return e.select(
         F.col("event_id").alias("request_id"),
         epoch_micros("ts").alias("ts_us"),
