@@ -136,7 +136,7 @@ _TOPVAR = _N
 
 
 @query("d14_correlation_matrix", f"WITH {_G}, pc AS (SELECT " + ", ".join(f'corr({a}, {b}) AS "{a}|{b}"' for a in _TOPVAR for b in _TOPVAR)
-       + " FROM gappy) SELECT feature_1, feature_2, round(c, 5) AS correlation FROM ("
+       + " FROM gappy) SELECT feature_1, feature_2, CASE WHEN isfinite(c) THEN round(c, 5) END AS correlation FROM ("
        + " UNION ALL ".join(f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, \"{a}|{b}\" AS c FROM pc" for a in _TOPVAR for b in _TOPVAR) + ")")
 def d14(spark, sf_dir):
     return D.correlation_matrix(V.gappy_flows(spark, sf_dir), _N).withColumn("correlation", F.round("correlation", 5))
