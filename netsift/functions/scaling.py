@@ -53,6 +53,27 @@ def hash_rank(df: DataFrame, hash_col: str, groups: list[str] = (), out: str = "
     )
 
 
+def hash_first(df: DataFrame, hash_col: str, want: Column, groups: list[str] = ()) -> DataFrame:
+    """The first `want` rows of every group in hash order; a group whose `want` is NULL stays whole.
+
+    Hash buckets are counted. Buckets below the cut are kept by a filter and those above dropped by it; only the one
+    bucket of a group that the cut goes through is ranked.
+    """
+    keys = [f"_g{i}" for i in range(len(groups))] + ["_bucket"]
+    tagged = df.withColumn("_want", want).withColumn("_bucket", F.substring(hash_col, 1, 3))
+    for i, g in enumerate(groups):
+        tagged = tagged.withColumn(f"_g{i}", F.coalesce(F.col(g).cast("string"), F.lit("\u0000")))
+    below = Window.partitionBy(*keys[:-1]).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = tagged.groupBy(*keys).agg(F.count("*").alias("_n"), F.max("_want").alias("_want"))
+    left = F.col("_want") - F.coalesce(F.sum("_n").over(below), F.lit(0))
+    cuts = sizes.withColumn("_left", left).where(F.col("_left").isNull() | (F.col("_left") > 0))
+    cuts = materialize(cuts.select(*keys, F.when(F.col("_left") < F.col("_n"), F.col("_left")).alias("_left")), "hash-cuts")
+    near = tagged.drop("_want").join(cuts, keys)
+    inside = Window.partitionBy(*keys).orderBy(hash_col)
+    ranked = near.where("_left is not null").withColumn("_pos", F.row_number().over(inside)).where("_pos <= _left")
+    return near.where("_left is null").select(*df.columns).unionByName(ranked.select(*df.columns))
+
+
 def carry_forward(df: DataFrame, keys: list[str], segment: str, order: list[str], value: Column,
                   out: str) -> DataFrame:
     """Last non-NULL `value` at or before each row of a key.

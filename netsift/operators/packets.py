@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netsift import schema as S
 from netsift.functions.cleaning import to_number
-from netsift.functions.scaling import carry_forward
+from netsift.functions.scaling import carry_forward, null_safe_join
 from netsift.session import materialize
 
 FLOW_KEY = ["lo_ip", "lo_port", "hi_ip", "hi_port", "proto"]
@@ -78,7 +78,7 @@ def direct_packets(packets: DataFrame) -> DataFrame:
     """Adds the flow key and `fwd`: true for packets sent by whoever sent the flow's first packet."""
     keyed = key_packets(packets)
     first = keyed.groupBy(*FLOW_KEY).agg(F.min_by("from_lo", F.struct(*ORDER)).alias("first_lo"))
-    return keyed.join(first, FLOW_KEY).withColumn("fwd", F.col("from_lo") == F.col("first_lo")).drop("from_lo")
+    return null_safe_join(keyed, first, FLOW_KEY).withColumn("fwd", F.col("from_lo") == F.col("first_lo")).drop("from_lo")
 
 
 def _oriented(df: DataFrame) -> DataFrame:
@@ -209,22 +209,18 @@ CONNECTION_COUNTS = {
 def connection_counts(flows: DataFrame, features: dict[str, list[str]] | None = None) -> DataFrame:
     """Number of flows sharing each key, for eight keys.
 
-    Counts are pre-aggregated and joined back rather than taken over a window: a hot address then
-    costs one counted row, and the join can be broadcast or split by the engine. The flows are written
-    once, because every count reads them again.
+    The distinct combinations of all keys are counted once. Each count is a sum over combinations that is joined back
+    to that narrow table, and the flows are joined with it once, so a hot address costs one row per combination and
+    the wide rows are shuffled once.
     """
+    features = features or CONNECTION_COUNTS
     flows = materialize(flows, "flows")
-    out = flows
-    for name, keys in (features or CONNECTION_COUNTS).items():
-        counts = flows.groupBy(*keys).agg(F.count("*").alias(name))
-        renamed = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], name)
-        out = out.drop(name) if name in out.columns else out
-        cond = None
-        for k in keys:
-            test = F.col(k).eqNullSafe(F.col(f"_{k}"))
-            cond = test if cond is None else cond & test
-        out = out.join(renamed, cond, "left").drop(*[f"_{k}" for k in keys])
-    return out
+    every = list(dict.fromkeys(k for keys in features.values() for k in keys))
+    combinations = materialize(flows.groupBy(*every).agg(F.count("*").alias("_n")), "key-combinations")
+    counted = combinations
+    for name, keys in features.items():
+        counted = null_safe_join(counted, combinations.groupBy(*keys).agg(F.sum("_n").alias(name)), keys, "left")
+    return null_safe_join(flows.drop(*features), counted.drop("_n"), every)
 
 
 def same_endpoint(flows: DataFrame) -> DataFrame:
@@ -248,12 +244,8 @@ def align(flows: DataFrame) -> DataFrame:
 def assemble(packets: DataFrame, segment_seconds: float = 60.0) -> DataFrame:
     """Packets to complete flow records in canonical form."""
     directed = direct_packets(packets)
-    flows = (
-        counters(directed)
-        .join(inter_arrival(directed, segment_seconds), FLOW_KEY)
-        .join(handshake(directed, segment_seconds), FLOW_KEY, "left")
-        .fillna(0.0, ["synack", "ackdat", "tcprtt"])
-    )
+    flows = null_safe_join(counters(directed), inter_arrival(directed, segment_seconds), FLOW_KEY)
+    flows = null_safe_join(flows, handshake(directed, segment_seconds), FLOW_KEY, "left").fillna(0.0, ["synack", "ackdat", "tcprtt"])
     flows = rates(_oriented(flows)).withColumn("service", service_of("dsport", "proto"))
     return align(same_endpoint(connection_counts(flows)))
 

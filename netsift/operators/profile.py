@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netsift.functions.scaling import correlations, hash_rank, order_hash, quantiles
+from netsift.functions.scaling import correlations, hash_first, order_hash, quantiles
 
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
@@ -178,8 +178,7 @@ def information_report(scores: DataFrame, threshold: float) -> DataFrame:
 
 def seeded_sample(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:
     """`n` rows, uniformly and repeatably: the first `n` in hash order."""
-    ranked = hash_rank(df.withColumn("_h", order_hash(*key, seed=seed)), "_h", out="_r")
-    return ranked.where(F.col("_r") <= n).drop("_h", "_r")
+    return hash_first(df.withColumn("_h", order_hash(*key, seed=seed)), "_h", F.lit(n)).drop("_h")
 
 
 def class_distribution(df: DataFrame, col: str) -> DataFrame:

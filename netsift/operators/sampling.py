@@ -1,7 +1,7 @@
 """Sampling, de-duplication, splitting, class codes and class weights.
 
-Every "take n of this class" is a rank in hash order (functions.scaling.hash_rank), so results repeat
-exactly and no class, however large, is sorted in a single task.
+Every "take n of this class" is a cut in hash order (functions.scaling.hash_first), so results repeat
+exactly and no class, however large, is sorted at all but for the hash bucket of the cut.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from netsift import schema as S
 from netsift.functions.cleaning import is_attack, is_normal, sizing_category
 from netsift.session import materialize
-from netsift.functions.scaling import hash_rank, lookup, order_hash
+from netsift.functions.scaling import hash_first, hash_rank, lookup, order_hash
 
 
 def with_hash(df: DataFrame, key: list[str], seed: int = 42, out: str = "order_hash") -> DataFrame:
@@ -25,9 +25,7 @@ def cap_classes(df: DataFrame, col: str, key: list[str], caps: dict[str, int] |
     """At most `caps[class]` rows of each listed class; other classes stay whole."""
     caps = S.CLASS_CAPS if caps is None else caps
     limit = F.create_map(*[x for k, v in caps.items() for x in (F.lit(k), F.lit(int(v)))])
-    ranked = hash_rank(with_hash(df, key, seed, "_h"), "_h", [col], "_r")
-    cap = F.element_at(limit, F.col(col))
-    return ranked.where(cap.isNull() | (F.col("_r") <= cap)).drop("_h", "_r")
+    return hash_first(with_hash(df, key, seed, "_h"), "_h", F.element_at(limit, F.col(col)), [col]).drop("_h")
 
 
 def normal_target(df: DataFrame, ratio: float = 0.5, offset: int = 5_000, category: str | None = "attack_cat") -> int:
@@ -44,8 +42,7 @@ def attack_normal_subset(df: DataFrame, key: list[str], ratio: float = 0.5, offs
                          category: str | None = "attack_cat") -> DataFrame:
     """All attacks plus a seeded sample of normals, in shuffled order (`shuffle_rank`)."""
     n = normal_target(df, ratio, offset, category)
-    ranked = hash_rank(with_hash(df.where(is_normal()), key, seed, "_h"), "_h", out="_r")
-    normals = ranked.where(F.col("_r") <= n).drop("_h", "_r")
+    normals = hash_first(with_hash(df.where(is_normal()), key, seed, "_h"), "_h", F.lit(n)).drop("_h")
     return shuffle(df.where(is_attack()).unionByName(normals), key, seed)
 
 
@@ -129,8 +126,7 @@ def encode_classes(df: DataFrame, col: str, codes: DataFrame, out: str = "target
 def undersample(df: DataFrame, col: str, key: list[str], seed: int = 42) -> DataFrame:
     """Every class cut to the size of the smallest one."""
     smallest = df.groupBy(col).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0] or 0
-    ranked = hash_rank(with_hash(df, key, seed, "_h"), "_h", [col], "_r")
-    return ranked.where(F.col("_r") <= smallest).drop("_h", "_r")
+    return hash_first(with_hash(df, key, seed, "_h"), "_h", F.lit(smallest), [col]).drop("_h")
 
 
 def balanced_weights(df: DataFrame, col: str, out: str = "weight") -> DataFrame:

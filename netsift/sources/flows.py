@@ -49,15 +49,10 @@ def _one_csv(spark: SparkSession, path: str, schema: T.StructType | None, header
     if schema is None:
         names = spark.read.option("header", header).option("encoding", encoding).csv(path).columns
         schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    line = F.col("line")
-    lines = (
-        spark.read.schema("line string").option("header", header).option("encoding", encoding)
-        .option("sep", "\u0001").option("quote", "").option("escape", "").option("maxCharsPerColumn", -1).csv(path)
-    )
-    bare = F.when(line.contains('"'), F.regexp_replace(line, r'"(?:[^"]|"")*"', "")).otherwise(line)
-    fields = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+    lines = _lines(spark, path, header, encoding)
+    fields = _fields()
     text = ", ".join(f"c{i} string" for i in range(len(schema)))
-    parsed = lines.where(fields <= len(schema)).select(F.from_csv(line, text).alias("r"))
+    parsed = lines.where(fields <= len(schema)).select(F.from_csv(F.col("line"), text).alias("r"))
     out = []
     for i, f in enumerate(schema):
         c = F.col(f"r.c{i}")
@@ -66,13 +61,40 @@ def _one_csv(spark: SparkSession, path: str, schema: T.StructType | None, header
     return df.limit(max_rows) if max_rows is not None else df
 
 
+def _lines(spark: SparkSession, path: str, header: bool, encoding: str) -> DataFrame:
+    return (
+        spark.read.schema("line string").option("header", header).option("encoding", encoding)
+        .option("sep", "\u0001").option("quote", "").option("escape", "").option("maxCharsPerColumn", -1).csv(path)
+    )
+
+
+def _fields():
+    """Number of fields of a line; commas inside quotes don't count."""
+    line = F.col("line")
+    bare = F.when(line.contains('"'), F.regexp_replace(line, r'"(?:[^"]|"")*"', "")).otherwise(line)
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+
+
+def rejected_lines(spark: SparkSession, paths: list[str], schema: T.StructType, header: bool = False, encoding: str = "UTF-8") -> DataFrame:
+    """(path, line, fields) of the lines `read_flow_csv` leaves out because they have more fields than the schema."""
+    there = [path for path in paths if exists(spark, path)]
+    if not there:
+        return spark.createDataFrame([], "path string, line string, fields int")
+    parts = [_lines(spark, path, header, encoding).withColumn("fields", _fields()).where(F.col("fields") > len(schema))
+             .select(F.lit(path).alias("path"), "line", F.col("fields").cast("int").alias("fields")) for path in there]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def read_flow_csv(spark: SparkSession, paths: list[str], schema: T.StructType | None = None, header: bool | None = None,
-                  max_rows: int | None = None, encoding: str = "UTF-8") -> DataFrame:
+                  max_rows: int | None = None, encoding: str = "UTF-8", report: bool = False) -> DataFrame:
     """Union of flow CSV parts. With a schema (from the catalog) the files have no header line.
 
-    Missing files are skipped with a warning; it is an error when none exists. `max_rows` is a cap per file.
+    Missing files are skipped with a warning; it is an error when none exists. `max_rows` is a cap per file. Lines with
+    more fields than the schema are left out: `rejected_lines` has them, and with `report` their number is warned of.
     """
     header = schema is None if header is None else header
+    if report and schema is not None and (bad := rejected_lines(spark, paths, schema, header, encoding).count()):
+        warnings.warn(f"{bad} lines have more than {len(schema)} fields and are left out", stacklevel=2)
     parts = []
     for path in paths:
         if exists(spark, path):

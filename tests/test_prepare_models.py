@@ -128,5 +128,25 @@ def test_catalog_and_missing_files(spark, tmp_path):
         df = A.read_flow_csv(spark, [str(tmp_path / "p1.csv"), str(tmp_path / "none.csv")], schema)
     assert [tuple(r) for r in df.orderBy("proto", "ct_src").collect()] == [("tcp", 1.5, 1), ("udp", None, 0), ("udp", 3.0, None)]
     assert A.read_flow_csv(spark, [str(tmp_path / "p1.csv")], schema, max_rows=1).count() == 1
+    bad = A.rejected_lines(spark, [str(tmp_path / "p1.csv"), str(tmp_path / "none.csv")], schema).collect()
+    assert [(r["line"], r["fields"]) for r in bad] == [("tcp,2,1,9,9", 5)]
+    with pytest.warns(UserWarning, match="1 lines have more than 3 fields"):
+        A.read_flow_csv(spark, [str(tmp_path / "p1.csv")], schema, report=True)
     with pytest.raises(FileNotFoundError):
         A.read_flow_csv(spark, [str(tmp_path / "none.csv")], schema)
+
+
+def test_packets_with_null_keys_and_sampling_cuts(spark):
+    from netsift.functions.scaling import hash_first
+    from netsift.operators.packets import connection_counts
+
+    flows = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, None, None), (4, "b", "x")], "n int, src string, dst string")
+    got = connection_counts(flows, {"c_src": ["src"], "c_both": ["src", "dst"]}).orderBy("n").collect()
+    assert [(r["c_src"], r["c_both"]) for r in got] == [(2, 2), (2, 2), (1, 1), (1, 1)]
+    rows = spark.range(5000).selectExpr("id", "md5(string(id)) as h", "if(id % 10 = 0, 'rare', 'much') as c")
+    want = F.when(F.col("c") == "much", 700)
+    kept = hash_first(rows, "h", want, ["c"]).toPandas()
+    whole = rows.toPandas()
+    expect = set(whole[whole["c"] == "rare"]["id"]) | set(whole[whole["c"] == "much"].sort_values("h").head(700)["id"])
+    assert set(kept["id"]) == expect and len(kept) == len(expect)
+    assert hash_first(rows, "h", F.lit(0), ["c"]).count() == 0
