@@ -18,11 +18,17 @@ QUERY_J1 = ORACLES["j1_flow_sessions"]
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _source(spark, df, name: str, files: int = 1):
-    """The table as a stream of files, written in time order so that event time advances."""
+def _source(spark, df, name: str, parts: int = 3):
+    """The table as a stream of several micro-batches: parts of the time line, written one after the other and read in
+    that order, so that event time advances from batch to batch."""
     path = scratch_path(spark, name)
-    df.repartitionByRange(files, *[c for c in ("ts", "ts_us") if c in df.columns][:1]).write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    ts = next(c for c in ("ts", "ts_us") if c in df.columns)
+    cuts = sorted(set(df.select(F.col(ts).cast("double").alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.01)))
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        t = F.col(ts).cast("double")
+        part = df.where((F.lit(True) if lo is None else t >= lo) & (F.lit(True) if hi is None else t < hi))
+        part.repartition(2, ts).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
 def _drain(spark, stream, name: str, mode: str = "append"):

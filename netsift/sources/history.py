@@ -24,5 +24,12 @@ def load(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
     return good.orderBy(F.desc("timestamp")).limit(limit).orderBy("timestamp")
 
 
+def has_batch(spark: SparkSession, path: str, batch_id: int) -> bool:
+    """Whether an assessment of this micro-batch is in the history."""
+    if not exists(spark, path):
+        return False
+    return not spark.read.schema("batch_id long").json(path).where(F.col("batch_id") == batch_id).isEmpty()
+
+
 def last(spark: SparkSession, path: str) -> DataFrame:
     return load(spark, path, 1)

@@ -5,20 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from netsift.operators import drift as I
 from netsift.sources import history
 
 
 def assess_batch(batch: DataFrame, baseline: DataFrame, path: str, importances: DataFrame | None = None, top_n: int = 10,
-                 timestamp: str | None = None) -> DataFrame | None:
-    """Assess one batch against the baseline and append the result to the history; None when it is empty."""
+                 timestamp: str | None = None, batch_id: int | None = None) -> DataFrame | None:
+    """Assess one batch against the baseline and append the result to the history; None when it is empty.
+
+    A batch that the stream repeats after a failure is known by its id and isn't entered twice.
+    """
+    if batch_id is not None and history.has_batch(batch.sparkSession, path, batch_id):
+        return None
     n = batch.count()
     if n == 0:
         return None
     spark = batch.sparkSession
     doc = I.assess(I.compare_features(baseline, batch), batch_size=n, importances=importances, history=history.load(spark, path, 20), top_n=top_n, timestamp=timestamp)
-    history.append(doc.drop("history", "dashboard"), path)
+    history.append(doc.drop("history", "dashboard").withColumn("batch_id", F.lit(batch_id).cast("long")), path)
     return doc
 
 
@@ -28,7 +34,7 @@ def monitor(stream: DataFrame, baseline: DataFrame, path: str, checkpoint: str,
     def run(batch: DataFrame, epoch: int) -> None:
         held = batch.persist()
         try:
-            doc = assess_batch(held, baseline, path, importances)
+            doc = assess_batch(held, baseline, path, importances, batch_id=epoch)
             if doc is not None and on_assessment is not None:
                 on_assessment(doc, epoch)
         finally:
