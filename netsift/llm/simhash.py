@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netsift.llm.common import materialize, text_or_empty
@@ -54,16 +54,22 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def row_name() -> Column:
+    """The doc_id as text; of a row without one, a hash of its text."""
+    return F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text "), F.sha2(text_or_empty().cast("binary"), 256)))
+
+
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp long) of every row."""
+    """(doc_id, name, fp long) of every row; name is that of `row_name`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
+            texts = batch.column(2).cast(pa.large_binary()).to_pylist()
             values = np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(values, pa.int64())], names=["doc_id", "name", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_name().alias("name"), text_or_empty().alias("text"))
+    return named.mapInArrow(run, "doc_id long, name string, fp long")
 
 
 @dataclass(frozen=True)
@@ -239,27 +245,33 @@ def links(unique: DataFrame, parts: list[Part], radius: int, cell: int = 1024, h
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id of the component."""
+    """(doc_id, fp, component_id, stays) of every row.
+
+    component_id is the smallest doc_id of the component, and `stays` the name of the row that represents it: that
+    doc_id or, where no row has one, the smallest name.
+    """
     rows = materialize(fingerprints(docs, words), "fingerprints")
-    unique = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
+    unnamed = F.when(F.col("doc_id").isNull(), F.col("name"))
+    unique = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.min(unnamed).alias("least_name")), "distinct-fingerprints")
     counts = bit_counts(unique)
     parts = plan(counts, radius)
     if not parts:
-        return rows.withColumn("component_id", F.col("doc_id"))
+        return rows.select("doc_id", "fp", F.col("doc_id").alias("component_id"), F.col("name").alias("stays"))
     roots = materialize(components(links(unique, parts, radius)), "components")
-    rooted = unique.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    rooted = unique.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", "least_name", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "rooted")
-    smallest = materialize(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "component-ids")
-    named = materialize(rooted.join(smallest, "root").select("fp", "component_id"), "named-fingerprints")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.min("least_name").alias("least_name"))
+    smallest = materialize(smallest.select("root", "component_id", F.coalesce(F.col("component_id").cast("string"), "least_name").alias("stays")), "component-ids")
+    named = materialize(rooted.join(smallest, "root").select("fp", "component_id", "stays"), "named-fingerprints")
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "stays")
 
 
 def one_of_each(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
     """`docs` with one row of each component, that of the smallest doc_id; all columns stay.
 
-    Rows that repeat the doc_id of a row that stays are the same document, so one of them stays.
+    Rows that repeat the doc_id of a row that stays are the same document, so one of them stays. Rows without a doc_id
+    go by their text.
     """
-    kept = materialize(near_duplicates(docs, radius, words).select("component_id").distinct(), "kept-ids")
-    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("key"))
-    same = F.col("key").eqNullSafe(F.col("component_id"))
-    return whole.join(kept, same, "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64(F.col("row.text"))).alias("row")).select("row.*")
+    kept = materialize(near_duplicates(docs, radius, words).select(F.col("stays").alias("name")).distinct(), "kept-rows")
+    whole = docs.select(F.struct("*").alias("row"), row_name().alias("name"))
+    return whole.join(kept, "name", "left_semi").groupBy("name").agg(F.min_by("row", F.xxhash64(F.col("row.text"))).alias("row")).select("row.*")

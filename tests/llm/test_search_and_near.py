@@ -90,7 +90,10 @@ def test_near_duplicates_of_awkward_rows(spark):
 def test_one_row_of_each_component_stays(spark):
     kept = simhash.one_of_each(docs(spark))
     assert kept.columns == docs(spark).columns
-    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 3, 6, 7, 8, 9]
+    assert sorted(str((r["doc_id"], r["text"] if r["doc_id"] is None else "")) for r in kept.collect()) == sorted(
+        str(x) for x in [(1, ""), (3, ""), (6, ""), (7, ""), (8, ""), (9, ""), (None, "no id at all")])
+    nobody = docs(spark, [(None, t, "en", "a", 1) for t in ("one two three four five", "ONE two three four five", "another text", None, "")])
+    assert sorted(len(r["text"] or "") for r in simhash.one_of_each(nobody).collect()) == [0, 12, 23]
     assert simhash.one_of_each(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
