@@ -10,7 +10,7 @@ import functools
 import os
 from array import array
 
-PIECES = 250_000
+PIECES = 450_000  # a generation of the cache
 PER_CALL = 20_000
 
 
@@ -35,13 +35,12 @@ class PackedEncoder:
             self.older = older = known
             self.known = known = {}
         new = []
-        for piece in pieces:
-            if piece not in known:
-                packed = older.get(piece)
-                if packed is None:
-                    new.append(piece)
-                else:
-                    known[piece] = packed
+        for piece in pieces.difference(known):
+            packed = older.get(piece)
+            if packed is None:
+                new.append(piece)
+            else:
+                known[piece] = packed
         for at in range(0, len(new), PER_CALL):
             some = new[at:at + PER_CALL]
             for piece, coded in zip(some, self.tokenizer.encode_batch_fast([" " + p for p in some], add_special_tokens=False)):
@@ -49,7 +48,7 @@ class PackedEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if "  " in t else t.split(" ") for t in texts]
-        self._learn({p for pieces in cut if pieces is not None for p in pieces[1:]})
+        self._learn(set().union(*(pieces[1:] for pieces in cut if pieces is not None)))
         out = []
         for text, pieces in zip(texts, cut):
             if pieces is None:

@@ -27,7 +27,7 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 _TAKEN = pa.schema([(name, pa.int64()) for name in ("length", "first", "last", "per", "sequence_base", "place")])
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, docs_at_once: int = 64) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, docs_at_once: int = 128) -> DataFrame:
     """The pieces of every document: doc_id, start, length, ids_crc32, doc_tokens."""
     end = int(end_id).to_bytes(4, "little")
 
