@@ -13,6 +13,10 @@ fingerprints are cut into cells of bounded size, which together see every pair.
 Edge cases: a null text is empty; a text without words has fingerprint 0 and is linked like any other; fewer words
 than a shingle make one shingle; a null doc_id takes part but is never a component's id unless it has no other.
 Columns other than doc_id and text are not read.
+
+The pipeline's stage, `one_of_each`, has another contract: texts are linked if their sets of five-word shingles have a
+Jaccard similarity of 0.8 or more. Fingerprints within 16 bits are its candidates (a pair at 0.8 differs in about 10);
+a second fingerprint drops those that met by chance, and every pair that is used as a link is verified by its sets.
 """
 
 from __future__ import annotations
@@ -32,6 +36,9 @@ from netsift.llm.common import materialize, text_or_empty
 from netsift.llm.components import components
 
 BITS = 64
+STAGE_WORDS, STAGE_RADIUS, STAGE_BOTH = 5, 16, 30  # words of a shingle, bits of the first fingerprint, bits of both together
+LEAST = (4, 5)  # the similarity of a link, as a fraction
+STAGE_ROW_COST = 300.0  # its rows are wider, and its pairs are compared in blocks
 ROW_COST, PAIR_COST = 30.0, 1.0  # moving a row to a bucket against comparing a pair in it
 
 
@@ -126,7 +133,7 @@ def _grouped(counts: np.ndarray, m: int) -> list[tuple[int, ...]]:
     return parts
 
 
-def plan(counts: np.ndarray, radius: int) -> list[Part]:
+def plan(counts: np.ndarray, radius: int, row_cost: float = ROW_COST) -> list[Part]:
     """The parts and thresholds with the least estimated cost for the counted fingerprints."""
     n = counts[BITS, BITS]
     if not n:
@@ -142,7 +149,8 @@ def plan(counts: np.ndarray, radius: int) -> list[Part]:
             for b in bits:
                 apart = np.convolve(apart, [p[b] ** 2 + (1 - p[b]) ** 2, 2 * p[b] * (1 - p[b])])
             rows = np.cumsum([math.comb(len(bits), t) for t in range(goal + 1)])
-            cost.append(ROW_COST * n * rows + PAIR_COST * n * n * np.cumsum(apart[:goal + 1]))
+            apart = np.append(apart, np.zeros(max(0, goal + 1 - len(apart))))
+            cost.append(row_cost * n * rows + PAIR_COST * n * n * np.cumsum(apart[:goal + 1]))
         table = {0: (0.0, ())}  # sum of thresholds -> cost, thresholds
         for own in cost:
             table = {s: min((c + own[t], ts + (t,)) for prev, (c, ts) in table.items() if (t := s - prev) >= 0)
@@ -190,37 +198,46 @@ def _forest(fps: np.ndarray, starts: np.ndarray, index: np.ndarray, radius: int,
     return a[a != b], b[a != b]
 
 
-def links(unique: DataFrame, parts: list[Part], radius: int, cell: int = 1024, hot_keys: int = 100_000) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (fp) that connect all pairs within `radius`."""
+def dealt(unique: DataFrame, parts: list[Part], cell: int, hot_keys: int, spread: str = "fp") -> DataFrame:
+    """(part, bucket, cell, role, columns of `unique`) sorted by the first four; every pair that agrees on a part meets
+    in a cell, where rows of role 0 come first and are compared with all later ones."""
     n = unique.count()
     cell = max(cell, len(parts) * n // hot_keys)  # so at most hot_keys buckets are larger than a cell
     masks = [(k, np.uint64(part.mask), np.array(part.flips(), dtype=np.uint64)) for k, part in enumerate(parts)]
+    columns = unique.columns
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)
+            fps = np.asarray(batch.column(columns.index("fp"))).astype(np.int64).view(np.uint64)
             for part, mask, flips in masks:
-                for at in range(0, len(fps), max(1, 500_000 // len(flips))):
-                    some = fps[at:at + max(1, 500_000 // len(flips))]
+                step = max(1, 500_000 // len(flips))
+                for at in range(0, len(fps), step):
+                    some = fps[at:at + step]
                     keys = (some & mask)[:, None] ^ flips[None, :]
                     exact = np.zeros(keys.shape, bool)
                     exact[:, 0] = True
+                    rows = pa.array(np.repeat(np.arange(at, at + len(some)), len(flips)))
                     yield pa.record_batch([pa.array(np.full(keys.size, part, np.int32)), pa.array(keys.ravel().view(np.int64)), pa.array(exact.ravel()),
-                                           pa.array(np.repeat(some, len(flips)).view(np.int64))], names=["part", "bucket", "exact", "fp"])
+                                           *(c.take(rows) for c in batch.columns)], names=["part", "bucket", "exact", *columns])
 
-    entered = unique.select("fp").mapInArrow(entries, "part int, bucket long, exact boolean, fp long")
+    schema = "part int, bucket long, exact boolean, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in unique.schema)
+    entered = unique.mapInArrow(entries, schema)
     exact_only = F.array(*[F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(int(np.uint64(part.mask).view(np.int64)))).alias("bucket")) for k, part in enumerate(parts)])
     hot = (unique.select(F.explode(exact_only).alias("e")).select("e.*").groupBy("part", "bucket").agg(F.count("*").alias("n")).filter(F.col("n") > cell)
            .select("part", "bucket", F.ceil(F.col("n") / cell).cast("int").alias("cuts")))
-    own = F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")
+    own = F.pmod(F.xxhash64(spread), F.col("cuts")).cast("int")
     # cell c * cuts + d compares the index rows of cut c with each other and with the rows of cut d
     as_index = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda d: F.struct((own * F.col("cuts") + d).alias("cell"), F.lit(0).alias("role")))
     as_probe = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda c: F.struct((c * F.col("cuts") + own).alias("cell"), F.lit(1).alias("role")))
     others = F.filter(as_probe, lambda x: F.floor(x["cell"] / F.col("cuts")) != own)
     cells = (F.when(F.col("cuts").isNull(), F.array(F.struct(F.lit(0).alias("cell"), F.when(F.col("exact"), 0).otherwise(1).alias("role"))))
              .when(F.col("exact"), F.concat(as_index, others)).otherwise(as_probe))
-    dealt = (entered.join(F.broadcast(hot), ["part", "bucket"], "left").select("part", "bucket", "fp", F.explode(cells).alias("c"))
-             .select("part", "bucket", "c.cell", "c.role", "fp").repartition("part", "bucket", "cell").sortWithinPartitions("part", "bucket", "cell", "role"))
+    return (entered.join(F.broadcast(hot), ["part", "bucket"], "left").select("part", "bucket", *columns, F.explode(cells).alias("c"))
+            .select("part", "bucket", "c.cell", "c.role", *columns).repartition("part", "bucket", "cell").sortWithinPartitions("part", "bucket", "cell", "role"))
+
+
+def links(unique: DataFrame, parts: list[Part], radius: int, cell: int = 1024, hot_keys: int = 100_000) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (fp) that connect all pairs within `radius`."""
 
     def compare(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
         def edges(cols: list[np.ndarray], changes: np.ndarray) -> pa.RecordBatch:
@@ -241,7 +258,7 @@ def links(unique: DataFrame, parts: list[Part], radius: int, cell: int = 1024, h
             changes = np.flatnonzero(np.any([c[1:] != c[:-1] for c in held[:3]], axis=0)) + 1
             yield edges(held, changes)
 
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt(unique.select("fp"), parts, cell, hot_keys).mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
@@ -266,12 +283,200 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFra
     return rows.join(named, "fp").select("doc_id", "fp", "component_id", "stays")
 
 
-def one_of_each(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
-    """`docs` with one row of each component, that of the smallest doc_id; all columns stay.
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """The distinct XXH64 values of the shingles of `words` words, sorted; fewer words make one shingle, no words none."""
+    found = text.lower().split()
+    digest = xxhash.xxh64_intdigest
+    if len(found) <= words:
+        return np.array([digest(b" ".join(found), 42)] if found else [], dtype=np.uint64)
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+    starts = np.append([0], ends)[: len(found) - words + 1].tolist()
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, (ends[words - 1:] - 1).tolist())], dtype=np.uint64))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at:at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def two_fingerprints(hashes: np.ndarray) -> tuple[int, int]:
+    """Of a set of shingles, and of the same set with its values mixed again."""
+    mixed = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return _majority(hashes), _majority(mixed ^ (mixed >> np.uint64(31)))
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, name, node, fp, second, size) of every row; rows with the same set of shingles have the same node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, words) for t in batch.column(2).cast(pa.large_binary()).to_pylist()]
+            both = np.array([two_fingerprints(x) for x in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes), pa.array(both[:, 0]), pa.array(both[:, 1]),
+                                   pa.array(list(map(len, sets)), pa.int32())], names=["doc_id", "name", "node", "fp", "second", "size"])
+
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_name().alias("name"), text_or_empty().alias("text"))
+    return named.mapInArrow(run, "doc_id long, name string, node long, fp long, second long, size int")
+
+
+def _near(cols: dict[str, np.ndarray], changes: np.ndarray, radius: int, both: int, least: tuple[int, int], block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, bits) of the candidates in segments that begin at `changes`, a block at a time."""
+    fps, second, size = cols["fp"].view(np.uint64), cols["second"].view(np.uint64), cols["size"]
+    ends = np.append(changes[1:], len(fps))
+    indexed = np.add.reduceat(cols["role"] == 0, changes) if len(changes) else []
+    for start, end, index in zip(changes.tolist(), ends.tolist(), np.asarray(indexed).tolist()):
+        step = max(1, block // (end - start))
+        for at in range(start, start + index, step):
+            rows = min(step, start + index - at)
+            i, j = np.nonzero(np.bitwise_count(fps[at:at + rows, None] ^ fps[None, at:end]) <= radius)
+            later = j > i
+            i, j = i[later] + at, j[later] + at
+            bits = np.bitwise_count(fps[i] ^ fps[j]).astype(np.int64) + np.bitwise_count(second[i] ^ second[j])
+            fit = (bits <= both) & (np.minimum(size[i], size[j]) * least[1] >= np.maximum(size[i], size[j]) * least[0])
+            if fit.any():
+                yield i[fit], j[fit], bits[fit]
+
+
+def _nearest_forest(label: np.ndarray, i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The pairs of a minimum spanning forest, by Boruvka's steps; `label` (of the rows' components) is brought up to date."""
+    pair = np.arange(len(i))
+    taken = []
+    while True:
+        a, b = label[i[pair]], label[j[pair]]
+        apart = a != b
+        pair, a, b = pair[apart], a[apart], b[apart]
+        if not len(pair):
+            return np.unique(np.concatenate(taken)) if taken else pair
+        key = bits[pair] * len(i) + pair
+        best = np.full(len(label), np.iinfo(np.int64).max)
+        np.minimum.at(best, a, key)
+        np.minimum.at(best, b, key)
+        chosen = np.unique(best[best != np.iinfo(np.int64).max]) % len(i)
+        taken.append(chosen)
+        parent = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        for x, y in zip(label[i[chosen]].tolist(), label[j[chosen]].tolist()):
+            parent[root(x)] = root(y)
+        to = np.arange(len(label))
+        for x in list(parent):
+            to[x] = root(x)
+        label[:] = to[label]
+
+
+def candidates(nodes: DataFrame, parts: list[Part], radius: int, both: int, least: tuple[int, int], cell: int, hot_keys: int = 100_000) -> DataFrame:
+    """Pairs (a, b) of nodes, all of them candidates, that connect what the candidates connect beyond the nodes' `root`.
+
+    A pair in which one node is in the other's `no` (it is known not to be similar) is no candidate.
+    """
+    def compare(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
+        names = ("part", "bucket", "cell", "role", "fp", "second", "node", "size", "root")
+
+        def pairs(held: pa.Table, changes: np.ndarray) -> pa.RecordBatch:
+            cols = {c: np.asarray(held.column(c)).astype(np.int64) for c in names}
+            refused = {(n, x) for n, no in zip(held.column("node").to_pylist(), held.column("no").to_pylist()) for x in no} if held.column("no").combine_chunks().flatten() else set()
+            label = np.unique(cols["root"], return_inverse=True)[1].reshape(-1).astype(np.int64)
+            a, b = [], []
+            for i, j, bits in _near(cols, changes, radius, both, least):
+                apart = label[i] != label[j]
+                if refused and apart.any():
+                    apart[apart] = [(x, y) not in refused for x, y in zip(cols["node"][i[apart]].tolist(), cols["node"][j[apart]].tolist())]
+                i, j, bits = i[apart], j[apart], bits[apart]
+                chosen = _nearest_forest(label, i, j, bits)
+                a.append(cols["node"][i[chosen]])
+                b.append(cols["node"][j[chosen]])
+            x, y = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (a, b))
+            return pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+        def changed(held: pa.Table) -> np.ndarray:
+            keys = [np.asarray(held.column(c)) for c in names[:3]]
+            return np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            kept.append(batch)
+            if sum(b.num_rows for b in kept) < most:
+                continue
+            held = pa.Table.from_batches(kept)
+            changes = changed(held)
+            if len(changes):
+                yield pairs(held.slice(0, changes[-1]), np.append([0], changes[:-1]))
+                held = held.slice(changes[-1])
+            kept = held.combine_chunks().to_batches()
+        if kept and sum(b.num_rows for b in kept):
+            held = pa.Table.from_batches(kept)
+            yield pairs(held, np.append([0], changed(held)))
+
+    return dealt(nodes, parts, cell, hot_keys, "node").mapInArrow(compare, "a long, b long")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
+    """(a, b, same): whether the shingle sets of the two nodes have the similarity `least`."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "example"), "node")
+    texts = docs.select(row_name().alias("example"), text_or_empty().alias("text")).join(needed, "example")
+    texts = materialize(texts.groupBy("node").agg(F.min("text").alias("text")), "pair-texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = []
+            for one, other in zip(*(batch.column(c).cast(pa.large_binary()).to_pylist() for c in (2, 3))):
+                x, y = shingles(one, words), shingles(other, words)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                same.append(common * least[1] >= (len(x) + len(y) - common) * least[0])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], names=["a", "b", "same"])
+
+    met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("one")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
+    return met.select("a", "b", "one", "other").mapInArrow(run, "a long, b long, same boolean")
+
+
+def similar(nodes: DataFrame, docs: DataFrame, words: int, radius: int, both: int, least: tuple[int, int], cell: int = 1024) -> DataFrame:
+    """Verified pairs (a, b) of `nodes` that connect all candidates of the similarity `least`.
+
+    A round takes a spanning forest of the candidates and verifies its pairs. Where one is refused, others may connect
+    its ends, so what the forest connected there is searched again without the refused pairs, until none is refused.
+    """
+    parts = plan(bit_counts(nodes), radius, STAGE_ROW_COST)
+    good = nodes.sparkSession.createDataFrame([], "a long, b long")
+    bad = good
+    columns = ["node", "fp", "second", "size"]
+    active = nodes.select(*columns, F.col("node").alias("root"), F.array().cast("array<bigint>").alias("no"))
+    while parts:
+        pairs = materialize(candidates(active, parts, radius, both, least, cell).distinct(), "near-pairs")
+        checked = materialize(verified(pairs, nodes, docs, words, least), "checked-pairs")
+        refused = checked.filter("not same").select("a", "b")
+        good = good.unionByName(checked.filter("same").select("a", "b"))
+        if refused.isEmpty():
+            break
+        bad = bad.unionByName(refused)
+        tried = materialize(components(good.unionByName(refused)), "tried-components")
+        again = tried.join(tried.join(refused.select(F.col("a").alias("node")).distinct(), "node").select("root").distinct(), "root", "left_semi").select("node")
+        no = bad.unionByName(bad.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("no"))
+        roots = materialize(components(good), "similar-components")
+        active = materialize(nodes.select(*columns).join(again, "node", "left_semi").join(roots, "node", "left").join(no, "node", "left")
+                             .select(*columns, F.coalesce("root", "node").alias("root"), F.coalesce("no", F.array().cast("array<bigint>")).alias("no")), "searched-again")
+    return good
+
+
+def one_of_each(docs: DataFrame, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS, both: int = STAGE_BOTH, least: tuple[int, int] = LEAST, cell: int = 1024) -> DataFrame:
+    """`docs` with one row of each component of similar texts, that of the smallest doc_id; all columns stay.
 
     Rows that repeat the doc_id of a row that stays are the same document, so one of them stays. Rows without a doc_id
     go by their text.
     """
-    kept = materialize(near_duplicates(docs, radius, words).select(F.col("stays").alias("name")).distinct(), "kept-rows")
+    rows = materialize(shingle_sets(docs, words), "shingle-sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name")).alias("first")
+    nodes = materialize(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("second").alias("second"), F.min("size").alias("size"), F.min("name").alias("example"), first), "distinct-sets")
+    roots = materialize(components(similar(nodes, docs, words, radius, both, least, cell)), "components")
+    rooted = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    kept = materialize(rooted.select("first.name").distinct(), "kept-rows")
     whole = docs.select(F.struct("*").alias("row"), row_name().alias("name"))
     return whole.join(kept, "name", "left_semi").groupBy("name").agg(F.min_by("row", F.xxhash64(F.col("row.text"))).alias("row")).select("row.*")

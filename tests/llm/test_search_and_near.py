@@ -120,6 +120,34 @@ def test_links_are_complete_for_every_plan_and_cell_size(spark):
             assert {frozenset(v) for v in got.values()} == want
 
 
+def test_one_of_each_links_similar_texts_only(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(40):
+        body = [rng.choice(words) for _ in range(rng.randint(60, 200))]
+        for k in range(3):  # k edits touch 5k shingles
+            copy = list(body)
+            for e in range(k):
+                copy[(e + 1) * len(body) // 4] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    head = [rng.choice(words) for _ in range(90)]
+    for _ in range(4):  # a common beginning, similarity under 0.8
+        rows.append((len(rows), " ".join(head + [rng.choice(words) for _ in range(25)])))
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    assert any(4 < (_brute_fingerprint(rows[i][1]) ^ _brute_fingerprint(rows[j][1])).bit_count() and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+               for i, j in itertools.combinations(range(len(rows)), 2))
+    parent = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            old, new = max(parent[i], parent[j]), min(parent[i], parent[j])
+            parent = [new if p == old else p for p in parent]
+    for cell in (1024, 16):
+        # radius 20: every pair of this table is a candidate that should be, so the result is brute force's, and some candidates are refused
+        got = simhash.one_of_each(docs(spark, [(i, t, "en", "a", 1) for i, t in rows]), radius=20, both=44, cell=cell)
+        assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(parent))
+
+
 def test_plan_widens_parts_as_the_corpus_grows():
     counts = np.full((65, 65), 0.25)
     np.fill_diagonal(counts, 0.5)
