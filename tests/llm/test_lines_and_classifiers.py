@@ -57,6 +57,57 @@ def test_every_shared_run_with_the_guaranteed_words_is_found(spark):
     assert all(x in got[i].split("\n") for i, xs in unique.items() for x in xs)
 
 
+def _shared_runs(rows, least):
+    """By document, the lines of all runs of `least` words or more that stand earlier, in the order of (doc_id, line)."""
+    seen, found = set(), defaultdict(set)
+    for i, text in rows:
+        solid = [(k, line, len(line.split())) for k, line in enumerate(text.split("\n")) if line.split()]
+        for a in range(len(solid)):
+            for b in range(a + 1, len(solid) + 1):
+                if sum(n for _, _, n in solid[a:b]) >= least:
+                    run = tuple(line for _, line, _ in solid[a:b])
+                    found[i].update(k for k, _, _ in solid[a:b]) if run in seen else seen.add(run)
+    return found
+
+
+def _left_of(spark, rows):
+    got = line_dedup.without_repeats(docs(spark, [(i, t, "en", "a", 1) for i, t in rows])).collect()
+    return {r["doc_id"]: r["text"].split("\n") for r in got}
+
+
+def test_repeats_at_the_end_and_around_a_common_line_are_found(spark):
+    rng = random.Random(21)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    footer, common, mate = [line(20), line(13)], line(20), line(12)
+    ends = [(i, "\n".join([line(12), line(12), line(60), *footer])) for i in range(6)]
+    left = _left_of(spark, ends)
+    assert [len(left[i]) for i in range(6)] == [5, 3, 3, 3, 3, 3]
+    around = [(0, "\n".join([line(14), common, line(14)])), *((i, "\n".join([line(14), common, mate, line(14)])) for i in (1, 2)), (3, "\n".join([line(14), mate, common, line(14)]))]
+    left = _left_of(spark, around)
+    assert mate in left[1] and mate not in left[2] and mate in left[3]
+
+
+def test_all_runs_of_an_enumeration_are_removed(spark):
+    rng = random.Random(22)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    pool = [line(rng.choice([1, 3, 7, 10, 12, 15, 17, 20, 31, 33, 50])) for _ in range(14)]
+    rows = []
+    for i in range(150):
+        body = []
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(pool))
+            body += pool[at:at + rng.randint(1, 5)] + [line(rng.randint(1, 20)) for _ in range(rng.randint(0, 2))]
+        rows.append((i, "\n".join(body)))
+    left = _left_of(spark, rows)
+    whole, noise = _shared_runs(rows, line_dedup.GUARANTEE), _shared_runs(rows, line_dedup.NOISE)
+    for i, text in rows:
+        lines = text.split("\n")
+        must = [x for k, x in enumerate(lines) if k not in whole[i]]
+        may = [x for k, x in enumerate(lines) if k not in noise[i]]
+        inside = lambda few, many: all(x in it for it in [iter(many)] for x in few)
+        assert inside([x for x in left[i] if x], must) and inside(may, left[i]), i
+
+
 def test_line_dedup_of_awkward_rows(spark):
     got = line_dedup.without_repeats(docs(spark))
     assert got.columns == docs(spark).columns
