@@ -1,17 +1,21 @@
 """Token ids of whole texts as packed 32-bit numbers, by the `tokenizers` library, piece by piece.
 
 The byte-level pattern puts a space in front of a word and no other white space into a token with letters, so a text
-without two spaces in a row may be cut before every space. Pieces that come again are looked up.
+may be cut before every space that follows a character that is not white space, and before the last space of a run of
+white space if a word follows. A text with other spaces (two in a row, or a space between white space and white space,
+the text's end or a special token) is encoded as a whole. Pieces that come again are looked up.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 from array import array
 
 PIECES = 450_000  # a generation of the cache
 PER_CALL = 20_000
+INSIDE = re.compile(r"[^\S ] (?![^\s<])")  # a space that other white space may be joined with; special tokens begin with <
 
 
 class PackedEncoder:
@@ -47,7 +51,7 @@ class PackedEncoder:
                 known[piece] = self._packed(coded.ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if "  " in t else t.split(" ") for t in texts]
+        cut = [None if "  " in t or INSIDE.search(t) else t.split(" ") for t in texts]
         self._learn(set().union(*(pieces[1:] for pieces in cut if pieces is not None)))
         out = []
         for text, pieces in zip(texts, cut):

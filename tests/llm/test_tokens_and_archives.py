@@ -107,6 +107,16 @@ def test_packed_ids_equal_the_library(byte_library):
         assert array.array("I", got).tolist() == byte_library.encode(text, add_special_tokens=False).ids, text[:80]
 
 
+def test_packed_ids_of_spaces_between_white_space(byte_library):
+    ours = byte_tokens.PackedEncoder(BYTE)
+    odd = ["a \u00a0 \u00a0 b", "a" + " \u00a0" * 8 + " b", "a\n \nb", "a\t \r\n c", "a\u00a0 ", "\u3000 \u3000 x", "a\n <|endoftext|> b", "a\u00a0 b \u00a0c", " \u00a0 \u00a0", "\u2003 \u2003x"]
+    rng = random.Random(4)
+    odd += ["".join(rng.choice(["a", "b1", " ", " ", "\u00a0", "\n", "\u2003", "<|endoftext|>", "<", "\x1c"]) for _ in range(30)) for _ in range(500)]
+    odd += [t.replace("  ", " ") for t in odd]
+    for text, got in zip(odd, ours.encode(odd)):
+        assert array.array("I", got).tolist() == byte_library.encode(text, add_special_tokens=False).ids, text
+
+
 def _check_packing(rows, documents, library, capacity):
     by_doc, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
