@@ -36,7 +36,7 @@ from netsift.llm.common import materialize, text_or_empty
 from netsift.llm.components import components
 
 BITS = 64
-STAGE_WORDS, STAGE_RADIUS, STAGE_BOTH = 5, 16, 30  # words of a shingle, bits of the first fingerprint, bits of both together
+STAGE_WORDS, STAGE_RADIUS, STAGE_BOTH = 5, 16, 32  # words of a shingle, bits of the first fingerprint, bits of both together
 LEAST = (4, 5)  # the similarity of a link, as a fraction
 STAGE_ROW_COST = 300.0  # its rows are wider, and its pairs are compared in blocks
 ROW_COST, PAIR_COST = 30.0, 1.0  # moving a row to a bucket against comparing a pair in it
