@@ -66,6 +66,11 @@ def row_name() -> Column:
     return F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text "), F.sha2(text_or_empty().cast("binary"), 256)))
 
 
+def document_name() -> Column:
+    """The doc_id and a hash of the text together."""
+    return F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none")), F.sha2(text_or_empty().cast("binary"), 256))
+
+
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """(doc_id, name, fp long) of every row; name is that of `row_name`."""
 
@@ -320,7 +325,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes), pa.array(both[:, 0]), pa.array(both[:, 1]),
                                    pa.array(list(map(len, sets)), pa.int32())], names=["doc_id", "name", "node", "fp", "second", "size"])
 
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_name().alias("name"), text_or_empty().alias("text"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), document_name().alias("name"), text_or_empty().alias("text"))
     return named.mapInArrow(run, "doc_id long, name string, node long, fp long, second long, size int")
 
 
@@ -422,7 +427,7 @@ def candidates(nodes: DataFrame, parts: list[Part], radius: int, both: int, leas
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
     """(a, b, same): whether the shingle sets of the two nodes have the similarity `least`."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "example"), "node")
-    texts = docs.select(row_name().alias("example"), text_or_empty().alias("text")).join(needed, "example")
+    texts = docs.select(document_name().alias("example"), text_or_empty().alias("text")).join(needed, "example")
     texts = materialize(texts.groupBy("node").agg(F.min("text").alias("text")), "pair-texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,8 +474,7 @@ def similar(nodes: DataFrame, docs: DataFrame, words: int, radius: int, both: in
 def one_of_each(docs: DataFrame, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS, both: int = STAGE_BOTH, least: tuple[int, int] = LEAST, cell: int = 1024) -> DataFrame:
     """`docs` with one row of each component of similar texts, that of the smallest doc_id; all columns stay.
 
-    Rows that repeat the doc_id of a row that stays are the same document, so one of them stays. Rows without a doc_id
-    go by their text.
+    Rows that repeat both doc_id and text are the same document, so one of them stays.
     """
     rows = materialize(shingle_sets(docs, words), "shingle-sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name")).alias("first")
@@ -478,5 +482,5 @@ def one_of_each(docs: DataFrame, words: int = STAGE_WORDS, radius: int = STAGE_R
     roots = materialize(components(similar(nodes, docs, words, radius, both, least, cell)), "components")
     rooted = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = materialize(rooted.select("first.name").distinct(), "kept-rows")
-    whole = docs.select(F.struct("*").alias("row"), row_name().alias("name"))
+    whole = docs.select(F.struct("*").alias("row"), document_name().alias("name"))
     return whole.join(kept, "name", "left_semi").groupBy("name").agg(F.min_by("row", F.xxhash64(F.col("row.text"))).alias("row")).select("row.*")

@@ -120,6 +120,12 @@ def test_links_are_complete_for_every_plan_and_cell_size(spark):
             assert {frozenset(v) for v in got.values()} == want
 
 
+def test_unrelated_texts_of_one_doc_id_stay(spark):
+    rows = [(1, t, "en", "a", 1) for t in ("one two three four five six", "quite another text under the same id", "One two three four five six")]
+    kept = simhash.one_of_each(docs(spark, rows)).collect()
+    assert sorted(r["text"].lower() for r in kept) == ["one two three four five six", "quite another text under the same id"]
+
+
 def test_one_of_each_links_similar_texts_only(spark):
     rng = random.Random(12)
     words = [f"w{i}" for i in range(3000)]
