@@ -378,9 +378,10 @@ def _nearest_forest(label: np.ndarray, i: np.ndarray, j: np.ndarray, bits: np.nd
         label[:] = to[label]
 
 
-def candidates(nodes: DataFrame, parts: list[Part], radius: int, both: int, least: tuple[int, int], cell: int, hot_keys: int = 100_000) -> DataFrame:
+def candidates(nodes: DataFrame, parts: list[Part], radius: int, both: int, least: tuple[int, int], cell: int, more: int, hot_keys: int = 100_000) -> DataFrame:
     """Pairs (a, b) of nodes, all of them candidates, that connect what the candidates connect beyond the nodes' `root`.
 
+    Besides a spanning forest a row gives up to `more` of its nearest candidates in a block.
     A pair in which one node is in the other's `no` (it is known not to be similar) is no candidate.
     """
     def compare(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
@@ -390,13 +391,17 @@ def candidates(nodes: DataFrame, parts: list[Part], radius: int, both: int, leas
             cols = {c: np.asarray(held.column(c)).astype(np.int64) for c in names}
             refused = {(n, x) for n, no in zip(held.column("node").to_pylist(), held.column("no").to_pylist()) for x in no} if held.column("no").combine_chunks().flatten() else set()
             label = np.unique(cols["root"], return_inverse=True)[1].reshape(-1).astype(np.int64)
+            known = label.copy()
             a, b = [], []
             for i, j, bits in _near(cols, changes, radius, both, least):
-                apart = label[i] != label[j]
+                apart = known[i] != known[j]
                 if refused and apart.any():
                     apart[apart] = [(x, y) not in refused for x, y in zip(cols["node"][i[apart]].tolist(), cols["node"][j[apart]].tolist())]
                 i, j, bits = i[apart], j[apart], bits[apart]
-                chosen = _nearest_forest(label, i, j, bits)
+                order = np.lexsort((bits, i))
+                begins = np.flatnonzero(np.append([True], i[order][1:] != i[order][:-1])) if len(i) else order
+                rank = np.arange(len(i)) - np.repeat(begins, np.diff(np.append(begins, len(i))))
+                chosen = np.union1d(_nearest_forest(label, i, j, bits), order[rank < more])
                 a.append(cols["node"][i[chosen]])
                 b.append(cols["node"][j[chosen]])
             x, y = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (a, b))
@@ -448,14 +453,17 @@ def similar(nodes: DataFrame, docs: DataFrame, words: int, radius: int, both: in
 
     A round takes a spanning forest of the candidates and verifies its pairs. Where one is refused, others may connect
     its ends, so what the forest connected there is searched again without the refused pairs, until none is refused.
+    Every round takes eight times as many pairs beyond its forest, so the rounds are logarithmic in the largest group.
     """
     parts = plan(bit_counts(nodes), radius, STAGE_ROW_COST)
     good = nodes.sparkSession.createDataFrame([], "a long, b long")
     bad = good
     columns = ["node", "fp", "second", "size"]
     active = nodes.select(*columns, F.col("node").alias("root"), F.array().cast("array<bigint>").alias("no"))
+    more = 4
     while parts:
-        pairs = materialize(candidates(active, parts, radius, both, least, cell).distinct(), "near-pairs")
+        pairs = materialize(candidates(active, parts, radius, both, least, cell, more).distinct(), "near-pairs")
+        more *= 8
         checked = materialize(verified(pairs, nodes, docs, words, least), "checked-pairs")
         refused = checked.filter("not same").select("a", "b")
         good = good.unionByName(checked.filter("same").select("a", "b"))
