@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsift.llm import bpe, exact_dedup, factorization, line_dedup, packing, sharding, simhash, string_kernel, topk, warc
+from netsift.llm import bpe, exact_dedup, factorization, line_dedup, line_rules, packing, resampling, sharding, simhash, string_kernel, topk, warc, whitening
 from netsift.llm.common import LOWER, UPPER, table
 
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")  # the folder of the public vocabulary files
@@ -99,3 +99,63 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes_before"))
     left = line_dedup.without_repeats(docs)
     return left.withColumn("bytes_after", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"), components=8, scale=1024, shift=100_000)
+    return found.withColumn("deviation", F.col("deviation").cast("long"))  # an error where a long does not hold it
+
+
+@query("op12_line_rules", f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT r, doc_id, t, list_filter(string_split_regex(t, '{line_rules.SPACES}'), lambda x: x <> '') AS w FROM d),
+    l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+    lw AS (SELECT r, line, list_filter(string_split_regex(line, '{line_rules.SPACES}'), lambda x: x <> '') AS w FROM l),
+    j AS (SELECT r, line, len(w) AS n,
+                 len(w) > 0 AND (regexp_matches(line, '{line_rules.BOILERPLATE_LINE}')
+                   OR len(list_filter(w, lambda x: x IN ({', '.join(f"'{c}'" for c in line_rules.SEPARATORS)}))) >= 3
+                   OR regexp_matches(line, '{line_rules.LAST_SEPARATOR}') OR (len(w) <= 3 AND regexp_matches(line, '{line_rules.MENU_LINE}'))
+                   OR 2 * length(regexp_replace(line, '[^{line_rules.SYMBOLS}]', '', 'g')) > len(w)
+                   OR 4 * len(list_filter(w, lambda x: regexp_matches(x, '{line_rules.SHOUTED}'))) > len(w)
+                   OR (len(w) >= {line_rules.LIST_WORDS} AND NOT regexp_matches(line, '{line_rules.SENTENCE_END.replace("'", "''")}'))) AS failed FROM lw),
+    per AS (SELECT r, sum(CASE WHEN failed THEN n ELSE 0 END) AS lost, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS dup FROM j GROUP BY r),
+    i AS (SELECT r, unnest(range(1, CAST(len(w) AS BIGINT) - 6)) AS i FROM w),
+    g AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM i JOIN w USING (r)),
+    c AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+    v AS (SELECT r, least(8, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 8)) AS v FROM c),
+    rep AS (SELECT r, sum(v) AS rep FROM v GROUP BY r),
+    f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                 CAST(length(regexp_replace(t, '[^{line_rules.SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines,
+                 CAST(coalesce(rep, 0) AS BIGINT) AS n_repeat_words, CAST(lost AS BIGINT) AS lost_words
+          FROM w JOIN per USING (r) LEFT JOIN rep USING (r)),
+    b AS (SELECT *, n_words < {line_rules.LEAST_WORDS} OR 100 * n_repeat_words > {line_rules.REPEATED} * n_words AS base_failed FROM f)
+    SELECT *, NOT base_failed AND 100 * lost_words <= {line_rules.LOST} * n_words AS kept FROM b""")
+def op12_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judged(table(spark, sf_dir, "documents"))
+
+
+@query("op13_resampling", f"""
+    WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+                   lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+    d AS (SELECT row_number() OVER () AS r, doc_id,
+                 regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    x AS (SELECT r, unnest(w) AS w FROM d),
+    y AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM benchmark),
+    u AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM (SELECT w FROM x UNION ALL SELECT w FROM y))),
+    k AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h) + 1, 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))),
+                                    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b FROM u, crc),
+    s AS (SELECT b, count(*) AS s FROM x JOIN k USING (w) GROUP BY b),
+    t AS (SELECT b, count(*) AS t FROM y JOIN k USING (w) GROUP BY b),
+    a AS (SELECT (SELECT count(*) FROM x) AS sa, (SELECT count(*) FROM y) AS ta),
+    gain AS (SELECT b, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (sa + 10000.0::DOUBLE) / ((s + 1.0::DOUBLE) * (ta + 10000.0::DOUBLE)))) AS BIGINT) AS g
+             FROM s LEFT JOIN t USING (b), a),
+    o AS (SELECT r, sum(g) AS weight FROM x JOIN k USING (w) JOIN gain USING (b) GROUP BY r),
+    z AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                 CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM d LEFT JOIN o USING (r)),
+    e AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM z),
+    q AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS p,
+                 count(*) FILTER (n_features >= 20) OVER () AS n FROM e)
+    SELECT doc_id, n_features, weight, score, CASE WHEN p <= 10 * n // 100 THEN p END AS rank FROM q""")
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, grams=1, buckets=10_000, least_words=20, seed="2024")
