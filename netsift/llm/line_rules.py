@@ -48,6 +48,7 @@ BOILERPLATE = [
     "share this", "add to cart", "log in to", "follow us", "leave a comment", "posted by", "page not found", "download pdf", "powered by",
 ]
 
+FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_words", "base_failed", "kept"]
 SPACES = r"[\x20\x09-\x0D]+"
 MENU_LINE = rf"(?i)^[\x20\x09-\x0D]*(?:(?:{'|'.join(MENU.split())})(?:[\x20\x09-\x0D]+|\z)){{1,3}}\z"
 BOILERPLATE_LINE = rf"(?i)(?:{'|'.join(BOILERPLATE)})"
@@ -113,13 +114,17 @@ def figures(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.transform("_starts", lambda at, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_starts", i + 1) - at, F.lit(WINDOW))))
     out = out.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda a, n: a + n)).drop("_starts")
     out = out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_words") <= LOST * F.col("n_words")))
+    out = out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_words") <= LOST * F.col("n_words")))
+    # a later filter on a figure would be moved below all steps, with every step written out in it as often as it is read; beside
+    # a column that is not deterministic it stays above them
+    out = out.select(*docs.columns, F.struct(F.monotonically_increasing_id().alias("_at"), *FIGURES, "_lines").alias("_figures"))
+    return out.select(*docs.columns, *[F.col("_figures")[name].alias(name) for name in [*FIGURES, "_lines"]])
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """(doc_id, the figures, lost_words, base_failed, kept) of every row."""
     found = figures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_words", "base_failed", "kept")
+    return found.select("doc_id", *FIGURES)
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
