@@ -15,12 +15,15 @@ than a shingle make one shingle; a null doc_id takes part but is never a compone
 Columns other than doc_id and text are not read.
 
 The pipeline's stage, `one_of_each`, has another contract: texts are linked if their sets of five-word shingles have a
-Jaccard similarity of 0.8 or more. Fingerprints within 16 bits are its candidates (a pair at 0.8 differs in about 10);
-a second fingerprint drops those that met by chance, and every pair that is used as a link is verified by its sets.
+Jaccard similarity of 0.8 or more. Candidates are fingerprints within 16 bits (a pair at 0.8 differs in about 10); a
+second fingerprint and the four smallest shingles drop pairs that met by chance, so unrelated texts don't grow
+together however many there are. The candidates' components are groups, and similarity is decided inside a group by
+the sets themselves (`connected`): a task takes a cell of bounded size and counts the common shingles of all its pairs.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -38,6 +41,8 @@ from netsift.llm.components import components
 BITS = 64
 STAGE_WORDS, STAGE_RADIUS, STAGE_BOTH = 5, 16, 32  # words of a shingle, bits of the first fingerprint, bits of both together
 LEAST = (4, 5)  # the similarity of a link, as a fraction
+MINIMA = 4  # smallest shingles of a set, of which a pair has one in common
+CELL = 512  # sets that a task compares at once
 STAGE_ROW_COST = 300.0  # its rows are wider, and its pairs are compared in blocks
 ROW_COST, PAIR_COST = 30.0, 1.0  # moving a row to a bucket against comparing a pair in it
 
@@ -165,6 +170,23 @@ def plan(counts: np.ndarray, radius: int, row_cost: float = ROW_COST) -> list[Pa
     return best
 
 
+def _merge(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the components of i and j; `parent` has the smallest row of every row's component, before and after."""
+    a, b = parent[i], parent[j]
+    while len(a):
+        apart = a != b
+        a, b = a[apart], b[apart]
+        if not len(a):
+            break
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            above = parent[parent]
+            if np.array_equal(above, parent):
+                break
+            parent[:] = above
+        a, b = parent[a], parent[b]
+
+
 def _forest(fps: np.ndarray, starts: np.ndarray, index: np.ndarray, radius: int, pairs: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what the pairs within `radius` connect.
 
@@ -184,19 +206,7 @@ def _forest(fps: np.ndarray, starts: np.ndarray, index: np.ndarray, radius: int,
         i = np.repeat(rows[at:to], count)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
         near = np.bitwise_count(fps[i] ^ fps[j]) <= radius
-        a, b = parent[i[near]], parent[j[near]]
-        while len(a):
-            apart = a != b
-            a, b = a[apart], b[apart]
-            if not len(a):
-                break
-            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-            while True:
-                above = parent[parent]
-                if np.array_equal(above, parent):
-                    break
-                parent = above
-            a, b = parent[a], parent[b]
+        _merge(parent, i[near], j[near])
         at = to
     moved = np.flatnonzero(parent != np.arange(n))
     a, b = fps[moved], fps[parent[moved]]
@@ -314,24 +324,31 @@ def two_fingerprints(hashes: np.ndarray) -> tuple[int, int]:
     return _majority(hashes), _majority(mixed ^ (mixed >> np.uint64(31)))
 
 
+def smallest(hashes: np.ndarray) -> int:
+    """The low 16 bits of the MINIMA smallest shingles, in one number; fewer are repeated."""
+    low = (hashes[:MINIMA] & np.uint64(0xFFFF)).astype("<u2")
+    return int(np.resize(low, MINIMA).view("<i8")[0]) if len(low) else 0
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, name, node, fp, second, size) of every row; rows with the same set of shingles have the same node."""
+    """(doc_id, name, node, fp, second, minima, size) of every row; rows with the same set of shingles have the same node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(2).cast(pa.large_binary()).to_pylist()]
             both = np.array([two_fingerprints(x) for x in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes), pa.array(both[:, 0]), pa.array(both[:, 1]),
-                                   pa.array(list(map(len, sets)), pa.int32())], names=["doc_id", "name", "node", "fp", "second", "size"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(list(map(smallest, sets)), pa.int64()),
+                                   pa.array(list(map(len, sets)), pa.int32())], names=["doc_id", "name", "node", "fp", "second", "minima", "size"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), document_name().alias("name"), text_or_empty().alias("text"))
-    return named.mapInArrow(run, "doc_id long, name string, node long, fp long, second long, size int")
+    return named.mapInArrow(run, "doc_id long, name string, node long, fp long, second long, minima long, size int")
 
 
-def _near(cols: dict[str, np.ndarray], changes: np.ndarray, radius: int, both: int, least: tuple[int, int], block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, bits) of the candidates in segments that begin at `changes`, a block at a time."""
+def _near(cols: dict[str, np.ndarray], changes: np.ndarray, radius: int, both: int, least: tuple[int, int], block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of the candidates in segments that begin at `changes`, a block at a time."""
     fps, second, size = cols["fp"].view(np.uint64), cols["second"].view(np.uint64), cols["size"]
+    low = np.ascontiguousarray(cols["minima"]).view("<u2").reshape(-1, MINIMA)
     ends = np.append(changes[1:], len(fps))
     indexed = np.add.reduceat(cols["role"] == 0, changes) if len(changes) else []
     for start, end, index in zip(changes.tolist(), ends.tolist(), np.asarray(indexed).tolist()):
@@ -343,140 +360,181 @@ def _near(cols: dict[str, np.ndarray], changes: np.ndarray, radius: int, both: i
             i, j = i[later] + at, j[later] + at
             bits = np.bitwise_count(fps[i] ^ fps[j]).astype(np.int64) + np.bitwise_count(second[i] ^ second[j])
             fit = (bits <= both) & (np.minimum(size[i], size[j]) * least[1] >= np.maximum(size[i], size[j]) * least[0])
+            i, j = i[fit], j[fit]
+            fit = (low[i][:, :, None] == low[j][:, None, :]).any(axis=(1, 2))
             if fit.any():
-                yield i[fit], j[fit], bits[fit]
-
-
-def _nearest_forest(label: np.ndarray, i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """The pairs of a minimum spanning forest, by Boruvka's steps; `label` (of the rows' components) is brought up to date."""
-    pair = np.arange(len(i))
-    taken = []
-    while True:
-        a, b = label[i[pair]], label[j[pair]]
-        apart = a != b
-        pair, a, b = pair[apart], a[apart], b[apart]
-        if not len(pair):
-            return np.unique(np.concatenate(taken)) if taken else pair
-        key = bits[pair] * len(i) + pair
-        best = np.full(len(label), np.iinfo(np.int64).max)
-        np.minimum.at(best, a, key)
-        np.minimum.at(best, b, key)
-        chosen = np.unique(best[best != np.iinfo(np.int64).max]) % len(i)
-        taken.append(chosen)
-        parent = {}
-
-        def root(x: int) -> int:
-            while (up := parent.get(x, x)) != x:
-                parent[x] = x = parent.get(up, up)
-            return x
-
-        for x, y in zip(label[i[chosen]].tolist(), label[j[chosen]].tolist()):
-            parent[root(x)] = root(y)
-        to = np.arange(len(label))
-        for x in list(parent):
-            to[x] = root(x)
-        label[:] = to[label]
-
-
-def candidates(nodes: DataFrame, parts: list[Part], radius: int, both: int, least: tuple[int, int], cell: int, more: int, hot_keys: int = 100_000) -> DataFrame:
-    """Pairs (a, b) of nodes, all of them candidates, that connect what the candidates connect beyond the nodes' `root`.
-
-    Besides a spanning forest a row gives up to `more` of its nearest candidates in a block.
-    A pair in which one node is in the other's `no` (it is known not to be similar) is no candidate.
-    """
-    def compare(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
-        names = ("part", "bucket", "cell", "role", "fp", "second", "node", "size", "root")
-
-        def pairs(held: pa.Table, changes: np.ndarray) -> pa.RecordBatch:
-            cols = {c: np.asarray(held.column(c)).astype(np.int64) for c in names}
-            refused = {(n, x) for n, no in zip(held.column("node").to_pylist(), held.column("no").to_pylist()) for x in no} if held.column("no").combine_chunks().flatten() else set()
-            label = np.unique(cols["root"], return_inverse=True)[1].reshape(-1).astype(np.int64)
-            known = label.copy()
-            a, b = [], []
-            for i, j, bits in _near(cols, changes, radius, both, least):
-                apart = known[i] != known[j]
-                if refused and apart.any():
-                    apart[apart] = [(x, y) not in refused for x, y in zip(cols["node"][i[apart]].tolist(), cols["node"][j[apart]].tolist())]
-                i, j, bits = i[apart], j[apart], bits[apart]
-                order = np.lexsort((bits, i))
-                begins = np.flatnonzero(np.append([True], i[order][1:] != i[order][:-1])) if len(i) else order
-                rank = np.arange(len(i)) - np.repeat(begins, np.diff(np.append(begins, len(i))))
-                chosen = np.union1d(_nearest_forest(label, i, j, bits), order[rank < more])
-                a.append(cols["node"][i[chosen]])
-                b.append(cols["node"][j[chosen]])
-            x, y = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (a, b))
-            return pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-        def changed(held: pa.Table) -> np.ndarray:
-            keys = [np.asarray(held.column(c)) for c in names[:3]]
-            return np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-
-        kept: list[pa.RecordBatch] = []
-        for batch in batches:
-            kept.append(batch)
-            if sum(b.num_rows for b in kept) < most:
-                continue
-            held = pa.Table.from_batches(kept)
-            changes = changed(held)
-            if len(changes):
-                yield pairs(held.slice(0, changes[-1]), np.append([0], changes[:-1]))
-                held = held.slice(changes[-1])
-            kept = held.combine_chunks().to_batches()
-        if kept and sum(b.num_rows for b in kept):
-            held = pa.Table.from_batches(kept)
-            yield pairs(held, np.append([0], changed(held)))
+                yield i[fit], j[fit]
+
+
+def _segments(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], most: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows that come sorted by `keys`, in tables of whole groups of about `most` rows, with the groups' beginnings."""
+    def changed(held: pa.Table) -> np.ndarray:
+        own = [np.asarray(held.column(c)) for c in keys]
+        return np.flatnonzero(np.any([k[1:] != k[:-1] for k in own], axis=0)) + 1
+
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        kept.append(batch)
+        if sum(b.num_rows for b in kept) < most:
+            continue
+        held = pa.Table.from_batches(kept)
+        changes = changed(held)
+        if len(changes):
+            yield held.slice(0, changes[-1]), np.append([0], changes[:-1])
+            held = held.slice(changes[-1])
+        kept = held.combine_chunks().to_batches()
+    if kept and sum(b.num_rows for b in kept):
+        held = pa.Table.from_batches(kept)
+        yield held, np.append([0], changed(held))
+
+
+def candidates(nodes: DataFrame, parts: list[Part], radius: int, both: int, least: tuple[int, int], cell: int, hot_keys: int = 100_000) -> DataFrame:
+    """Edges (a, b) of nodes that connect what the candidates connect: one at most for a row of a cell."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, changes in _segments(batches, ("part", "bucket", "cell"), 200_000):
+            cols = {c: np.asarray(held.column(c)).astype(np.int64) for c in ("role", "fp", "second", "minima", "node", "size")}
+            parent = np.arange(held.num_rows)
+            for i, j in _near(cols, changes, radius, both, least):
+                _merge(parent, i, j)
+            moved = np.flatnonzero(parent != np.arange(len(parent)))
+            yield pa.record_batch([pa.array(cols["node"][moved]), pa.array(cols["node"][parent[moved]])], names=["a", "b"])
 
     return dealt(nodes, parts, cell, hot_keys, "node").mapInArrow(compare, "a long, b long")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
-    """(a, b, same): whether the shingle sets of the two nodes have the similarity `least`."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "example"), "node")
-    texts = docs.select(document_name().alias("example"), text_or_empty().alias("text")).join(needed, "example")
-    texts = materialize(texts.groupBy("node").agg(F.min("text").alias("text")), "pair-texts")
+def sets_of(members: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, set binary) for `members` (node, example): the sorted shingles, eight bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = []
-            for one, other in zip(*(batch.column(c).cast(pa.large_binary()).to_pylist() for c in (2, 3))):
-                x, y = shingles(one, words), shingles(other, words)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                same.append(common * least[1] >= (len(x) + len(y) - common) * least[0])
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], names=["a", "b", "same"])
+            sets = [shingles(t, words).astype("<u8").tobytes() for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("one")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
-    return met.select("a", "b", "one", "other").mapInArrow(run, "a long, b long, same boolean")
+    texts = docs.select(document_name().alias("example"), text_or_empty().alias("text")).join(members.select("node", "example"), "example")
+    return texts.groupBy("node").agg(F.min("text").alias("text")).mapInArrow(run, "node long, set binary")
 
 
-def similar(nodes: DataFrame, docs: DataFrame, words: int, radius: int, both: int, least: tuple[int, int], cell: int = 1024) -> DataFrame:
-    """Verified pairs (a, b) of `nodes` that connect all candidates of the similarity `least`.
+def common_shingles(sets: list[np.ndarray], many: int = 32, columns: int = 4096) -> np.ndarray:
+    """How many shingles two sets have in common, for all pairs.
 
-    A round takes a spanning forest of the candidates and verifies its pairs. Where one is refused, others may connect
-    its ends, so what the forest connected there is searched again without the refused pairs, until none is refused.
-    Every round takes eight times as many pairs beyond its forest, so the rounds are logarithmic in the largest group.
+    A shingle of more than `many` sets is a column of a matrix that is multiplied by itself; those of fewer are
+    counted pair by pair, so the work is about `many` times the shingles whatever they have in common.
     """
-    parts = plan(bit_counts(nodes), radius, STAGE_ROW_COST)
-    good = nodes.sparkSession.createDataFrame([], "a long, b long")
-    bad = good
-    columns = ["node", "fp", "second", "size"]
-    active = nodes.select(*columns, F.col("node").alias("root"), F.array().cast("array<bigint>").alias("no"))
-    more = 4
-    while parts:
-        pairs = materialize(candidates(active, parts, radius, both, least, cell, more).distinct(), "near-pairs")
-        more *= 8
-        checked = materialize(verified(pairs, nodes, docs, words, least), "checked-pairs")
-        refused = checked.filter("not same").select("a", "b")
-        good = good.unionByName(checked.filter("same").select("a", "b"))
-        if refused.isEmpty():
+    n = len(sets)
+    values, owner = np.concatenate(sets), np.repeat(np.arange(n), list(map(len, sets)))
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    begins = np.flatnonzero(np.append([True], values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    times = np.diff(np.append(begins, len(values)))
+    out = np.zeros(n * n, np.int64)
+    for k in np.unique(times[(times > 1) & (times <= many)]).tolist():
+        own = begins[times == k]
+        step = max(1, (1 << 20) // (k * k))
+        for at in range(0, len(own), step):
+            sharing = owner[own[at:at + step, None] + np.arange(k)]
+            out += np.bincount((sharing[:, :, None] * n + sharing[:, None, :]).ravel(), minlength=n * n)
+    out = out.reshape(n, n)
+    wide = np.flatnonzero(times > many)
+    for at in range(0, len(wide), columns):
+        some = wide[at:at + columns]
+        rows = np.concatenate([owner[b:b + t] for b, t in zip(begins[some].tolist(), times[some].tolist())])
+        matrix = np.zeros((n, len(some)), np.float32)
+        matrix[rows, np.repeat(np.arange(len(some)), times[some])] = 1
+        out += np.rint(matrix @ matrix.T).astype(np.int64)
+    return out
+
+
+def similar_in_cells(placed: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Edges (a, b) between labels that connect the similar pairs of a cell.
+
+    `placed` is (root, one, two, role, node, label): rows with the same root, one and two are a cell, a pair has at
+    least one row of role 0 and two labels. An edge is given for a label at most.
+    """
+    keys = ("root", "one", "two")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, changes in _segments(batches, keys, 1):
+            for start, end in zip(changes.tolist(), [*changes[1:].tolist(), held.num_rows]):
+                if end - start < 2:
+                    continue
+                cell = held.slice(start, end - start)
+                found = [np.frombuffer(b, "<u8") for b in cell.column("set").to_pylist()]
+                labels, own = np.unique(np.asarray(cell.column("label")), return_inverse=True)
+                own = own.reshape(-1)
+                first = np.asarray(cell.column("role")) == 0
+                size = np.array(list(map(len, found)))
+                common = common_shingles(found)
+                near = common * least[1] >= (size[:, None] + size[None, :] - common) * least[0]
+                i, j = np.nonzero(near & first[:, None] & (own[:, None] != own[None, :]))
+                parent = np.arange(len(labels))
+                _merge(parent, own[i], own[j])
+                moved = np.flatnonzero(parent != np.arange(len(parent)))
+                yield pa.record_batch([pa.array(labels[moved], pa.int64()), pa.array(labels[parent[moved]], pa.int64())], names=["a", "b"])
+
+    rows = placed.join(sets, "node").select(*keys, "role", "label", "set")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+
+
+def connected(members: DataFrame, sets: DataFrame, least: tuple[int, int], cell: int = CELL, shingles_at_once: int = 1 << 21) -> DataFrame:
+    """Edges that connect all pairs of the similarity `least` inside the groups of `members` (node, root, size).
+
+    A group that fits a cell is one, and decided there. A larger one is dealt over cells by a hash; what a cell joins
+    is one label from then on, and one node for each label is dealt again until they fit a cell or don't join. What is
+    then apart from the largest label of its group is compared with every node of it, block by block. So a large group
+    of copies costs a pass over its nodes, and only nodes that stay apart are compared with all.
+    """
+    cuts = F.greatest(F.ceil(F.col("n") / cell), F.ceil(F.col("s") / shingles_at_once)).cast("int")
+    groups = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    large = materialize(groups.select("root", cuts.alias("cuts")).filter("cuts > 1"), "large-groups")
+    zero = F.lit(0)
+    chunk = F.pmod(F.xxhash64("node"), F.coalesce("cuts", F.lit(1))).cast("int")
+    placed = members.join(large, "root", "left").select("root", chunk.alias("one"), zero.alias("two"), zero.alias("role"), "node", F.col("node").alias("label"))
+    written = [materialize(similar_in_cells(placed, sets, least), "similar")]
+    if large.isEmpty():
+        return written[0]
+    inside = materialize(members.join(large, "root"), "large-members")
+    before = None
+
+    def edges() -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, written)
+
+    while True:  # logarithmic in the largest group, to the base of a cell
+        joined = components(edges())
+        labelled = materialize(inside.join(joined.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+        apart = materialize(labelled.filter("node = label").groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("s")).filter("n > 1"), "groups-apart")
+        left, widest = apart.agg(F.sum("n"), F.max("n")).first()
+        if not left or (before is not None and (before[1] or left > 3 * before[0] / 4)):
             break
-        bad = bad.unionByName(refused)
-        tried = materialize(components(good.unionByName(refused)), "tried-components")
-        again = tried.join(tried.join(refused.select(F.col("a").alias("node")).distinct(), "node").select("root").distinct(), "root", "left_semi").select("node")
-        no = bad.unionByName(bad.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("no"))
-        roots = materialize(components(good), "similar-components")
-        active = materialize(nodes.select(*columns).join(again, "node", "left_semi").join(roots, "node", "left").join(no, "node", "left")
-                             .select(*columns, F.coalesce("root", "node").alias("root"), F.coalesce("no", F.array().cast("array<bigint>")).alias("no")), "searched-again")
-    return good
+        before = (left, widest <= cell)
+        leaders = labelled.filter("node = label").join(apart.select("root", cuts.alias("now")), "root")
+        placed = leaders.select("root", F.pmod(F.xxhash64("node", F.lit(left)), "now").cast("int").alias("one"), zero.alias("two"), zero.alias("role"), "node", "label")
+        written.append(materialize(similar_in_cells(placed, sets, least), "similar"))
+    if not left:
+        return edges()
+    sizes = labelled.join(apart.select("root"), "root", "left_semi").groupBy("root", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("root").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    main = materialize(main.select("root", "main", F.ceil((F.col("n") - F.col("most")) / cell).cast("int").alias("blocks")), "main-labels")
+    last = labelled.join(main, "root")
+    every = lambda n: F.sequence(zero, F.col(n) - 1)
+    block = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
+    rest = last.filter("label <> main").select("root", block.alias("one"), F.explode(every("cuts")).alias("two"), zero.alias("role"), "node", "label")
+    all_of_them = last.select("root", F.explode(every("blocks")).alias("one"), own.alias("two"), F.lit(1).alias("role"), "node", "label")
+    written.append(materialize(similar_in_cells(rest.unionByName(all_of_them), sets, least), "similar"))
+    return edges()
+
+
+def similar(nodes: DataFrame, docs: DataFrame, words: int, radius: int, both: int, least: tuple[int, int], cell: int = 1024) -> DataFrame:
+    """Edges of `nodes` that connect all pairs of the similarity `least` inside a component of candidates."""
+    parts = plan(bit_counts(nodes), radius, STAGE_ROW_COST)
+    if not parts:
+        return nodes.sparkSession.createDataFrame([], "a long, b long")
+    met = candidates(nodes.select("node", "fp", "second", "minima", "size"), parts, radius, both, least, cell)
+    groups = components(materialize(met.distinct(), "candidate-forest"))
+    members = materialize(groups.join(nodes.select("node", "size", "example"), "node"), "candidate-groups")
+    sets = materialize(sets_of(members, docs, words), "sets")
+    return connected(members.select("node", "root", "size"), sets, least)
 
 
 def one_of_each(docs: DataFrame, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS, both: int = STAGE_BOTH, least: tuple[int, int] = LEAST, cell: int = 1024) -> DataFrame:
@@ -486,7 +544,7 @@ def one_of_each(docs: DataFrame, words: int = STAGE_WORDS, radius: int = STAGE_R
     """
     rows = materialize(shingle_sets(docs, words), "shingle-sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name")).alias("first")
-    nodes = materialize(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("second").alias("second"), F.min("size").alias("size"), F.min("name").alias("example"), first), "distinct-sets")
+    nodes = materialize(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("second").alias("second"), F.min("minima").alias("minima"), F.min("size").alias("size"), F.min("name").alias("example"), first), "distinct-sets")
     roots = materialize(components(similar(nodes, docs, words, radius, both, least, cell)), "components")
     rooted = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = materialize(rooted.select("first.name").distinct(), "kept-rows")

@@ -168,3 +168,55 @@ def test_components_of_paths_and_stars(spark):
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(50)}, 70: 70, 71: 70}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_common_shingles_of_all_pairs():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 5, 30, 80, 200, 7, 40, 41, 0)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    for many, columns in ((32, 4096), (2, 3), (0, 7)):
+        got = simhash.common_shingles(sets, many, columns)
+        assert all(got[i, j] == want[i][j] for i in range(10) for j in range(10) if i != j)
+
+
+def test_groups_larger_than_a_cell(spark):
+    rng = np.random.default_rng(9)
+    sets, roots = [], []
+
+    def add(root, values):
+        sets.append(np.unique(values.astype(np.uint64)))
+        roots.append(root)
+
+    base = rng.integers(0, 1 << 60, 200)
+    for _ in range(70):  # copies with a few changes
+        add(0, np.append(base[rng.permutation(200)[:196]], rng.integers(0, 1 << 60, 4)))
+    for _ in range(3):  # three families in one group, and some that are alone
+        family = rng.integers(0, 1 << 60, 150)
+        for _ in range(17):
+            add(1000, np.append(family[rng.permutation(150)[:146]], rng.integers(0, 1 << 60, 4)))
+    for _ in range(12):
+        add(1000, rng.integers(0, 1 << 60, 100))
+    path = rng.integers(0, 1 << 60, 900)
+    for i in range(40):  # a path: only neighbours are similar
+        add(2000, path[20 * i:20 * i + 200])
+    for _ in range(3):
+        add(3000, np.append(base[:100], rng.integers(0, 1 << 60, 3)))
+    nodes = [10 * i + 7 for i in range(len(sets))]
+    members = spark.createDataFrame([(n, r, len(x)) for n, r, x in zip(nodes, roots, sets)], "node long, root long, size int")
+    table = spark.createDataFrame([(n, bytearray(x.astype("<u8").tobytes())) for n, x in zip(nodes, sets)], "node long, set binary")
+    parent = list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        common = len(np.intersect1d(sets[i], sets[j]))
+        if roots[i] == roots[j] and 5 * common >= 4 * (len(sets[i]) + len(sets[j]) - common):
+            old, new = max(parent[i], parent[j]), min(parent[i], parent[j])
+            parent = [new if p == old else p for p in parent]
+    assert len(set(parent)) == 1 + 3 + 12 + 1 + 1
+    for cell in (512, 8):
+        got = {r["node"]: r["root"] for r in components.components(simhash.connected(members, table, (4, 5), cell=cell)).collect()}
+        assert [got.get(n, n) for n in nodes] == [nodes[p] for p in parent]
+
+
+def test_smallest_shingles_meet():
+    some = np.array([3, 9, 70_000, 1 << 40, 1 << 50], dtype=np.uint64)
+    assert np.array([simhash.smallest(some)]).view("<u2").tolist() == [3, 9, 70_000 & 0xFFFF, 0]
+    assert np.array([simhash.smallest(some[:1])]).view("<u2").tolist() == [3] * 4 and simhash.smallest(some[:0]) == 0
