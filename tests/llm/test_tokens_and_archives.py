@@ -1,6 +1,7 @@
 import array
 import hashlib
 import io
+import json
 import os
 import random
 import zlib
@@ -235,3 +236,32 @@ def test_broken_archives_are_refused():
     assert [r["payload"] for r in warc.read_archive(io.BytesIO(data))] == [b"payload"]
     with pytest.raises(ValueError):
         list(warc.read_archive(io.BytesIO(data[:-3])))
+
+
+def test_ids_of_random_texts_equal_the_library(tmp_path):
+    path = BYTE
+    encoder = byte_tokens.PackedEncoder(path)
+    assert encoder.plain is not None
+    letters = byte_tokens.bytes_of_letters()
+    with open(path, encoding="utf-8") as file:
+        held = json.load(file)
+    tokens = [t for t in (bytes(letters[c] for c in token).decode("utf-8", "ignore") for token in held["model"]["vocab"] if not token.startswith("<|")) if t]
+    rng = random.Random(11)
+    odd = ["  ", "  ", "   ", "\n", "\t\t", "\r\n", "\x85", "\x1c", "'s", "'ll", "<", "|", "<|", "<|endoftext|>", "0", "²", "é", "é", "ß", "日本", "가", "　", "…", "\U0001F600", "͸", "Ⴀ", "ꟊ"]
+
+    def piece() -> str:
+        kind = rng.random()
+        return rng.choice(tokens) if kind < 0.5 else rng.choice(tokens).strip()[:rng.randint(0, 9)] if kind < 0.65 else rng.choice(odd) if kind < 0.8 else "".join(
+            rng.choice("etaoinshrdlucmfwypvbgkjqxz") for _ in range(rng.randint(1, 12)))
+
+    texts = ["".join(piece() for _ in range(rng.randint(0, 14))) for _ in range(20_000)] + ["x" * 5000, " " * 3000, "ab " * 4000]
+    want = [array.array("I", c.ids).tobytes() for c in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(texts) == want
+    # a file whose merges are in another order has no ranks, and its texts go through the library
+    merges = held["model"]["merges"]
+    merges[300], merges[900] = merges[900], merges[300]
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(held), encoding="utf-8")
+    changed = byte_tokens.PackedEncoder(str(other))
+    assert changed.plain is None
+    assert changed.encode(texts[:500]) == [array.array("I", c.ids).tobytes() for c in changed.tokenizer.encode_batch(texts[:500], add_special_tokens=False)]
