@@ -138,6 +138,15 @@ def ordered_rank(df: DataFrame, order: list[str], out: str = "rank") -> DataFram
     )
 
 
+def ordered_total(df: DataFrame, order: list[str], weight: str, out: str = "total") -> DataFrame:
+    """Running total of `weight` along `order` over the whole table, the row itself included; ranges as in ordered_rank."""
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ordered")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_range").agg(F.sum(weight).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_below"))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.withColumn("_in", F.sum(weight).over(inside)).join(offsets, "_range").withColumn(out, F.col("_below") + F.col("_in")).drop("_range", "_in", "_below")
+
+
 def bucket_index(value: Column, bounds: list[float]) -> Column:
     """Number of `bounds` strictly below `value`: a cheap range segment for sorted work."""
     if not bounds:
@@ -193,6 +202,11 @@ def ordinals(values: np.ndarray) -> np.ndarray:
     return np.where(bits >= 0, bits, np.int64(_LEAST) - bits)
 
 
+def doubles(numbers: np.ndarray) -> np.ndarray:
+    """The inverse of `ordinals`."""
+    return np.where(numbers >= 0, numbers, np.int64(_LEAST) - numbers).view(np.float64)
+
+
 def from_ordinal(number: int) -> float:
     return float(np.array([number if number >= 0 else _LEAST - number], dtype=np.int64).view(np.float64)[0])
 

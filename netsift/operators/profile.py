@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsift.functions.scaling import correlations, hash_first, order_hash, quantiles
+from netsift.operators.information import neighbour_information
 
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
@@ -139,13 +140,15 @@ def information_probs(bins: int = 16) -> list[float]:
 
 
 def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int = 16, exact: bool = True,
-                       known: dict[str, list[float]] | None = None) -> DataFrame:
+                       known: dict[str, list[float]] | None = None, neighbours: int | None = None) -> DataFrame:
     """Plug-in mutual information (nats) of every numeric column with a class.
 
     NULLs become the column median; columns are cut at their quantiles; only (column, bin, class) counts
     are shuffled, whatever the number of rows. `known` holds the quantiles at information_probs(bins)
-    when the caller has them.
+    when the caller has them. With `neighbours` the estimate is that of operators.information instead.
     """
+    if neighbours:
+        return neighbour_information(df, columns, label, neighbours)
     probs = [i / bins for i in range(bins + 1)]
     order = information_probs(bins)
     q = known or quantiles(df, columns, order, exact=exact)

@@ -109,6 +109,26 @@ def d9(spark, sf_dir):
     return mi.select("feature", F.round("mi", 6).alias("mi"), (F.col("mi") < 0.0005).cast("int").alias("low"))
 
 
+def _neighbours_sql(k: int = 3) -> str:
+    """The nearest-neighbour estimate over whole rows, on hundredths, so that all distances are exact."""
+    psi = lambda n: (f"CASE WHEN {n} < 16 THEN -0.5772156649015329 + coalesce(list_sum(list_transform(range(1, {n}), lambda i: 1.0::DOUBLE / i)), 0) "
+                     f"ELSE ln({n}) - 0.5 / {n} - 1 / (12.0 * {n} ** 2) + 1 / (120.0 * {n} ** 4) - 1 / (252.0 * {n} ** 6) + 1 / (240.0 * {n} ** 8) END")
+    away = ", ".join(f"coalesce(v - lag(v, {i}) OVER c, 'inf'::DOUBLE), coalesce(lead(v, {i}) OVER c - v, 'inf'::DOUBLE)" for i in range(1, k + 1))
+    long = " UNION ALL ".join(f"SELECT '{c}' AS feature, label AS y, coalesce(CAST(floor(100 * CAST({c} AS DOUBLE) + 0.5) AS DOUBLE), (SELECT median(CAST(floor(100 * CAST({c} AS DOUBLE) + 0.5) AS DOUBLE)) FROM gappy)) AS v FROM gappy" for c in _MI_COLS)
+    return f"""long AS ({long}), sized AS (SELECT *, count(*) OVER (PARTITION BY feature, y) AS ny FROM long),
+near AS (SELECT feature, v, ny, least({k}, ny - 1) AS k, list_sort([{away}]) AS d FROM sized WHERE ny > 1 WINDOW c AS (PARTITION BY feature, y ORDER BY v)),
+radius AS (SELECT feature, v, ny, k, greatest(d[k] - 0.25, 0) AS r FROM near),
+counted AS (SELECT feature, ny, k, count(*) OVER (PARTITION BY feature) AS n, count(*) OVER (PARTITION BY feature ORDER BY v RANGE BETWEEN r PRECEDING AND r FOLLOWING) AS m FROM radius)
+SELECT feature, round(greatest({psi('max(n)')} + avg({psi('k')}) - avg({psi('ny')}) - avg({psi('m')}), 0), 6) AS mi FROM counted GROUP BY feature"""
+
+
+@query("d9_neighbour_information", f"WITH {_G}, {_neighbours_sql()}")
+def d9_neighbours(spark, sf_dir):
+    hundredths = [F.floor(100 * F.col(c).cast("double") + 0.5).cast("double").alias(c) for c in _MI_COLS]
+    x = materialize(V.gappy_flows(spark, sf_dir).select("label", *hundredths), "information")
+    return D.mutual_information(x, _MI_COLS, "label", neighbours=3).select("feature", F.round("mi", 6).alias("mi"))
+
+
 @query("d10_seeded_sample", f"WITH {V.FLOWS_SQL} SELECT flow_id, sbytes FROM flows ORDER BY md5(flow_id || '|42') LIMIT 2000")
 def d10(spark, sf_dir):
     return D.seeded_sample(V.flows(spark, sf_dir).select("flow_id", "sbytes"), ["flow_id"], 2000)
