@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from netsift import schema as S
 from netsift.operators import packets as P
 from netsift.plans import views as V
-from netsift.plans.monitoring import _LIMIT_SQL, DAY_US, IDLE, LIMIT, _FEED, feed
+from netsift.plans.monitoring import _LIMIT_SQL, DAY_US, IDLE, LIMIT, TIMEOUT_US, _FEED, beats, feed
 from netsift.plans.registry import ORACLES, query
 from netsift.session import scratch_path
 from netsift.streaming.drift import monitor
 from netsift.streaming.flows import stream_flows
 from netsift.streaming.folds import stream_rate_limit
+from netsift.streaming.liveness import stream_liveness
 
 QUERY_J1 = ORACLES["j1_flow_sessions"]
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -72,3 +73,14 @@ def j18_stream(spark, sf_dir):
     counts = s.groupBy("prediction").agg(F.count("*").alias("n"))
     counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", scratch_path(spark, "counts-state")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path)
+
+
+# an interval is emitted when the watermark, a minute behind the last event, has passed its end
+_PASSED = "(SELECT (max(epoch_us(ts)) // 1000 - 60000) * 1000 FROM events)"
+
+
+@query("j19_stream_liveness", f"SELECT * FROM ({ORACLES['j19_source_liveness']}) WHERE connected_until <= {_PASSED}")
+def j19_stream(spark, sf_dir):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    s = _source(spark, beats(spark, sf_dir), "beats")
+    return _drain(spark, stream_liveness(s, "source", "ts_us", "kind", ["event_id"], TIMEOUT_US), "liveness")
