@@ -8,10 +8,11 @@ from netsift import schema as S
 from netsift.operators import packets as P
 from netsift.plans import views as V
 from netsift.plans.monitoring import _LIMIT_SQL, DAY_US, IDLE, LIMIT, TIMEOUT_US, _FEED, beats, feed
+from netsift.plans.packets import _COUNT_SQL, _ID, _PORT_CASE, KEYED_SQL
 from netsift.plans.registry import ORACLES, query
 from netsift.session import scratch_path
 from netsift.streaming.drift import monitor
-from netsift.streaming.flows import stream_flows
+from netsift.streaming.flows import stream_flow_records, stream_flows
 from netsift.streaming.folds import stream_rate_limit
 from netsift.streaming.liveness import stream_liveness
 
@@ -84,3 +85,26 @@ def j19_stream(spark, sf_dir):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     s = _source(spark, beats(spark, sf_dir), "beats")
     return _drain(spark, stream_liveness(s, "source", "ts_us", "kind", ["event_id"], TIMEOUT_US), "liveness")
+
+
+# the flows of c15 by session: the session is a part of the key from the first packet of a flow on
+_KEYED, _AFTER = KEYED_SQL.split("directed AS (", 1)
+_SESSIONS_SQL = f"""{_KEYED.rstrip().rstrip(',').replace("keyed AS (", "keyed0 AS (")}, keyed AS (SELECT *, sum(brk) OVER (PARTITION BY lo_ip, lo_port, hi_ip, hi_port, proto ORDER BY ts, seq_no) AS sess
+  FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY lo_ip, lo_port, hi_ip, hi_port, proto ORDER BY ts, seq_no) <= {IDLE} THEN 0 ELSE 1 END AS brk FROM keyed0)),
+directed AS ({_AFTER.replace("hi_port, proto", "hi_port, proto, sess").replace("dsport, proto", "dsport, proto, sess")}"""
+_MEASURED = ["stime", "ltime", "dur", "sload", "dload", "smeansz", "dmeansz", "sintpkt", "dintpkt", "sjit", "djit", "synack", "ackdat", "tcprtt"]
+_COUNTED = ["sbytes", "dbytes", "spkts", "dpkts", "sttl", "dttl", "swin", "dwin", "stcpb", "dtcpb", "ct_flw_http_mthd", "is_ftp_login", "ct_ftp_cmd", "is_sm_ips_ports", *P.CONNECTION_COUNTS]
+_NEVER = ["sloss", "dloss", "trans_depth", "res_bdy_len"]
+
+
+@query("j1_stream_flow_records", f"""WITH {_SESSIONS_SQL}, closed AS (SELECT *, {_PORT_CASE} AS service, greatest(ltime - stime, 1e-6) AS dur, CAST(srcip = dstip OR sport = dsport AS BIGINT) AS is_sm_ips_ports
+  FROM counters JOIN gaps USING ({_ID}, sess) LEFT JOIN (SELECT {_ID}, sess, synack AS synack0, ackdat AS ackdat0 FROM shake) USING ({_ID}, sess)
+  WHERE ltime + {IDLE} <= (SELECT max(ts) FROM packets) - 60),
+f AS (SELECT * EXCLUDE (sess), sbytes / dur AS sload, dbytes / dur AS dload, CASE WHEN spkts > 0 THEN sbytes / spkts ELSE 0 END AS smeansz, CASE WHEN dpkts > 0 THEN dbytes / dpkts ELSE 0 END AS dmeansz,
+  coalesce(synack0, 0) AS synack, coalesce(ackdat0, 0) AS ackdat, coalesce(ackdat0, 0) AS tcprtt, {_COUNT_SQL} FROM closed)
+SELECT {_ID}, service, state, {', '.join(_COUNTED)}, {', '.join(f'0 AS {c}' for c in _NEVER)}, {', '.join(f'round({c}, 3) AS {c}' for c in _MEASURED)} FROM f""")
+def j1_records(spark, sf_dir):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    closed = _drain(spark, stream_flow_records(_source(spark, V.packets(spark, sf_dir), "packets"), IDLE), "flow-records")
+    f = P.align(P.connection_counts(closed))
+    return f.select(*[F.round(c, 3).alias(c) if c in _MEASURED else F.col(c) for c in f.columns])
