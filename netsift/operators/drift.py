@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,12 +48,6 @@ def prepare_numeric(df: DataFrame) -> DataFrame:
     return df.select(*[to_number(c, 0).alias(c) for c in df.columns])
 
 
-def _sides(base: DataFrame, live: DataFrame, columns: list[str], number: bool) -> DataFrame:
-    pick = lambda c: (to_number(c) if number else F.col(c).cast("string")).alias(c)
-    return base.select(F.lit(0).alias("side"), *[pick(c) for c in columns]).unionByName(
-        live.select(F.lit(1).alias("side"), *[pick(c) for c in columns]))
-
-
 # --- numeric features ---------------------------------------------------------------------------
 
 @dataclass
@@ -79,12 +75,35 @@ def _bin_probs(unique: int, max_bins: int = MAX_BINS) -> list[float]:
     return sorted({0.25, 0.75, *steps})
 
 
+def count_values(df: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, x, n): distinct numbers with their counts. Tasks count whole Arrow batches and hand on counts, not cells."""
+
+    def count(frames):
+        for pdf in frames:
+            for c in features:
+                v = pdf[c].to_numpy(dtype=float)
+                x, n = np.unique(v[~np.isnan(v)] + 0.0, return_counts=True)
+                yield pd.DataFrame({"feature": c, "x": x, "n": n})
+
+    numbers = df.select(*[to_number(c).cast("double").alias(c) for c in features])
+    return numbers.mapInPandas(count, "feature string, x double, n long").groupBy("feature", "x").agg(F.sum("n").alias("n"))
+
+
+def merged_sides(base: DataFrame, live: DataFrame, by: list[str]) -> DataFrame:
+    """Counts `n` of both sides next to each other."""
+    zero = F.lit(0).cast("long")
+    both = base.select(*by, F.col("n").alias("n_base"), zero.alias("n_live")).unionByName(live.select(*by, zero.alias("n_base"), F.col("n").alias("n_live")))
+    return both.groupBy(*by).agg(F.sum("n_base").alias("n_base"), F.sum("n_live").alias("n_live"))
+
+
 def value_table(base: DataFrame, live: DataFrame, features: list[str], deciles: int = 10) -> ValueTable:
-    """Counts every distinct value once (the only pass over the rows), then reads KS statistics,
-    moments and exact quantiles off the counted values."""
-    spark = base.sparkSession
-    long = _sides(base, live, features, number=True).unpivot(["side"], features, "feature", "x").where("x is not null")
-    counts = long.groupBy("feature", "x").agg(F.count_if(F.col("side") == 0).alias("n_base"), F.count_if(F.col("side") == 1).alias("n_live"))
+    """Counts every distinct value once, the only pass over the rows."""
+    return value_table_of(merged_sides(count_values(base, features), count_values(live, features), ["feature", "x"]), features, deciles)
+
+
+def value_table_of(counts: DataFrame, features: list[str], deciles: int = 10) -> ValueTable:
+    """Reads KS statistics, moments and exact quantiles off the counted values (feature, x, n_base, n_live)."""
+    spark = counts.sparkSession
     table = materialize(counts, "drift-values")
     x, nb, nl = F.col("x"), F.col("n_base"), F.col("n_live")
     rows = table.groupBy("feature").agg(
@@ -213,7 +232,10 @@ def mean_shifts(v: ValueTable) -> DataFrame:
 
 def numeric_results(base: DataFrame, live: DataFrame, features: list[str]) -> DataFrame:
     """One result row per numeric feature; a side without values scores 0."""
-    v = value_table(base, live, features)
+    return numeric_results_of(value_table(base, live, features))
+
+
+def numeric_results_of(v: ValueTable) -> DataFrame:
     spark = v.table.sparkSession
     unique = spark.createDataFrame(
         [(c, m["unique_base"], m["unique_live"], bool(m["n_base"] and m["n_live"])) for c, m in v.stats.items()],
@@ -264,10 +286,15 @@ def psi_deciles(base: DataFrame, live: DataFrame, features: list[str], bins: int
 
 # --- categorical features -----------------------------------------------------------------------
 
+def count_categories(df: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, category, n)."""
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in features]).unpivot([], features, "feature", "category")
+    return long.where("category is not null").groupBy("feature", "category").agg(F.count("*").alias("n"))
+
+
 def category_counts(base: DataFrame, live: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, category) with counts on both sides; one grouped scan stands for the outer join."""
-    long = _sides(base, live, features, number=False).unpivot(["side"], features, "feature", "category").where("category is not null")
-    return long.groupBy("feature", "category").agg(F.count_if(F.col("side") == 0).alias("n_base"), F.count_if(F.col("side") == 1).alias("n_live"))
+    """(feature, category) with counts on both sides, which stands for the outer join."""
+    return merged_sides(count_categories(base, features), count_categories(live, features), ["feature", "category"])
 
 
 def _shares(counts: DataFrame) -> DataFrame:
@@ -312,11 +339,14 @@ def chi_square(folded: DataFrame) -> DataFrame:
 
 
 def categorical_results(base: DataFrame, live: DataFrame, features: list[str]) -> DataFrame:
-    counts = category_counts(base, live, features)
+    return categorical_results_of(category_counts(base, live, features), features)
+
+
+def categorical_results_of(counts: DataFrame, features: list[str]) -> DataFrame:
     folded = fold_unseen(counts)
     js = _shares(folded).groupBy("feature").agg(F.sum(_js_term(F.col("p"), F.col("q"))).alias("js_divergence"),
                                                F.sum("n_base").alias("b"), F.sum("n_live").alias("l"))
-    names = base.sparkSession.createDataFrame([(c,) for c in features], "feature string")
+    names = counts.sparkSession.createDataFrame([(c,) for c in features], "feature string")
     r = (
         names.join(unseen_rates(counts), "feature", "left").join(js, "feature", "left").join(chi_square(folded), "feature", "left")
         .withColumn("chi2_pvalue", chi2_pvalue(F.coalesce("chi2_stat", F.lit(0.0)), F.coalesce("dof", F.lit(0))))

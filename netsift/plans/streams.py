@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from netsift import schema as S
 from netsift.operators import packets as P
+from netsift.operators.drift import RESULT_COLUMNS
 from netsift.plans import views as V
+from netsift.plans.drift import _RES_COLS, _RESULT_SQL, _res
 from netsift.plans.monitoring import _LIMIT_SQL, DAY_US, IDLE, LIMIT, TIMEOUT_US, _FEED, beats, feed
 from netsift.plans.packets import _COUNT_SQL, _ID, _PORT_CASE, KEYED_SQL
 from netsift.plans.registry import ORACLES, query
@@ -20,12 +22,12 @@ QUERY_J1 = ORACLES["j1_flow_sessions"]
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _source(spark, df, name: str, parts: int = 3):
+def _source(spark, df, name: str, parts: int = 3, cuts: list[float] | None = None):
     """The table as a stream of several micro-batches: parts of the time line, written one after the other and read in
-    that order, so that event time advances from batch to batch."""
+    that order, so that event time advances from batch to batch. `cuts` gives the borders, else they are quantiles."""
     path = scratch_path(spark, name)
     ts = next(c for c in ("ts", "ts_us") if c in df.columns)
-    cuts = sorted(set(df.select(F.col(ts).cast("double").alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.01)))
+    cuts = cuts or sorted(set(df.select(F.col(ts).cast("double").alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.01)))
     for lo, hi in zip([None, *cuts], [*cuts, None]):
         t = F.col(ts).cast("double")
         part = df.where((F.lit(True) if lo is None else t >= lo) & (F.lit(True) if hi is None else t < hi))
@@ -46,14 +48,28 @@ def j1_stream(spark, sf_dir):
     return out.select(*P.FLOW_KEY, F.round("stime", 3).alias("stime"), "spkts", "dpkts", "sbytes", "dbytes")
 
 
-@query("j2_stream_drift")
+_CUT_SECONDS = 901_756_800  # 1998-07-30: the live flows come in two batches
+
+
+def _batch_sql(batch: int, part: str) -> str:
+    sides = V.SIDES_SQL.replace("live AS (", "live0 AS (", 1) + f", live AS (SELECT * FROM live0 WHERE {part})"
+    return f"SELECT * FROM (WITH {sides}{_RESULT_SQL[len(V.SIDES_SQL):]} SELECT {batch} AS batch, (SELECT count(*) FROM live) AS batch_size, {_RES_COLS} FROM res)"
+
+
+@query("j2_stream_drift", " UNION ALL ".join(_batch_sql(i, f"stime {sign} {_CUT_SECONDS}") for i, sign in enumerate(("<", ">="))))
 def j2(spark, sf_dir):
-    path, mark = scratch_path(spark, "drift-history"), scratch_path(spark, "drift-state")
+    # the baseline is counted and stored before the stream starts; a batch is merged with its counts
+    path, mark, out = scratch_path(spark, "drift-history"), scratch_path(spark, "drift-state"), scratch_path(spark, "drift-results")
     cols = [c for c in S.FLOW_COLUMNS if c in V.FLOW_TYPES]
-    source = _source(spark, V.live(spark, sf_dir).select("stime", *[c for c in cols if c != "stime"]).withColumnRenamed("stime", "ts"), "live-flows", 2)
+    source = _source(spark, V.live(spark, sf_dir).select("stime", *[c for c in cols if c != "stime"]).withColumnRenamed("stime", "ts"), "live-flows", cuts=[_CUT_SECONDS])
     stream = source.withColumnRenamed("ts", "stime")
-    monitor(stream, V.baseline(spark, sf_dir).select(*cols), path, mark).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.json(path).select("batch_size", "feature_count", "drift_count", "severe_count", F.round("overall_score", 6).alias("overall_score"), "overall_severity", "trend")
+
+    def keep(doc, epoch):
+        doc.select(F.lit(epoch).alias("batch"), "batch_size", F.explode("top_features").alias("f")).select("batch", "batch_size", "f.*").write.mode("overwrite").parquet(f"{out}/{epoch}")
+
+    writer = monitor(stream, V.baseline(spark, sf_dir).select(*cols), path, mark, on_assessment=keep, top_n=len(cols))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return _res(spark.read.parquet(f"{out}/*").select("batch", "batch_size", *RESULT_COLUMNS))
 
 
 @query("j3_stream_rate_limit", f"WITH RECURSIVE {_LIMIT_SQL} SELECT request_id, allowed FROM lim")
