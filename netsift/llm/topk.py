@@ -10,8 +10,9 @@ Histograms are summed by Spark; per query only the bin of the k-th value comes t
 
 Edge cases: vectors that are null or hold a null or non-finite component take no part, neither as query nor as row;
 a null id takes no part; vectors of different lengths are compared as if filled with zeros; a row whose id equals
-the query's is never its result; a row that is repeated is a result as often as it is there; with fewer than k
-rows all are results; no queries or no rows give no results. Columns other than id and vector are not read.
+the query's is never its result; a row that is repeated is a result as often as it is there, and a query for each time
+(its results come as often, each with its own ranks); with fewer than k rows all are results; components whose scores
+would not fit 64 bits raise an error; no queries or no rows give no results. Columns other than id and vector are not read.
 """
 
 from __future__ import annotations
@@ -29,15 +30,20 @@ from netsift.llm.common import materialize, scratch_path
 
 BINS = 256
 _HISTOGRAM = pa.schema([("q", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])
-_RESULT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_RESULT = pa.schema([("q", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def quantised(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 64) -> DataFrame:
     """(vec_id, v array<long>): floor(scale * x) of every component, only of vectors that can take part."""
     usable = F.col(vector_column).isNotNull() & F.col(id_column).isNotNull() & ~F.exists(
         vector_column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
+
+    def whole(x: Column) -> Column:
+        scaled = F.lit(scale) * x.cast("double")
+        return F.when(F.abs(scaled) < 2.0**62, F.floor(scaled)).otherwise(F.raise_error(F.lit("a component is beyond 64 bits"))).cast("long")
+
     return vectors.filter(F.coalesce(usable, F.lit(False))).select(
-        F.col(id_column).cast("long").alias("vec_id"), F.transform(vector_column, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long")).alias("v"))
+        F.col(id_column).cast("long").alias("vec_id"), F.transform(vector_column, whole).alias("v"))
 
 
 @dataclass
@@ -117,16 +123,16 @@ def _selected(rows: DataFrame, block: Block, dims: int, slice_rows: int) -> Data
         tied: dict[int, np.ndarray] = {}
         for ids, scores in _scored(batches, b, dims, slice_rows):
             q, r = np.nonzero(scores > b.low[:, None])
-            yield pa.record_batch([pa.array(b.ids[q]), pa.array(ids[r]), pa.array(scores[q, r])], schema=_RESULT)
+            yield pa.record_batch([pa.array(q, pa.int32()), pa.array(b.ids[q]), pa.array(ids[r]), pa.array(scores[q, r])], schema=_RESULT)
             q, r = np.nonzero(scores == b.low[:, None])
             cuts = np.flatnonzero(np.diff(q)) + 1
             for own, some in zip(q[np.append([0], cuts)] if len(q) else [], np.split(ids[r], cuts)):
                 some = np.concatenate([tied[own], some]) if own in tied else some
                 tied[own] = np.partition(some, b.need[own] - 1)[:b.need[own]] if len(some) > b.need[own] else some
         for own, some in tied.items():
-            yield pa.record_batch([pa.array(np.full(len(some), b.ids[own])), pa.array(some), pa.array(np.full(len(some), b.low[own]))], schema=_RESULT)
+            yield pa.record_batch([pa.array(np.full(len(some), own, np.int32)), pa.array(np.full(len(some), b.ids[own])), pa.array(some), pa.array(np.full(len(some), b.low[own]))], schema=_RESULT)
 
-    return rows.mapInArrow(run, "query_id long, vec_id long, score long")
+    return rows.mapInArrow(run, "q int, query_id long, vec_id long, score long")
 
 
 def _blocks(queries: DataFrame, size: int) -> Iterator[list]:
@@ -149,10 +155,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, block_size: int = 4
     rows = materialize(vectors, "vectors")
     facts = rows.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()
     dims, most = facts[0] or 0, facts[1] or 0
+    if dims * most * most >= 2**63:
+        raise ValueError(f"components up to {most} give scores beyond 64 bits")
     # sums below 2**53 are exact as doubles, whose product is the fast one
     dtype = np.float64 if dims * most * most < 2**53 else np.int64
     out = scratch_path(spark, "top-k")
-    spark.createDataFrame([], "query_id long, vec_id long, score long").write.parquet(f"{out}/block=-1")
+    spark.createDataFrame([], "q int, query_id long, vec_id long, score long").write.parquet(f"{out}/block=-1")
     for number, block_rows in enumerate(_blocks(rows.filter(is_query), block_size)):
         v = np.zeros((len(block_rows), dims), dtype)
         for i, r in enumerate(block_rows):
@@ -164,6 +172,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, block_size: int = 4
             single = bool((block.width == 1).all())
             _narrow(_histograms(rows, block, dims, k, slice_rows), block)
         _selected(rows, block, dims, slice_rows).write.parquet(f"{out}/block={number}")
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (spark.read.schema("query_id long, vec_id long, score long").parquet(f"{out}/block=*")
+    ranked = Window.partitionBy("block", "q").orderBy(F.desc("score"), "vec_id")
+    return (spark.read.schema("q int, query_id long, vec_id long, score long, block int").parquet(out)
             .withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from cases import DOCS, SCHEMA, docs, texts
@@ -220,3 +221,16 @@ def test_smallest_shingles_meet():
     some = np.array([3, 9, 70_000, 1 << 40, 1 << 50], dtype=np.uint64)
     assert np.array([simhash.smallest(some)]).view("<u2").tolist() == [3, 9, 70_000 & 0xFFFF, 0]
     assert np.array([simhash.smallest(some[:1])]).view("<u2").tolist() == [3] * 4 and simhash.smallest(some[:0]) == 0
+
+
+def test_a_repeated_query_has_its_own_ranks(spark):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(60)] + [(20, [2.0, -1.0]), (20, [2.0, -1.0])]
+    got = _topk(spark, [(*r, "x", "y") for r in rows], 20)
+    assert got == _brute_topk(rows, 20, lambda q: q % 5 == 0) and sum(r[0] == 20 for r in got) == 60
+
+
+def test_scores_beyond_64_bits_are_refused(spark):
+    for value in (1e17, 1e300):
+        frame = spark.createDataFrame([(0, [value]), (1, [value])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="64 bits"):
+            topk.top_k(topk.quantised(frame), F.col("vec_id") == 0, 5).collect()
