@@ -1,14 +1,15 @@
 """Sharding over a fixed number of virtual slots, with a versioned map from slots to shards.
 
-A row belongs to a slot by the hash of its doc_id, for ever. Which shard a slot is in says the map, a small table
+A row belongs to a slot by the hash of its doc_id and text, for ever. Which shard a slot is in says the map, a small table
 with one row per slot and version. Version 1 deals the slots round. `edit_map` makes the next version from the
 bytes counted per slot: slots stay where they are as long as their shard isn't over its share; the smallest slots
 of the shards that are go, largest first, to the shard that is least full. Shards may be added in the same way.
 
 DataFrame operations only. The map and the sums per slot have SLOTS rows whatever the size of the data.
 
-Edge cases: a null text has no bytes and counts as size 1; a null doc_id is hashed by the text; rows that repeat
-doc_id and text are placed together, each in a position of its own; an empty table gives an empty result.
+Edge cases: a null text has no bytes and counts as size 1; a null doc_id is hashed by the text alone; rows of one
+doc_id with different texts are dealt like any others; rows that repeat doc_id and text are placed together, each in a
+position of its own; an empty table gives an empty result.
 Columns other than doc_id and text are not read.
 """
 
@@ -26,7 +27,7 @@ SLOTS = 4096
 def slot_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, size, text_crc32, slot, spread): `spread` is a second hash, to divide large slots."""
     text = text_or_empty()
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.xxhash64(F.col("doc_id").cast("long")))
+    key = F.xxhash64(F.col("doc_id").cast("long"), text)  # a null leaves the hash to the text
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
@@ -78,12 +79,11 @@ def edit_map(current: DataFrame, shards: int, slack: float = 0.02) -> DataFrame:
 def place(rows: DataFrame, slot_map: DataFrame, per_bucket: int = 4096) -> DataFrame:
     """`rows` (of `slot_rows`) with shard and position, the positions of a shard being gapless from 0.
 
-    A slot is divided by a second hash into buckets of about `per_bucket` rows. A window numbers the rows of a
+    A slot is divided by a second hash into buckets of about `per_bucket` rows, as many as its rows need. A window numbers the rows of a
     bucket, and the rows of the buckets before it in the shard are added.
     """
-    most = slot_map.agg(F.max("rows")).first()[0] or 0
-    parts = max(1, -(-most // per_bucket))
-    dealt = rows.withColumn("_part", F.pmod("spread", F.lit(parts)).cast("int"))
+    parts = slot_map.select("slot", F.greatest(F.lit(1), F.ceil(F.col("rows") / per_bucket)).cast("int").alias("_parts"))  # SLOTS rows
+    dealt = rows.join(F.broadcast(parts), "slot").withColumn("_part", F.pmod("spread", F.col("_parts")).cast("int")).drop("_parts")
     sizes = dealt.groupBy("slot", "_part").agg(F.count("*").alias("_n")).join(F.broadcast(slot_map.select("slot", "shard")), "slot")
     before = Window.partitionBy("shard").orderBy("slot", "_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("slot", "_part", "shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

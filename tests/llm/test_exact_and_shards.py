@@ -1,7 +1,10 @@
 import random
+import struct
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from cases import DOCS, SCHEMA, docs
 from netsift.llm import exact_dedup, sharding
@@ -114,3 +117,38 @@ def test_an_edited_map_moves_little_and_serves_more_shards(spark, sf):
     assert len(third) == sharding.SLOTS and {r["version"] for r in third.values()} == {3}
     assert max(loads.values()) < 1.1 * sum(loads.values()) / 9
     assert moved < 0.3 * sum(loads.values())
+
+
+def _plain_map(rows, shards, slack=0.02):
+    """Slot, size of every row; the map by the same law, row by row."""
+    slots = [xxhash.xxh64_intdigest((t or "").encode(), xxhash.xxh64_intdigest(struct.pack("<q", i), 42) if i is not None else 42) % sharding.SLOTS for i, t in rows]
+    sizes = [len((t or "").encode()) + 1 for _, t in rows]
+    bytes_of = [0] * sharding.SLOTS
+    for slot, size in zip(slots, sizes):
+        bytes_of[slot] += size
+    most, loads, gone, out = sum(sizes) / shards * (1 - slack), [0] * shards, [], {}
+    for shard in range(shards):
+        filled = 0
+        for slot in sorted((s for s in range(sharding.SLOTS) if s % shards == shard), key=lambda s: (-bytes_of[s], s)):
+            filled += bytes_of[slot]
+            if filled <= most:
+                out[slot], loads[shard] = shard, loads[shard] + bytes_of[slot]
+            else:
+                gone.append((bytes_of[slot], slot))
+    for size, slot in sorted(gone, reverse=True):
+        out[slot] = loads.index(min(loads))
+        loads[out[slot]] += size
+    return sorted(str((i, size, slot, out[slot])) for (i, _), size, slot in zip(rows, sizes, slots))
+
+
+def test_sharding_against_a_plain_map(spark, sf):
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    for table, rows in ((frame, [(r["doc_id"], r["text"]) for r in frame.collect()]), (docs(spark), [(r[0], r[1]) for r in DOCS])):
+        got = sharding.sharded(table, 8).collect()
+        assert sorted(str((r["doc_id"], r["size"], r["slot"], r["shard"])) for r in got) == _plain_map(rows, 8)
+
+
+def test_rows_of_one_doc_id_are_dealt(spark):
+    table = spark.range(6000).select(F.lit(77).cast("long").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    sizes = [r["n"] for r in sharding.sharded(table, 8).groupBy("shard").agg(F.sum("size").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) <= 1.05 * min(sizes)
