@@ -34,8 +34,9 @@ from netsift.llm.common import materialize, scratch_path
 
 SKIPPABLE = 0x184D2A5D  # the magic number of a dictionary frame, a fixed value
 DICTIONARY_BYTES = 64 << 10
-SAMPLE_BYTES, SAMPLE_RECORDS = 4 << 20, 1000  # what a task trains its dictionary on, at most
-_MANIFEST = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
+SAMPLE_BYTES = 4 << 20  # what a task trains its dictionary on, at most, and holds back until then
+LEAST_RECORDS, LEAST_BYTES = 8, 8 << 10  # the trainer finds nothing in less
+_MANIFEST = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("dictionary_bytes", pa.int64())])
 _RECORDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
                       ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 _DATE = "1970-01-01T00:00:00Z"  # the table has no capture time
@@ -87,12 +88,14 @@ def parse_record(data: bytes) -> dict:
 
 
 def train(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary for the samples; None where they are too few or too small for one."""
-    if len(samples) < 16 or sum(map(len, samples)) < 8 * DICTIONARY_BYTES:
+    """A dictionary of an eighth of the samples, DICTIONARY_BYTES at most; None for fewer than LEAST_RECORDS or LEAST_BYTES."""
+    total = sum(map(len, samples))
+    if len(samples) < LEAST_RECORDS or total < LEAST_BYTES:
         return None
+    size = min(DICTIONARY_BYTES, total // 8)
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=3, k=512, d=8)
-    except zstandard.ZstdError:
+        return zstandard.train_dictionary(size, samples, level=3, k=min(512, size // 4), d=8)
+    except zstandard.ZstdError:  # samples without anything in common
         return None
 
 
@@ -101,9 +104,9 @@ def dictionary_frame(dictionary: zstandard.ZstdCompressionDict) -> bytes:
     return struct.pack("<II", SKIPPABLE, len(packed)) + packed
 
 
-def write_archive(records: Iterator[tuple], sink) -> tuple[int, int]:
-    """Records (as the arguments of `record_bytes`) to an open sink: the number of records and of bytes."""
-    held, samples, size, count, written = [], [], 0, 0, 0
+def write_archive(records: Iterator[tuple], sink) -> tuple[int, int, int]:
+    """Records (as the arguments of `record_bytes`) to an open sink: the number of records, of bytes, and of the dictionary's bytes."""
+    held, samples, size, count, written, known = [], [], 0, 0, 0, 0
     compressor = None
 
     def put(data: bytes) -> None:
@@ -112,10 +115,11 @@ def write_archive(records: Iterator[tuple], sink) -> tuple[int, int]:
         written += len(data)
 
     def start() -> None:
-        nonlocal compressor
+        nonlocal compressor, known
         dictionary = train(samples)
         compressor = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_checksum=True)
         if dictionary:
+            known = len(dictionary.as_bytes())
             put(dictionary_frame(dictionary))
         for data in held:
             put(compressor.compress(data))
@@ -129,14 +133,14 @@ def write_archive(records: Iterator[tuple], sink) -> tuple[int, int]:
             if size < SAMPLE_BYTES:
                 samples.append(data[:64 << 10])
             size += len(data)
-            if size < SAMPLE_BYTES and len(held) < SAMPLE_RECORDS:
+            if size < SAMPLE_BYTES:
                 continue
             start()
         else:
             put(compressor.compress(data))
     if compressor is None:
         start()
-    return count, written
+    return count, written, known
 
 
 def read_archive(source, block: int = 1 << 20) -> Iterator[dict]:
@@ -185,7 +189,7 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def write(records: DataFrame, folder: str) -> DataFrame:
-    """Write the rows of `decided` as archives, one for each partition; the manifest (path, records, bytes)."""
+    """Write the rows of `decided` as archives, one for each partition; the manifest (path, records, bytes, dictionary_bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -204,10 +208,10 @@ def write(records: DataFrame, folder: str) -> DataFrame:
         fs, path = _filesystem(name)
         fs.create_dir(os.path.dirname(path), recursive=True)
         with fs.open_output_stream(path, compression=None) as sink:
-            count, written = write_archive((r for some in ((first,), records_) for r in some), sink)
-        yield pa.record_batch([pa.array([name]), pa.array([count]), pa.array([written])], schema=_MANIFEST)
+            count, written, known = write_archive((r for some in ((first,), records_) for r in some), sink)
+        yield pa.record_batch([pa.array([name]), pa.array([count]), pa.array([written]), pa.array([known])], schema=_MANIFEST)
 
-    return materialize(records.mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
+    return materialize(records.mapInArrow(run, "path string, records long, bytes long, dictionary_bytes long"), "warc-manifest")
 
 
 def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:

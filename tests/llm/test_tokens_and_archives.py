@@ -265,3 +265,15 @@ def test_ids_of_random_texts_equal_the_library(tmp_path):
     changed = byte_tokens.PackedEncoder(str(other))
     assert changed.plain is None
     assert changed.encode(texts[:500]) == [array.array("I", c.ids).tobytes() for c in changed.tokenizer.encode_batch(texts[:500], add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("count,size,has", [(1, 100_000, False), (7, 3000, False), (8, 1200, True), (40, 300, True), (3000, 150, True), (20_000, 60, True)])
+def test_bytes_decide_about_the_dictionary(count, size, has):
+    rng = random.Random(count)
+    words = [f"<div class='c{i}'>text {i * 7919}</div>" for i in range(50)]
+    payloads = ["".join(rng.choice(words) for _ in range(size // 28 + 1))[:size].encode() for _ in range(count)]
+    sink = io.BytesIO()
+    records, written, known = warc.write_archive(iter([(i, "u", p, warc.base32_sha1(p), None, False) for i, p in enumerate(payloads)]), sink)
+    data = sink.getvalue()
+    assert (records, written) == (count, len(data)) and (known > 0) == has == (int.from_bytes(data[:4], "little") == warc.SKIPPABLE)
+    assert [r["payload"] for r in warc.read_archive(io.BytesIO(data))] == payloads
