@@ -25,7 +25,9 @@ def build_session(app: str = "netsift", master: str | None = None, **conf: str)
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -11,7 +11,7 @@ SAMPLE = [
     "c11_connection_counts", "d4_binary_columns", "d7_high_correlation_pairs", "d9_mutual_information", "e1_class_caps", "e4_duplicate_removal",
     "e6_three_way_split", "e10_danger_rows", "f2_imputation", "f7_target_encoding", "f14_robust_scaling", "h5_roc_auc", "h10_split_evaluation",
     "i8_psi_baseline_deciles", "i12_chi_square", "i14_numeric_score", "i25_alerts", "j3_rate_limit", "j5_request_gate", "j7_latency_percentiles",
-    "j14_scenario_window_tag", "j19_source_liveness", "j1_stream_flow_sessions", "j3_stream_rate_limit",
+    "j14_scenario_window_tag", "j19_source_liveness", "j19_stream_liveness", "j1_stream_flow_sessions", "j3_stream_rate_limit",
 ]
 
 
