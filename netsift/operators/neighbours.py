@@ -1,15 +1,15 @@
-"""Exact nearest neighbours by pivots, and the three over-samplers built on them.
-
-Rows are assigned to the nearest of a few pivot rows. Triangle-inequality bounds decide which cells a
-row can be a neighbour in, so a row travels only there; cells are cut into blocks, and each block pair
-returns at most k rows per query row. No pair table is built and no cell is read whole by one task.
-(Pivot bounds as in the published MapReduce k-NN joins.)
+"""Exact nearest neighbours by a tree of cells, and the three over-samplers built on them.
+
+Rows of equal vectors become one point. Cells are split around a few of their own points until a cell fits a
+block; a cell keeps its centre, radius and number of rows. A point first searches its own cell; the distance of
+its k-th neighbour then bounds the descent from the root, which leaves out every cell that lies farther away (triangle
+inequality). The nearest cells left are searched first and tighten the bound for the rest. Cells, bounds and visits are
+tables joined by cell, so nothing that grows with the rows reaches the driver, and no task reads more than a cell
+and a block of points.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,115 +18,208 @@ from pyspark.sql import functions as F
 from netsift.functions.scaling import hash_rank, lookup, order_hash
 from netsift.session import materialize
 
-LEVELS = [0.02, 0.1, 0.5, 1.0]
+FIRST_VISITS = 8  # cells searched before the bound is tightened for the others
+COPIES_AT_ONCE = 1_000  # synthetic rows of a seed that one task makes together
+SLACK = 1e-9  # rounding of the bounds; wider bounds only cost comparisons
+
+
+def _matrix(vectors) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), dtype=float).reshape(len(vectors), -1)
 
 
-def _choose_pivots(points: DataFrame, pivots: int) -> list:
-    """Up to `pivots` rows per scope, the first in hash order; scopes are class values, so few."""
-    ranked = hash_rank(points.select("id", "scope", "vec").withColumn("_h", order_hash("id", seed=7)), "_h", ["scope"], "_r")
-    return ranked.where(F.col("_r") <= pivots).orderBy("scope", "_r").collect()
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(((a[:, None, :] - b[None]) ** 2).sum(axis=2))
 
 
-def _assign(points: DataFrame, pivot_rows: list) -> tuple[DataFrame, dict]:
-    """Adds `cell` (nearest pivot), `dp` (distance to it) and `pd` (distances to all pivots of the scope)."""
-    by_scope: dict[str, list[int]] = {}
-    for i, r in enumerate(pivot_rows):
-        by_scope.setdefault(r["scope"], []).append(i)
-    mat = np.array([r["vec"] for r in pivot_rows], dtype=float)
+def _distinct(points: DataFrame, k: int) -> DataFrame:
+    """One row per scope and vector: vid (its least id), x (packed vector), q, m (search rows, k + 1 at most) and
+    their ids `rows`. Of equal vectors only the k + 1 least ids can be anybody's neighbours."""
+    clean = points.where(F.col("scope").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0)
+                         & ~F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
+    w = Window.partitionBy("scope", "vec", "q", "s").orderBy("id")
+    few = clean.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k + 1)
+    mine = F.slice(F.array_sort(F.collect_list(F.when(F.col("s"), F.struct("id", "cls")))), 1, k + 1)
+    grouped = few.groupBy("scope", "vec").agg(F.min("id").alias("vid"), F.max("q").alias("q"), mine.alias("rows")).withColumn("m", F.size("rows"))
 
-    def assign(frames):
+    def pack(frames):
         for pdf in frames:
-            out = []
-            for scope, part in pdf.groupby("scope", sort=False):
-                idx = by_scope[scope]
-                x = np.array(part["vec"].tolist(), dtype=float)
-                d = np.stack([np.sqrt(((x - mat[i]) ** 2).sum(axis=1)) for i in idx], axis=1)
-                near = d.argmin(axis=1)
-                part = part.assign(cell=np.array(idx, dtype=np.int32)[near], dp=d[np.arange(len(x)), near], pd=list(d))
-                out.append(part)
-            yield pd.concat(out) if out else pdf.assign(cell=np.int32(0), dp=0.0, pd=None)
+            yield pdf.assign(x=[np.asarray(v, dtype=float).tobytes() for v in pdf["vec"]])
 
-    schema = points.schema.simpleString()[7:-1] + ",cell:int,dp:double,pd:array<double>"
-    return points.mapInPandas(assign, schema), {"scopes": by_scope, "mat": mat}
+    return grouped.mapInPandas(pack, grouped.schema.simpleString()[7:-1] + ",x:binary")
 
 
-def nearest(points: DataFrame, k: int, pivots: int = 16, block_rows: int = 2_000) -> DataFrame:
-    """The k nearest search rows of every query row within its scope, self excluded, ties by id.
+def _grow(rows: DataFrame, k: int, pivots: int, leaf_rows: int, levels: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The leaf of every point with a first bound of its k-th distance, and per level the cells below the level before."""
+    dims = rows.select(F.octet_length("x")).first()[0] // 8
+    fan = max(2, min(pivots, 1024 // dims))  # the centres travel with the rows of a cell
+    pending = rows.select("vid", "x", "m", "q", F.md5("scope").alias("cell"), F.lit(0.0).alias("dist"), F.lit(float("inf")).alias("bound"))
+    done, nodes, children = [], [], None
 
-    `points`: id string, scope string, cls string, vec array<double>, q boolean (wants neighbours),
-    s boolean (can be a neighbour). Result: id, cls, rank, neighbour, neighbour_cls, distance.
-    """
-    points = materialize(points.select("id", "scope", "cls", "vec", "q", "s"), "knn-points")
-    rows = _choose_pivots(points, pivots)
-    if not rows:
-        return points.sparkSession.createDataFrame([], "id string, cls string, rank int, neighbour string, neighbour_cls string, distance double")
-    assigned, info = _assign(points, rows)
-    placed = materialize(assigned, "knn-cells")
-    # Per cell: radius of its query rows, and exact counts of search rows within a few distances.
-    cut = placed.where("s").groupBy("cell").agg(F.percentile_approx("dp", LEVELS, 1_000).alias("t"))
-    within = placed.where("s").join(F.broadcast(cut), "cell").groupBy("cell").agg(
-        *[F.max(F.get("t", F.lit(i))).alias(f"t{i}") for i in range(len(LEVELS))],
-        *[F.count_if(F.col("dp") <= F.get("t", F.lit(i))).alias(f"n{i}") for i in range(len(LEVELS))])
-    reach = {r["cell"]: [(r[f"t{i}"], r[f"n{i}"]) for i in range(len(LEVELS))] for r in within.collect()}
-    queries = {r["cell"]: (r["u"], r["n"]) for r in placed.where("q").groupBy("cell").agg(F.max("dp").alias("u"), F.count("*").alias("n")).collect()}
-    scope_of = {c: s for s, cells in info["scopes"].items() for c in cells}
-    limit = {}
-    for cell, (u, _) in queries.items():
-        steps = []
-        for other in info["scopes"][scope_of[cell]]:
-            gap = float(np.sqrt(((info["mat"][cell] - info["mat"][other]) ** 2).sum()))
-            done = 0
-            for t, n in reach.get(other, []):
-                steps.append((u + gap + t, n - done))
-                done = n
-        have, bound = 0, math.inf
-        for value, n in sorted(steps):
-            have += n
-            if have >= k + 1:
-                bound = value
-                break
-        limit[cell] = (bound + u) * (1 + 1e-9) + 1e-9
-    # Search rows go to every cell whose queries they can reach.
-    reachable = F.create_map(*[x for s, cells in info["scopes"].items() for x in (F.lit(s), F.array(*[
-        F.struct(F.lit(j).alias("at"), F.lit(c).alias("target"), F.lit(float(limit[c])).alias("limit")) for j, c in enumerate(cells) if c in limit]
-    ).cast("array<struct<at:int,target:int,limit:double>>"))])
-    sent = placed.where("s").select("id", "cls", "vec", F.explode(F.filter(
-        F.element_at(reachable, F.col("scope")), lambda t: F.get("pd", t["at"]) <= t["limit"])).alias("t")).select("id", "cls", "vec", F.col("t.target").alias("cell"))
-    load = {r["cell"]: r["count"] for r in sent.groupBy("cell").count().collect()}
-    parts = lambda n: max(1, math.ceil(n / block_rows))
-    qb = F.create_map(*[x for c, (_, n) in queries.items() for x in (F.lit(c), F.lit(parts(n)))])
-    sb = F.create_map(*[x for c in queries for x in (F.lit(c), F.lit(parts(load.get(c, 0))))])
-    mine = lambda blocks: F.pmod(F.xxhash64("id"), F.element_at(blocks, F.col("cell")).cast("long")).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("cell")) - 1))
-    left = placed.where("q").select("id", "cls", "vec", "cell", mine(qb).alias("qb"), every(sb).alias("sb"))
-    # Both sides read the same table: fresh names keep the optimizer from mixing up their columns.
-    right = sent.select(F.col("id").alias("nid"), F.col("cls").alias("ncls"), F.col("vec").alias("nvec"), F.col("cell").alias("ncell"),
-                        mine(sb).alias("nsb"), every(qb).alias("nqb"))
+    def place(frames):
+        for pdf in frames:
+            parts = []
+            for cell, part in pdf.groupby("cell", sort=False):
+                top = part.iloc[0]
+                bound = part["bound"].to_numpy()
+                if top["parent_known"] and top["copies"] > k:
+                    bound = np.minimum(bound, part["dist"].to_numpy() + top["radius"])
+                if top["split"] is None:
+                    parts.append(part.assign(bound=bound, leaf=True))
+                else:
+                    d = _distances(_matrix(part["x"].tolist()), _matrix(list(top["split"])))
+                    near = d.argmin(axis=1)
+                    parts.append(part.assign(bound=bound, leaf=False, cell=[f"{cell}/{n}" for n in near], dist=d[np.arange(len(d)), near]))
+            if parts:
+                yield pd.concat(parts)[["vid", "x", "m", "q", "cell", "dist", "bound", "leaf"]]
+
+    for level in range(levels + 1):
+        stats = pending.groupBy("cell").agg(F.count("*").alias("points"), F.sum("m").alias("copies"), F.max(F.when(F.col("m") > 0, F.col("dist"))).alias("radius"))
+        stats = materialize(stats, "tree-cells")
+        wide = stats.where(F.col("points") > leaf_rows) if level < levels else stats.limit(0)
+        w = Window.partitionBy("cell").orderBy(F.xxhash64("vid", F.lit(level)), "vid")
+        drawn = pending.join(wide.select("cell"), "cell", "left_semi").select("cell", "x", F.row_number().over(w).alias("no")).where(F.col("no") <= fan)
+        split = drawn.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "x"))), lambda s: s["x"]).alias("split"))
+        spec = materialize(stats.join(split, "cell", "left"), "tree-splits")
+        if children is not None:  # cells without search rows are not visited
+            nodes.append(children.join(spec.where("radius is not null"), "cell").select("parent", "cell", "centre", "radius", F.col("split").isNull().alias("leaf")))
+        placed = pending.join(spec.withColumn("parent_known", F.lit(level > 0)), "cell")
+        placed = materialize(placed.mapInPandas(place, "vid string, x binary, m int, q boolean, cell string, dist double, bound double, leaf boolean"), "tree-level")
+        done.append(placed.where("leaf").select("vid", "x", "m", "q", "cell", "bound"))
+        if spec.where("split is not null").isEmpty():
+            break
+        children = spec.where("split is not null").select(F.col("cell").alias("parent"), F.posexplode("split").alias("no", "centre")).select(
+            "parent", F.concat_ws("/", "parent", "no").alias("cell"), "centre")
+        pending = placed.where("not leaf").drop("leaf")
+    leaves = done[0]
+    for part in done[1:]:
+        leaves = leaves.unionByName(part)
+    return leaves, nodes
+
+
+def _descend(asking: DataFrame, roots: DataFrame, nodes: list[DataFrame]) -> DataFrame | None:
+    """The leaves other than its own that a point has to visit: vid, x, cell, low (least distance to a row there)."""
+    def reach(frames):
+        for pdf in frames:
+            if len(pdf):
+                d = np.sqrt(((_matrix(pdf["x"].tolist()) - _matrix(pdf["centre"].tolist())) ** 2).sum(axis=1))
+                low = np.maximum(d * (1 - SLACK) - pdf["radius"].to_numpy() * (1 + SLACK), 0.0)
+                near = low <= pdf["bound"].to_numpy() * (1 + SLACK)
+                yield pdf.assign(low=low)[["vid", "x", "own", "bound", "cell", "low", "leaf"]][near]
+
+    front = asking.join(roots, "vid").select("vid", "x", F.col("cell").alias("own"), "bound", F.col("root").alias("parent"))
+    found = None
+    for level in nodes:
+        step = front.join(level, "parent").mapInPandas(reach, "vid string, x binary, own string, bound double, cell string, low double, leaf boolean")
+        step = materialize(step, "tree-front")
+        here = step.where("leaf and cell <> own").select("vid", "x", "cell", "low")
+        found = here if found is None else found.unionByName(here)
+        front = step.where("not leaf").select("vid", "x", "own", "bound", F.col("cell").alias("parent"))
+    return found
+
+
+def _visit(visits: DataFrame, leaves: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """Per point and visited cell the k + 1 nearest points: vid, nid, m, distance."""
+    parts = lambda n: F.greatest(F.ceil(F.col(n) / F.lit(block_rows)), F.lit(1)).cast("int")
+    asked = visits.groupBy("cell").agg(F.count("*").alias("n")).select("cell", parts("n").alias("qn"))
+    held = leaves.where("m > 0").groupBy("cell").agg(F.count("*").alias("n")).select("cell", parts("n").alias("sn"))
+    plan = asked.join(held, "cell")
+    part = lambda of, n: F.pmod(F.xxhash64(of), F.col(n).cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = visits.join(plan, "cell").select("cell", "vid", "x", part("vid", "qn").alias("qb"), every("sn").alias("sb"))
+    right = leaves.where("m > 0").join(plan, "cell").select(F.col("cell").alias("ncell"), F.col("vid").alias("nid"), F.col("x").alias("nx"), "m",
+                                                            part("vid", "sn").alias("nsb"), every("qn").alias("nqb"))
 
     def block(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        cols = ["id", "cls", "neighbour", "neighbour_cls", "distance"]
         if q.empty or s.empty:
-            return pd.DataFrame(columns=cols)
+            return pd.DataFrame(columns=["vid", "nid", "m", "distance"])
         s = s.sort_values("nid", kind="stable")
-        sv, sid, scls = np.array(s["nvec"].tolist(), dtype=float), s["nid"].to_numpy(), s["ncls"].to_numpy()
+        sv, nid, m = _matrix(s["nx"].tolist()), s["nid"].to_numpy(), s["m"].to_numpy()
         out = []
-        step = max(1, 4_000_000 // max(1, sv.size))
+        step = max(1, 4_000_000 // sv.size)
         for a in range(0, len(q), step):
             chunk = q.iloc[a:a + step]
-            d = np.sqrt(((np.array(chunk["vec"].tolist(), dtype=float)[:, None, :] - sv[None]) ** 2).sum(axis=2))
-            d[chunk["id"].to_numpy()[:, None] == sid[None]] = np.inf
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            i = np.repeat(np.arange(len(chunk)), order.shape[1])
-            j = order.ravel()
-            out.append(pd.DataFrame({"id": chunk["id"].to_numpy()[i], "cls": chunk["cls"].to_numpy()[i], "neighbour": sid[j],
-                                     "neighbour_cls": scls[j], "distance": d[i, j]}))
-        found = pd.concat(out)
-        return found[np.isfinite(found["distance"])]
-
-    found = left.groupBy("cell", "qb", "sb").cogroup(right.groupBy("ncell", "nqb", "nsb")).applyInPandas(
-        block, "id string, cls string, neighbour string, neighbour_cls string, distance double")
-    w = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "cls", "rank", "neighbour", "neighbour_cls", "distance")
+            d = _distances(_matrix(chunk["x"].tolist()), sv)
+            order = np.argsort(d, axis=1, kind="stable")[:, :k + 1]
+            i, j = np.repeat(np.arange(len(chunk)), order.shape[1]), order.ravel()
+            out.append(pd.DataFrame({"vid": chunk["vid"].to_numpy()[i], "nid": nid[j], "m": m[j], "distance": d[i, j]}))
+        return pd.concat(out)
+
+    return left.groupBy("cell", "qb", "sb").cogroup(right.groupBy("ncell", "nqb", "nsb")).applyInPandas(block, "vid string, nid string, m int, distance double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k + 1 first points by distance and id. They hold the first k + 1 rows, whatever their copies are: a point's rows
+    come after its own id, and k + 1 points before it are k + 1 rows before it."""
+    w = Window.partitionBy("vid").orderBy("distance", "nid")
+    return found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k + 1).drop("_n")
+
+
+def _bounded(best: DataFrame, k: int) -> DataFrame:
+    """The distance within which a point has k + 1 rows already."""
+    w = Window.partitionBy("vid").orderBy("distance", "nid").rowsBetween(Window.unboundedPreceding, 0)
+    return best.withColumn("_c", F.sum("m").over(w)).groupBy("vid").agg(F.min(F.when(F.col("_c") > k, F.col("distance"))).alias("kth"))
+
+
+def _search(points: DataFrame, k: int, pivots: int, leaf_rows: int, block_rows: int, levels: int):
+    """(distinct points, their nearest points, leaves, visits of every round), all written tables; None without rows."""
+    distinct = materialize(_distinct(points, k), "knn-points")
+    if distinct.isEmpty():
+        return None
+    grown, nodes = _grow(distinct, k, pivots, leaf_rows, levels)
+    leaves = materialize(grown, "knn-leaves")
+    asking = leaves.where("q").select("vid", "x", "cell", "bound")
+    visits = [asking.select("vid", "cell")]
+    best = materialize(_best(_visit(asking, leaves, k, block_rows), k), "knn-own")
+    tight = asking.join(_bounded(best, k), "vid", "left").withColumn("bound", F.least("bound", F.coalesce("kth", F.lit(float("inf"))))).drop("kth")
+    rest = _descend(tight, distinct.select("vid", F.md5("scope").alias("root")), nodes)
+    if rest is not None:
+        order = Window.partitionBy("vid").orderBy("low", "cell")
+        ranked = materialize(rest.withColumn("no", F.row_number().over(order)), "knn-visits")
+        first = ranked.where(F.col("no") <= FIRST_VISITS)
+        best = materialize(_best(best.unionByName(_visit(first, leaves, k, block_rows)), k), "knn-first")
+        kth = F.coalesce("kth", F.lit(float("inf")))
+        later = ranked.where(F.col("no") > FIRST_VISITS).join(_bounded(best, k), "vid", "left").where(F.col("low") <= kth * (1 + SLACK)).drop("kth")
+        later = materialize(later, "knn-later")
+        best = materialize(_best(best.unionByName(_visit(later, leaves, k, block_rows)), k), "knn-best")
+        visits += [first.select("vid", "cell"), later.select("vid", "cell")]
+    return distinct, best, leaves, visits
+
+
+def nearest(points: DataFrame, k: int, pivots: int = 16, block_rows: int = 2_000, leaf_rows: int = 256, levels: int = 24) -> DataFrame:
+    """The k nearest search rows of every query row within its scope, self excluded, ties by id.
+
+    `points`: id string (unique), scope string, cls string, vec array<double> (of one length), q boolean (wants
+    neighbours), s boolean (can be a neighbour). Result: id, cls, rank, neighbour, neighbour_cls, distance.
+    Rows without a scope, and vectors that are null, empty or hold null or non-finite entries, take no part.
+    A cell that is still large after `levels` splits is searched in blocks.
+    """
+    points = materialize(points.select("id", "scope", "cls", "vec", F.coalesce("q", F.lit(False)).alias("q"), F.coalesce("s", F.lit(False)).alias("s")), "knn-rows")
+    done = _search(points, k, pivots, min(leaf_rows, block_rows), block_rows, levels)
+    if done is None:
+        return points.sparkSession.createDataFrame([], "id string, cls string, rank int, neighbour string, neighbour_cls string, distance double")
+    distinct, best, _, _ = done
+    rows = best.join(distinct.select(F.col("vid").alias("nid"), F.explode("rows").alias("r")), "nid")
+    answers = rows.groupBy("vid").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", F.col("r.id").alias("id"), F.col("r.cls").alias("cls")))), 1, k + 1).alias("near"))
+    known = distinct.where("q").select("scope", "vec", "vid").join(answers, "vid")
+    asked = points.where("q").select("id", "scope", "cls", "vec").join(known, ["scope", "vec"])
+    others = F.slice(F.filter("near", lambda n: n["id"] != F.col("id")), 1, k)
+    return asked.select("id", "cls", F.posexplode(others).alias("at", "n")).select(
+        "id", "cls", (F.col("at") + 1).alias("rank"), F.col("n.id").alias("neighbour"), F.col("n.cls").alias("neighbour_cls"), F.col("n.distance").alias("distance"))
+
+
+def search_cost(points: DataFrame, k: int, pivots: int = 16, block_rows: int = 2_000, leaf_rows: int = 256, levels: int = 24) -> DataFrame:
+    """What a search compares, per scope: queries and search points (distinct vectors), compared (pairs of them)."""
+    done = _search(points, k, pivots, min(leaf_rows, block_rows), block_rows, levels)
+    if done is None:
+        return points.sparkSession.createDataFrame([], "scope string, queries long, candidates long, compared long")
+    distinct, _, leaves, visits = done
+    every = visits[0]
+    for more in visits[1:]:
+        every = every.unionByName(more)
+    sizes = leaves.where("m > 0").groupBy("cell").agg(F.count("*").alias("n"))
+    pairs = every.groupBy("cell").agg(F.count("*").alias("v")).join(sizes, "cell").groupBy(F.substring_index("cell", "/", 1).alias("root")).agg(F.sum(F.col("v") * F.col("n")).alias("compared"))
+    sides = distinct.groupBy("scope").agg(F.count_if("q").alias("queries"), F.count_if(F.col("m") > 0).alias("candidates"))
+    return sides.withColumn("root", F.md5("scope")).join(pairs, "root", "left").select("scope", "queries", "candidates", F.coalesce("compared", F.lit(0)).alias("compared"))
 
 
 def _uniform(*cols) -> F.Column:
@@ -141,9 +234,11 @@ def interpolate(points: DataFrame, seeds: DataFrame, links: DataFrame, seed: int
     position on the segment are drawn by hashing (seed row, copy number).
     """
     sizes = links.groupBy("id").agg(F.max("rank").alias("k"))
+    first = F.sequence(F.lit(1).cast("long"), F.col("copies"), F.lit(COPIES_AT_ONCE).cast("long"))
+    blocks = seeds.where("copies > 0").join(sizes, "id").select("id", "cls", "k", "copies", F.explode(first).alias("first"))
     draws = (
-        seeds.where("copies > 0").join(sizes, "id")
-        .select("id", "cls", "k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+        blocks.repartition("id", "first")  # a seed of a tiny class may have to give most of the rows
+        .select("id", "cls", "k", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + COPIES_AT_ONCE - 1, F.col("copies")))).alias("copy"))
         .withColumn("rank", (F.floor(_uniform("id", "copy", F.lit(f"n{seed}")) * F.col("k")) + 1).cast("int"))
         .withColumn("gap", _uniform("id", "copy", F.lit(f"g{seed}")))
     )

@@ -161,6 +161,64 @@ def e11_quota(spark, sf_dir):
     return neighbours.adasyn_quota(points(spark, sf_dir)).select("id", "cls", F.round("ratio", 6).alias("ratio"), "copies")
 
 
-@query("e11_adasyn")
+_QUOTA = "fr AS (SELECT id, cls, count(*) FILTER (ncls <> cls) / 5 AS ratio FROM tk WHERE rank <= 5 GROUP BY id, cls), qt AS (SELECT id, cls, CAST(round_even(ratio / sum(ratio) OVER (PARTITION BY cls) * ((SELECT max(n) FROM c) - n), 0) AS BIGINT) AS copies FROM fr JOIN c USING (cls) WHERE n < (SELECT max(n) FROM c))"
+_CLASSES = "c AS (SELECT cls, count(*) AS n FROM pts GROUP BY cls)"
+
+
+@query("e11_adasyn", f"WITH {_POINTS}, {_NEAR.format(cond='')}, {_CLASSES}, {_QUOTA} SELECT cls, CAST(sum(copies) AS BIGINT) AS n FROM qt WHERE copies > 0 GROUP BY cls")
 def e11(spark, sf_dir):
     return neighbours.adasyn(points(spark, sf_dir)).groupBy("cls").agg(F.count("*").alias("n"))
+
+
+def _even_sql(seeds: str, target: str) -> str:
+    """The copies of every seed row: those a class is short of, dealt evenly, the rest in hash order."""
+    return f"""sr AS (SELECT id, cls, row_number() OVER (PARTITION BY cls ORDER BY md5(id || '|42')) AS r, count(*) OVER (PARTITION BY cls) AS m FROM {seeds}),
+qt AS (SELECT id, cls, (w // m) + CAST(r <= w % m AS BIGINT) AS copies FROM (SELECT sr.*, {target} - n AS w FROM sr JOIN c USING (cls) WHERE n < {target}))"""
+
+
+def _draw(what: str) -> str:
+    return f"CAST('0x' || substr(md5(id || '|' || copy || '|{what}42'), 1, 8) AS BIGINT) / 4294967296.0"
+
+
+# the synthetic rows themselves: seed, neighbour and position on the segment, and the vector by its sum and last entry
+_ROWS_SQL = f"""lk AS (SELECT a.id, b.id AS neighbour, row_number() OVER (PARTITION BY a.id ORDER BY sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: pow(z[1] - z[2], 2)))), b.id) AS rank
+  FROM pts a JOIN pts b ON a.id <> b.id AND a.cls = b.cls QUALIFY rank <= 5), sz AS (SELECT id, max(rank) AS k FROM lk GROUP BY id),
+dr AS (SELECT id, cls, k, unnest(range(1, copies + 1)) AS copy FROM qt JOIN sz USING (id) WHERE copies > 0),
+pk AS (SELECT dr.*, CAST(floor({_draw('n')} * k) AS BIGINT) + 1 AS rank, {_draw('g')} AS gap FROM dr),
+sy AS (SELECT pk.id || '#' || copy AS id, pk.cls, pk.id AS seed_id, neighbour, gap, list_transform(list_zip(a.vec, b.vec), lambda z: z[1] + gap * (z[2] - z[1])) AS vec
+  FROM pk JOIN lk ON lk.id = pk.id AND lk.rank = pk.rank JOIN pts a ON a.id = pk.id JOIN pts b ON b.id = neighbour)
+SELECT id, cls, seed_id, neighbour, round(gap, 6) AS gap, round(list_sum(vec), 5) AS total, round(vec[-1], 5) AS last FROM sy"""
+
+
+def _rows(synthetic):
+    total = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v)
+    return synthetic.select("id", "cls", "seed_id", "neighbour", F.round("gap", 6).alias("gap"), F.round(total, 5).alias("total"), F.round(F.element_at("vec", -1), 5).alias("last"))
+
+
+@query("e9_smote_rows", f"WITH {_POINTS}, {_CLASSES}, {_even_sql('pts', '(SELECT max(n) FROM c)')}, {_ROWS_SQL}")
+def e9_rows(spark, sf_dir):
+    return _rows(neighbours.smote(points(spark, sf_dir)))
+
+
+@query("e10_borderline_rows", f"{_DANGER}, {_CLASSES}, {_even_sql('dg', '(SELECT CAST(floor(count(*) * 0.4) AS BIGINT) FROM pts)')}, {_ROWS_SQL}")
+def e10_rows(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return _rows(neighbours.borderline_smote(p, int(p.count() * 0.4)))
+
+
+@query("e11_adasyn_rows", f"WITH {_POINTS}, {_NEAR.format(cond='')}, {_CLASSES}, {_QUOTA}, {_ROWS_SQL}")
+def e11_rows(spark, sf_dir):
+    return _rows(neighbours.adasyn(points(spark, sf_dir)))
+
+
+def flow_points(spark, sf_dir):
+    """Flows as vectors of five measurements on a logarithmic scale, all in one scope."""
+    f = clean_flows(spark, sf_dir)
+    measured = F.array(*[F.log1p(F.greatest(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))) for c in ("sbytes", "dbytes", "spkts", "dpkts", "dur")])
+    return f.select(F.col("flow_id").cast("string").alias("id"), F.lit("all").alias("scope"), F.col("cat").alias("cls"), measured.alias("vec"), F.lit(True).alias("q"), F.lit(True).alias("s"))
+
+
+@query("e9_search_cost")
+def e9_cost(spark, sf_dir):
+    # all flows against all flows: the pairs compared, against those there are (tests hold the neighbours against brute force)
+    return neighbours.search_cost(flow_points(spark, sf_dir), 5)
