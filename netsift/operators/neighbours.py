@@ -100,16 +100,24 @@ def _descend(asking: DataFrame, roots: DataFrame, nodes: list[DataFrame]) -> Dat
     """The leaves other than its own that a point has to visit: vid, x, cell, low (least distance to a row there)."""
     def reach(frames):
         for pdf in frames:
-            if len(pdf):
-                d = np.sqrt(((_matrix(pdf["x"].tolist()) - _matrix(pdf["centre"].tolist())) ** 2).sum(axis=1))
-                low = np.maximum(d * (1 - SLACK) - pdf["radius"].to_numpy() * (1 + SLACK), 0.0)
-                near = low <= pdf["bound"].to_numpy() * (1 + SLACK)
-                yield pdf.assign(low=low)[["vid", "x", "own", "bound", "cell", "low", "leaf"]][near]
+            out = []
+            for _, part in pdf.groupby("parent", sort=False):
+                top = part.iloc[0]
+                x = _matrix(part["x"].tolist())
+                d = _distances(x, np.frombuffer(top["centres"], dtype=float).reshape(-1, x.shape[1]))
+                low = np.maximum(d * (1 - SLACK) - np.asarray(top["radii"], dtype=float) * (1 + SLACK), 0.0)
+                i, j = np.nonzero(low <= part["bound"].to_numpy()[:, None] * (1 + SLACK))
+                out.append(part[["vid", "x", "own", "bound"]].iloc[i].assign(cell=np.array(top["cells"].split(","), dtype=object)[j], low=low[i, j], leaf=np.asarray(top["ends"], dtype=bool)[j]))
+            if out:
+                yield pd.concat(out)
 
     front = asking.join(roots, "vid").select("vid", "x", F.col("cell").alias("own"), "bound", F.col("root").alias("parent"))
     found = None
     for level in nodes:
-        step = front.join(level, "parent").mapInPandas(reach, "vid string, x binary, own string, bound double, cell string, low double, leaf boolean")
+        # the children of a cell (as many as a split has) go with a row of it as four packed values
+        below = level.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct("cell", "centre", "radius", "leaf"))).alias("c")).select(
+            "parent", F.concat_ws(",", "c.cell").alias("cells"), F.aggregate("c.centre", F.lit(b""), lambda a, v: F.concat(a, v)).alias("centres"), F.col("c.radius").alias("radii"), F.col("c.leaf").alias("ends"))
+        step = front.repartition("vid").join(below, "parent").mapInPandas(reach, "vid string, x binary, own string, bound double, cell string, low double, leaf boolean")
         step = materialize(step, "tree-front")
         here = step.where("leaf and cell <> own").select("vid", "x", "cell", "low")
         found = here if found is None else found.unionByName(here)
