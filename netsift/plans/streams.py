@@ -9,11 +9,13 @@ from netsift.operators import packets as P
 from netsift.operators.drift import RESULT_COLUMNS
 from netsift.plans import views as V
 from netsift.plans.drift import _RES_COLS, _RESULT_SQL, _res
-from netsift.plans.monitoring import _LIMIT_SQL, DAY_US, IDLE, LIMIT, TIMEOUT_US, _FEED, beats, feed
+from netsift.plans.monitoring import _LIMIT_SQL, DAY_US, HOUR_US, IDLE, LIMIT, TIMEOUT_US, _FEED, alerts, beats, feed
 from netsift.plans.packets import _COUNT_SQL, _ID, _PORT_CASE, KEYED_SQL
 from netsift.plans.registry import ORACLES, query
 from netsift.session import scratch_path
+from netsift.streaming.decisions import ordered_cooldown, ordered_request_gate, ordered_service_health
 from netsift.streaming.drift import monitor
+from netsift.streaming.feed import read_feed
 from netsift.streaming.flows import stream_flow_records, stream_flows
 from netsift.streaming.folds import stream_rate_limit
 from netsift.streaming.liveness import stream_liveness
@@ -124,3 +126,49 @@ def j1_records(spark, sf_dir):
     closed = _drain(spark, stream_flow_records(_source(spark, V.packets(spark, sf_dir), "packets"), IDLE), "flow-records")
     f = P.align(P.connection_counts(closed))
     return f.select(*[F.round(c, 3).alias(c) if c in _MEASURED else F.col(c) for c in f.columns])
+
+
+def _decided(name: str) -> str:
+    """The batch twin of decisions, on the requests that the watermark has passed."""
+    sql = ORACLES[name]
+    head, tail = sql.rsplit("\nSELECT request_id, ", 1) if "\nSELECT request_id, " in sql else sql.rsplit(" SELECT request_id, ", 1)
+    return f"{head} SELECT * FROM (SELECT request_id, {tail}) WHERE request_id IN (SELECT request_id FROM requests WHERE ts_us <= {_PASSED})"
+
+
+def _calls(spark, sf_dir):
+    return _source(spark, V.requests(spark, sf_dir).withColumn("success", F.col("status") < 500).select("request_id", "client_id", "service", "ts_us", "success"), "calls")
+
+
+@query("j5_stream_service_health", _decided("j5_service_health"))
+def j5_stream(spark, sf_dir):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    out = ordered_service_health(_calls(spark, sf_dir), "service", "ts_us", ["request_id"], "success", 3, 2 * HOUR_US)
+    return _drain(spark, out, "health").select("request_id", "state", "executed", "state_after")
+
+
+@query("j5_stream_request_gate", _decided("j5_request_gate"))
+def j5_gate_stream(spark, sf_dir):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    out = ordered_request_gate(_calls(spark, sf_dir), "client_id", "service", "ts_us", ["request_id"], "success", LIMIT, DAY_US, 3, 2 * HOUR_US)
+    return _drain(spark, out, "gate").select("request_id", "allowed", "state", "executed")
+
+
+@query("j11_stream_alert_cooldown", _decided("j11_alert_cooldown"))
+def j11_stream(spark, sf_dir):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    return _drain(spark, ordered_cooldown(_source(spark, alerts(spark, sf_dir), "alerts"), "scenario", "ts_us", ["request_id"], 3_600.0), "fired").select("request_id", "fired")
+
+
+@query("j17_stream_cursor", ORACLES["j17_cursor_read"])
+def j17_stream(spark, sf_dir):
+    # the feed grows in three steps; after each the same query is started again and goes on at its stored offset
+    path, sink, mark = (scratch_path(spark, f"feed-{part}") for part in ("rows", "read", "state"))
+    df = feed(spark, sf_dir)
+    cuts = df.select(F.col("ts_us").cast("double").alias("t")).approxQuantile("t", [0.4, 0.8], 0.01)
+    ddl = ", ".join(f"{c} {t}" for c, t in df.dtypes)
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = df.where((F.lit(True) if lo is None else F.col("ts_us") >= lo) & (F.lit(True) if hi is None else F.col("ts_us") < hi))
+        part.write.mode("append").parquet(path)
+        stream = read_feed(spark, path, ddl, 1_705_363_200_000_000)
+        stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(ddl).parquet(sink)

@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
+SECOND = 1_000_000
+AT_ONCE = 50_000  # due events of a key that are sorted together (more only where one second holds more)
+
+
 class Rule:
     """A fold over the events of a key. An event is (microseconds, further columns ..); a state can be written as JSON."""
 
@@ -24,14 +28,19 @@ class Rule:
         """The next state (None: nothing is open) and the rows to emit."""
         raise NotImplementedError
 
-    def deadline(self, state) -> int:
-        """The microsecond at which `state` closes if nothing comes."""
+    def deadline(self, state) -> int | None:
+        """The microsecond at which `state` closes if nothing comes; None: silence doesn't close it."""
         raise NotImplementedError
 
     def close(self, state) -> list[tuple]:
         raise NotImplementedError
 
 
+def in_order(event: tuple) -> tuple:
+    """A sort key of events, nulls first."""
+    return tuple((v is not None, v) for v in event)
+
+
 class OrderedProcessor(StatefulProcessor):
     def __init__(self, rule: Rule, key: list[str], columns: list[str], schema: str, outputs: list[str]):
         self.rule, self.key, self.columns, self.schema, self.outputs = rule, key, columns, schema, outputs
@@ -55,40 +64,64 @@ class OrderedProcessor(StatefulProcessor):
             self._wake(first)
         yield pd.DataFrame()
 
+    def _slices(self, passed: int) -> list[tuple[int, int]]:
+        """Ranges of seconds that hold about AT_ONCE due events each; one pass over the waiting events counts them."""
+        counts: dict[int, int] = {}
+        for event in self.waiting.get():
+            if event[0] <= passed:
+                counts[event[0] // SECOND] = counts.get(event[0] // SECOND, 0) + 1
+        ranges, held = [], 0
+        for second in sorted(counts):
+            if ranges and held + counts[second] <= AT_ONCE:
+                ranges[-1] = (ranges[-1][0], second + 1)
+                held += counts[second]
+            else:
+                ranges.append((second, second + 1))
+                held = counts[second]
+        return ranges
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = [tuple(e) for e in self.waiting.get()] if self.waiting.exists() else []
-        due, later = sorted(e for e in waiting if e[0] <= passed), [e for e in waiting if e[0] > passed]
         state = json.loads(self.open.get()[0]) if self.open.exists() else None
-        out = []
-        for event in due:
-            if state is not None and self.rule.deadline(state) < event[0]:
-                out += self.rule.close(state)
-                state = None
-            state, emitted = self.rule.step(state, event)
-            out += emitted
-        if state is not None and self.rule.deadline(state) <= passed:
-            out += self.rule.close(state)
-            state = None
-        if due:
+        slices = self._slices(passed) if self.waiting.exists() else []
+        for lo, hi in slices:  # a slice of time is in memory, not all that a hot key has waiting
+            due = sorted((tuple(e) for e in self.waiting.get() if lo * SECOND <= e[0] < hi * SECOND and e[0] <= passed), key=in_order)
+            out = []
+            for event in due:
+                until = None if state is None else self.rule.deadline(state)
+                if until is not None and until < event[0]:
+                    out += self.rule.close(state)
+                    state = None
+                state, emitted = self.rule.step(state, event)
+                out += emitted
+            if out:
+                yield self._frame(key, out)
+        until = None if state is None else self.rule.deadline(state)
+        if until is not None and until <= passed:
+            out = self.rule.close(state)
+            state = until = None
+            if out:
+                yield self._frame(key, out)
+        if slices:
+            later = [tuple(e) for e in self.waiting.get() if e[0] > passed]
             if later:
                 self.waiting.put(later)
+                self._wake(min(e[0] for e in later))
             else:
                 self.waiting.clear()
         if state is None:
             self.open.clear()
         else:
             self.open.update((json.dumps(state),))
-            self._wake(self.rule.deadline(state))
-        if later:
-            self._wake(min(e[0] for e in later))
-        if out:
-            frame = pd.DataFrame(out, columns=self.outputs)
-            for name, value in reversed(list(zip(self.key, key))):
-                frame.insert(0, name, value)
-            yield frame
-        else:
-            yield pd.DataFrame()
+            if until is not None:
+                self._wake(until)
+        yield pd.DataFrame()
+
+    def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=self.outputs)
+        for name, value in reversed(list(zip(self.key, key))):
+            frame.insert(0, name, value)
+        return frame
 
     def close(self) -> None:
         pass
