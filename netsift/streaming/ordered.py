@@ -4,6 +4,9 @@ A stateful processor keeps the events of a key until the watermark has passed th
 then hands them to the rule in order. Event-time timers wake a key when the watermark reaches its next event, or the
 moment at which silence closes its state. The store holds the events of a key that are ahead of the watermark and a
 small state, never a whole history.
+
+Spark's first watermark is 1970-01-01: events at or before it count as late and are dropped, as are those that come later
+than the lateness allows.
 """
 
 from __future__ import annotations
@@ -51,7 +54,8 @@ class OrderedProcessor(StatefulProcessor):
         self.open = handle.getValueState("open", "state string")
 
     def _wake(self, micros: int) -> None:
-        self.handle.registerTimer(-(-micros // 1000))
+        # a timer fires when the watermark is beyond it; all keys must emit a moment with the same watermark
+        self.handle.registerTimer(-(-micros // 1000) - 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
@@ -102,13 +106,14 @@ class OrderedProcessor(StatefulProcessor):
             state = until = None
             if out:
                 yield self._frame(key, out)
+        later = [tuple(e) for e in self.waiting.get() if e[0] > passed] if self.waiting.exists() else []
         if slices:
-            later = [tuple(e) for e in self.waiting.get() if e[0] > passed]
             if later:
                 self.waiting.put(later)
-                self._wake(min(e[0] for e in later))
             else:
                 self.waiting.clear()
+        if later:
+            self._wake(min(e[0] for e in later))
         if state is None:
             self.open.clear()
         else:
