@@ -1,10 +1,13 @@
 """The neighbour search by a tree of cells against brute force: ties, copies, gaps, and what it compares."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from netsift.operators import neighbours as N
+from netsift.session import scratch_root
 
 DDL = "id string, scope string, cls string, vec array<double>, q boolean, s boolean"
 
@@ -55,3 +58,31 @@ def test_work_is_far_below_all_pairs(spark):
         d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
         d[i] = np.inf
         assert [r["neighbour"] for r in sorted((g for g in got if g["id"] == f"{i:05d}"), key=lambda g: g["rank"])] == [f"{j:05d}" for j in np.argsort(d, kind="stable")[:5]]
+
+
+def test_vectors_without_near_cells_are_written_a_few_times_only(spark):
+    # random vectors in many dimensions: nearly all pairs are compared, which must not write a vector for every cell
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3_000, 32))
+    df = spark.createDataFrame([(f"{i:05d}", "all", "c", [float(a) for a in v], True, True) for i, v in enumerate(x)], DDL)
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in root.rglob("*") if p.is_file())
+    before = size()
+    got = N.nearest(df, 3, leaf_rows=32).where("id < '00020'").collect()
+    assert size() - before < 12 * x.nbytes
+    for i in range(20):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        near = sorted((g for g in got if g["id"] == f"{i:05d}"), key=lambda g: g["rank"])
+        assert [g["neighbour"] for g in near] == [f"{j:05d}" for j in np.argsort(d, kind="stable")[:3]]
+
+
+def test_groups_that_are_compared_in_chunks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(1_500, 20)), 1)
+    monkeypatch.setattr(N, "GROUP_ROWS", 100)
+    monkeypatch.setattr(N, "AT_ONCE", 2)
+    df = spark.createDataFrame([(f"{i:05d}", "all", "c", [float(a) for a in v], i % 10 == 0, i % 3 != 0) for i, v in enumerate(x)], DDL)
+    got = found(df, 4, leaf_rows=40, block_rows=50)
+    want = brute([(f"{i:05d}", "all", "c", list(v), i % 10 == 0, i % 3 != 0) for i, v in enumerate(x)], 4)
+    assert {i: [g[1:] for g in n] for i, n in got.items()} == {i: [w[1:] for w in n] for i, n in want.items()}
