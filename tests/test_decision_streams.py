@@ -139,3 +139,39 @@ def test_a_restarted_cursor_gives_each_row_once(spark, tmp_path):
     assert reader.latestOffset() == {"after": 24} and reader.partitions({"after": 24}, {"after": 24}) == []
     empty = feed.FeedReader(spark.read.parquet(path).schema, {"path": f"{tmp_path}/none", "after": "3"})
     assert empty.latestOffset() == empty.initialOffset() == {"after": 3}
+
+
+def test_a_hot_key_reads_and_writes_its_waiting_events_a_few_times(monkeypatch):
+    import pandas as pd
+
+    from netsift.streaming import ordered
+
+    monkeypatch.setattr(ordered, "AT_ONCE", 100)
+    monkeypatch.setattr(ordered, "PIECE", 20, raising=False)
+    monkeypatch.setattr(ordered, "PACKED", 2_000, raising=False)
+    touched = []
+
+    class Counted(Cells):
+        def get(self):
+            return (touched.append(1) or r for r in list(self.rows)) if self.many else self.rows[0]
+
+    monkeypatch.setitem(globals(), "Cells", Counted)
+    events = [(s * 1_000_000, i) for i, s in enumerate(range(4_000))]
+    p = OrderedProcessor(Limited(3, 10_000_000), ["k"], ["ts", "no"], "ts long, no long", ["ts", "no", "allowed"])
+    p.init(Handle())
+    part = events[:]
+    random.Random(4).shuffle(part)
+    list(p.handleInputRows(("a",), iter([pd.DataFrame(part[at:at + 1_000], columns=["ts", "no"]) for at in range(0, 4_000, 1_000)]), None))
+    frames = [f for f in p.handleExpiredTimer(("a",), Mark(3_000_500), None) if len(f)]
+    assert [no for f in frames for no in f["no"].tolist()] == list(range(3_001)) and max(len(f) for f in frames) <= 100
+    assert len(touched) < 4_000 * 3
+    frames = [f for f in p.handleExpiredTimer(("a",), Mark(9_000_000), None) if len(f)]
+    assert [no for f in frames for no in f["no"].tolist()] == list(range(3_001, 4_000)) and not p.waiting.exists()
+
+
+def test_whole_numbers_beside_gaps_stay_whole():
+    import pandas as pd
+
+    p = OrderedProcessor(Limited(3, 10), ["k"], ["ts", "no", "x"], "`ts` bigint, `no` int, `x` decimal(10, 2)", [])
+    events = p._events(pd.DataFrame({"ts": [1, 2], "no": [2.0, None], "x": [None, 0.5]}))
+    assert events == [(1, 2, None), (2, None, 0.5)] and type(events[0][1]) is int
