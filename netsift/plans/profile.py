@@ -144,7 +144,7 @@ def d12(spark, sf_dir):
     from netsift.plans.cleaning import clean_flows
 
     f = clean_flows(spark, sf_dir).drop("cat").withColumn("spkts", F.col("spkts").cast("string"))
-    return D.profile_report(f, key=["flow_id"], mi_threshold=0.0005)
+    return D.profile_report(materialize(f, "profile-flows"), key=["flow_id"], mi_threshold=0.0005)
 
 
 @query("d13_top_missing", f"WITH {_G} SELECT column_name, round(missing_ratio, 6) AS missing_ratio FROM ({_union(_MISS, _COLS)}) ORDER BY missing_ratio DESC, column_name LIMIT 30")
@@ -159,7 +159,7 @@ _TOPVAR = _N
        + " FROM gappy) SELECT feature_1, feature_2, CASE WHEN isfinite(c) THEN round(c, 5) END AS correlation FROM ("
        + " UNION ALL ".join(f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, \"{a}|{b}\" AS c FROM pc" for a in _TOPVAR for b in _TOPVAR) + ")")
 def d14(spark, sf_dir):
-    return D.correlation_matrix(V.gappy_flows(spark, sf_dir), _N).withColumn("correlation", F.round("correlation", 5))
+    return D.correlation_matrix(materialize(V.gappy_flows(spark, sf_dir).select(*_N), "correlation-flows"), _N).withColumn("correlation", F.round("correlation", 5))
 
 
 @query("d15_top_information", f"WITH {_G}, {mi_sql('gappy', _MI_COLS, 'label')} SELECT feature, round(mi, 6) AS mi FROM mi ORDER BY mi DESC, feature LIMIT 30")
