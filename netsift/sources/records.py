@@ -22,6 +22,10 @@ def with_defaults(parsed: DataFrame) -> DataFrame:
 
 
 def parse_records(lines: DataFrame, column: str = "value") -> DataFrame:
-    """JSON text to typed records. Extra keys are ignored; works on tables and on streams."""
+    """JSON text to typed records. Extra keys are ignored; works on tables and on streams.
+
+    The record is exploded from an array of its own: filters on its fields then stay above the parser, while below it each
+    mention of a field would parse the text again.
+    """
     rest = [c for c in lines.columns if c != column]
-    return with_defaults(lines.select(*rest, F.from_json(column, RECORD_DDL).alias("_r")).select(*rest, "_r.*"))
+    return with_defaults(lines.select(*rest, F.explode(F.array(F.from_json(column, RECORD_DDL))).alias("_r")).select(*rest, "_r.*"))
