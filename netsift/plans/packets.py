@@ -123,8 +123,9 @@ def c10(spark, sf_dir):
 @query("c11_connection_counts", f"WITH {V.FLOWS_SQL} SELECT flow_id, " + ", ".join(
     f"count(*) OVER (PARTITION BY {', '.join(k)}) AS {n}" for n, k in P.CONNECTION_COUNTS.items()) + " FROM flows")
 def c11(spark, sf_dir):
-    f = V.flows(spark, sf_dir).select("flow_id", "state", "sttl", "srcip", "dstip", "service", "sport", "dsport")
-    return P.connection_counts(f).select("flow_id", *P.CONNECTION_COUNTS)
+    digest = F.unhex("flow_id").alias("flow_id")  # half as long as its text
+    f = V.flows(spark, sf_dir).select(digest, "state", "sttl", "srcip", "dstip", "service", "sport", "dsport")
+    return P.connection_counts(f).select(F.lower(F.hex("flow_id")).alias("flow_id"), *P.CONNECTION_COUNTS)
 
 
 @query("c12_same_endpoint", f"WITH {V.FLOWS_SQL} SELECT is_sm_ips_ports, count(*) AS n FROM (SELECT CAST(srcip = dstip OR sport % 100 = dsport % 100 AS BIGINT) AS is_sm_ips_ports FROM flows) GROUP BY 1")
