@@ -17,7 +17,8 @@ Columns other than doc_id and text are not read.
 The pipeline's stage, `one_of_each`, has another contract: texts are linked if their sets of five-word shingles have a
 Jaccard similarity of 0.8 or more. Candidates are fingerprints within 16 bits (a pair at 0.8 differs in about 10); a
 second fingerprint and the four smallest shingles drop pairs that met by chance, so unrelated texts don't grow
-together however many there are. The candidates' components are groups, and similarity is decided inside a group by
+together however many there are. Texts meet by these shingles, which part a corpus better than 16 bits do, and by parts
+of the fingerprint only where very many share one. The candidates' components are groups, and similarity is decided inside a group by
 the sets themselves (`connected`): a task takes a cell of bounded size and counts the common shingles of all its pairs.
 """
 
@@ -388,9 +389,33 @@ def _segments(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], most: in
         yield held, np.append([0], changed(held))
 
 
-def candidates(nodes: DataFrame, parts: list[Part], radius: int, both: int, least: tuple[int, int], cell: int, hot_keys: int = 100_000) -> DataFrame:
-    """Edges (a, b) of nodes that connect what the candidates connect: one at most for a row of a cell."""
+def _low_bits() -> Column:
+    """The distinct values packed in `minima`."""
+    return F.array_distinct(F.array(*[F.shiftrightunsigned("minima", 16 * k).bitwiseAND(F.lit(0xFFFF)).cast("long") for k in range(MINIMA)]))
 
+
+def sharing(entered: DataFrame, sizes: DataFrame, cell: int) -> DataFrame:
+    """(part, bucket, cell, role, columns of `entered`) as of `dealt`: every pair of a bucket meets in a cell.
+
+    `sizes` is (bucket, n), 65,536 rows at most; buckets that it lacks are left out. A bucket of more than `cell` rows is cut,
+    and cell c * cuts + d compares the rows of cut c with each other and with those of cut d, which is a later one.
+    """
+    columns = [c for c in entered.columns if c != "bucket"]
+    cut = entered.join(F.broadcast(sizes.select("bucket", F.ceil(F.col("n") / cell).cast("int").alias("cuts"))), "bucket")
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    as_index = F.transform(F.sequence("own", F.col("cuts") - 1), lambda d: F.struct((F.col("own") * F.col("cuts") + d).alias("cell"), F.lit(0).alias("role")))
+    as_probe = F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda c: F.struct((c * F.col("cuts") + F.col("own")).alias("cell"), F.lit(1).alias("role")))
+    cells = F.when(F.col("own") > 0, F.concat(as_index, as_probe)).otherwise(as_index)
+    return (cut.select(F.lit(-1).alias("part"), "bucket", F.explode(cells).alias("c"), *columns).select("part", "bucket", "c.cell", "c.role", *columns)
+            .repartition("part", "bucket", "cell").sortWithinPartitions("part", "bucket", "cell", "role"))
+
+
+def candidates(nodes: DataFrame, radius: int, both: int, least: tuple[int, int], cell: int, crowd: int = 32, hot_keys: int = 100_000) -> DataFrame:
+    """Edges (a, b) of nodes that connect what the candidates connect: one at most for a row of a cell.
+
+    A candidate has one of its smallest shingles in common with the other, so a node is sent once for each of these. What
+    more than `crowd` cells share parts too little: nodes that have such a shingle go through the search by parts.
+    """
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, changes in _segments(batches, ("part", "bucket", "cell"), 200_000):
             cols = {c: np.asarray(held.column(c)).astype(np.int64) for c in ("role", "fp", "second", "minima", "node", "size")}
@@ -400,7 +425,15 @@ def candidates(nodes: DataFrame, parts: list[Part], radius: int, both: int, leas
             moved = np.flatnonzero(parent != np.arange(len(parent)))
             yield pa.record_batch([pa.array(cols["node"][moved]), pa.array(cols["node"][parent[moved]])], names=["a", "b"])
 
-    return dealt(nodes, parts, cell, hot_keys, "node").mapInArrow(compare, "a long, b long")
+    entered = nodes.withColumn("bucket", F.explode(_low_bits()))
+    sizes = materialize(entered.groupBy("bucket").agg(F.count("*").alias("n")), "minima")
+    found = sharing(entered, sizes.filter(F.col("n").between(2, crowd * cell)), cell).mapInArrow(compare, "a long, b long")
+    full = sizes.filter(F.col("n") > crowd * cell).select("bucket")
+    if full.isEmpty():
+        return found
+    crowded = materialize(entered.join(F.broadcast(full), "bucket", "left_semi").select(*nodes.columns).distinct(), "crowded")
+    parts = plan(bit_counts(crowded), radius, STAGE_ROW_COST)
+    return found.unionByName(dealt(crowded, parts, cell, hot_keys, "node").mapInArrow(compare, "a long, b long"))
 
 
 def sets_of(members: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -527,10 +560,7 @@ def connected(members: DataFrame, sets: DataFrame, least: tuple[int, int], cell:
 
 def similar(nodes: DataFrame, docs: DataFrame, words: int, radius: int, both: int, least: tuple[int, int], cell: int = 1024) -> DataFrame:
     """Edges of `nodes` that connect all pairs of the similarity `least` inside a component of candidates."""
-    parts = plan(bit_counts(nodes), radius, STAGE_ROW_COST)
-    if not parts:
-        return nodes.sparkSession.createDataFrame([], "a long, b long")
-    met = candidates(nodes.select("node", "fp", "second", "minima", "size"), parts, radius, both, least, cell)
+    met = candidates(nodes.select("node", "fp", "second", "minima", "size"), radius, both, least, cell)
     groups = components(materialize(met.distinct(), "candidate-forest"))
     members = materialize(groups.join(nodes.select("node", "size", "example"), "node"), "candidate-groups")
     sets = materialize(sets_of(members, docs, words), "sets")

@@ -155,6 +155,48 @@ def test_one_of_each_links_similar_texts_only(spark):
         assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(parent))
 
 
+def _nodes(spark, rng):
+    """Nodes in families of few changed bits, a crowd that shares one minimum among them, with the pairs that are candidates."""
+    rows = []
+    for f in range(60):
+        fp, second, minima = rng.getrandbits(64), rng.getrandbits(64), [rng.getrandbits(16) for _ in range(4)]
+        if f < 20:
+            minima[2] = 65_535  # the crowd
+        for k in range(4):
+            own = [m if rng.random() < 0.6 else rng.getrandbits(16) for m in minima] if k else minima
+            flip = lambda x: x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 12)))
+            rows.append((len(rows), flip(fp), flip(second), own, rng.choice([90, 100, 130])))
+    rows += [(len(rows) + i, 7, 7, [9, 9, 9, 9], 50) for i in range(3)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    packed = [(n, signed(a), signed(b), signed(sum(m << (16 * i) for i, m in enumerate(ms))), size) for n, a, b, ms, size in rows]
+    wanted = [(x[0], y[0]) for x, y in itertools.combinations(rows, 2)
+              if (d := (x[1] ^ y[1]).bit_count()) <= 16 and d + (x[2] ^ y[2]).bit_count() <= 32 and set(x[3]) & set(y[3]) and 5 * min(x[4], y[4]) >= 4 * max(x[4], y[4])]
+    return spark.createDataFrame(packed, "node long, fp long, second long, minima long, size int"), wanted
+
+
+def _joined(pairs):
+    root = {}
+    for a, b in pairs:
+        a, b = root.get(a, a), root.get(b, b)
+        root |= {n: min(a, b) for n in [a, b, *(m for m, r in root.items() if r in (a, b))]}
+    return {frozenset(n for n, r in root.items() if r == one) for one in root.values()}
+
+
+def test_candidates_meet_by_their_smallest_shingles(spark, monkeypatch):
+    nodes, wanted = _nodes(spark, random.Random(5))
+    sent, plain = [], simhash.dealt
+    monkeypatch.setattr(simhash, "dealt", lambda unique, *rest: sent.append(unique.count()) or plain(unique, *rest))
+    for cell, crowd in ((1024, 32), (8, 32), (4, 4), (1, 1)):  # in one cell, in cut buckets, with the crowd by parts
+        sent.clear()
+        got = [(r["a"], r["b"]) for r in simhash.candidates(nodes, 16, 32, (4, 5), cell=cell, crowd=crowd).collect()]
+        assert _joined(got) == _joined(wanted)
+        assert bool(sent) == (cell < 8) and (cell != 4 or 20 <= sent[0] < 80)
+    rows = [(i, " ".join(random.Random(i % 50).choices("abcdefgh", k=60)) + " x" * (i % 3), "en", "a", 1) for i in range(150)]
+    sent.clear()
+    assert simhash.one_of_each(docs(spark, rows)).count() <= 100
+    assert not sent  # no flipped keys for ordinary texts
+
+
 def test_plan_widens_parts_as_the_corpus_grows():
     counts = np.full((65, 65), 0.25)
     np.fill_diagonal(counts, 0.5)
