@@ -86,3 +86,20 @@ def test_groups_that_are_compared_in_chunks(spark, monkeypatch):
     got = found(df, 4, leaf_rows=40, block_rows=50)
     want = brute([(f"{i:05d}", "all", "c", list(v), i % 10 == 0, i % 3 != 0) for i, v in enumerate(x)], 4)
     assert {i: [g[1:] for g in n] for i, n in got.items()} == {i: [w[1:] for w in n] for i, n in want.items()}
+
+
+def test_a_block_goes_only_to_groups_that_reach_it(spark, monkeypatch):
+    # points on a plane: a group's bounds reach the edge of the groups around it, not all of their blocks
+    rng = np.random.default_rng(6)
+    x = rng.uniform(size=(6_000, 2))
+    monkeypatch.setattr(N, "GROUP_ROWS", 600)
+    df = spark.createDataFrame([(f"{i:05d}", "all", "c", [float(a) for a in v], i % 20 != 0, True) for i, v in enumerate(x)], DDL)
+    _, blocks, routes = N._search(df, 3, 16, 32, 2_000, 24)
+    sizes = {(r["grp"], r["bid"]): r["n"] for r in blocks.select("grp", "bid", "n").collect()}
+    sent = sum(sizes[(r["other"], b)] for r in routes.collect() for b in r["wanted"])
+    assert 6_000 <= sent < 3.5 * 6_000  # blocks of groups nearby, not whole groups
+    got = {(r["id"], r["rank"]): r["neighbour"] for r in N.nearest(df.withColumn("q", F.col("id") < "00200"), 3, leaf_rows=32).collect()}
+    for i in range(200):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        assert [got[(f"{i:05d}", n)] for n in (1, 2, 3)] == [f"{j:05d}" for j in np.argsort(d, kind="stable")[:3]]
