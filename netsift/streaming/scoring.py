@@ -10,8 +10,13 @@ from netsift.sources.records import parse_records
 
 
 def check_records(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Parsed records with `failed_field` and `failure` (NULL for good ones)."""
-    return validate(parse_records(lines, column))
+    """Parsed records with `failed_field` and `failure` (NULL for good ones).
+
+    They are exploded like the records, so that a filter on them stays above the checks. Below it would be a constraint on all
+    fields, of which the optimizer makes a copy for every choice of renamed fields, until the driver has no memory left.
+    """
+    checked = validate(parse_records(lines, column))
+    return checked.select(F.explode(F.array(F.struct(*checked.columns))).alias("_c")).select("_c.*")
 
 
 def score_records(lines: DataFrame, preparation, classifier, column: str = "value", keep: list[str] = ()) -> DataFrame:
